@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventloom.llm import media, mixing, secrets
+from pyspark.sql import functions as F
+
+from eventloom.llm import chat, media, mixing, packing, secrets
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,5 +29,14 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest_columns(secrets.scan(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op3_mix_sources, op8_media_columns, op9_secret_scan)}
-ORACLE_SQL = {"op3_mix_sources": mixing.SQL}
+def op10_tool_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = chat.linked_conversations(table(spark, sf_dir, "conversations"))
+    return found.withColumn("errors", F.array_join("errors", ", "))
+
+
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op3_mix_sources, op8_media_columns, op5_best_fit_packing, op9_secret_scan, op10_tool_links)}
+ORACLE_SQL = {"op3_mix_sources": mixing.SQL, "op10_tool_links": chat.SQL}
