@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from eventloom.llm import chat, media, mixing, packing, secrets
+from eventloom.llm import chat, jaccard, media, mixing, packing, secrets
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,5 +38,9 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_mix_sources, op8_media_columns, op5_best_fit_packing, op9_secret_scan, op10_tool_links)}
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicate_components(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op3_mix_sources, op8_media_columns, op5_best_fit_packing, op7_ngram_jaccard_join, op9_secret_scan, op10_tool_links)}
 ORACLE_SQL = {"op3_mix_sources": mixing.SQL, "op10_tool_links": chat.SQL}
