@@ -6,13 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from eventloom.llm import chat, jaccard, media, mixing, packing, secrets
+from eventloom.llm import ann, chat, jaccard, media, mixing, packing, secrets
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_projected_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 50 == 0)
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -42,5 +46,5 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicate_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_mix_sources, op8_media_columns, op5_best_fit_packing, op7_ngram_jaccard_join, op9_secret_scan, op10_tool_links)}
+QUERIES = {f.__name__: f for f in (op1_projected_neighbours, op3_mix_sources, op8_media_columns, op5_best_fit_packing, op7_ngram_jaccard_join, op9_secret_scan, op10_tool_links)}
 ORACLE_SQL = {"op3_mix_sources": mixing.SQL, "op10_tool_links": chat.SQL}
