@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from eventloom.llm import ann, chat, jaccard, media, mixing, packing, secrets
+from eventloom.llm import ann, chat, jaccard, media, mixing, packing, quality, secrets
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,9 +42,13 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicate_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_projected_neighbours, op3_mix_sources, op8_media_columns, op5_best_fit_packing, op7_ngram_jaccard_join, op9_secret_scan, op10_tool_links)}
+QUERIES = {f.__name__: f for f in (op1_projected_neighbours, op3_mix_sources, op8_media_columns, op5_best_fit_packing, op6_attention_quality, op7_ngram_jaccard_join, op9_secret_scan, op10_tool_links)}
 ORACLE_SQL = {"op3_mix_sources": mixing.SQL, "op10_tool_links": chat.SQL}
