@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from eventloom.llm import ann, chat, jaccard, media, mixing, packing, quality, secrets
+from eventloom.llm import ann, chat, jaccard, media, mixing, packing, quality, secrets, wrappers
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,10 @@ def op10_tool_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("errors", F.array_join("errors", ", "))
 
 
+def op4_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.main_texts(table(spark, sf_dir, "pages"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -50,5 +54,5 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicate_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_projected_neighbours, op3_mix_sources, op8_media_columns, op5_best_fit_packing, op6_attention_quality, op7_ngram_jaccard_join, op9_secret_scan, op10_tool_links)}
+QUERIES = {f.__name__: f for f in (op1_projected_neighbours, op3_mix_sources, op4_wrapper_induction, op8_media_columns, op5_best_fit_packing, op6_attention_quality, op7_ngram_jaccard_join, op9_secret_scan, op10_tool_links)}
 ORACLE_SQL = {"op3_mix_sources": mixing.SQL, "op10_tool_links": chat.SQL}
