@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from eventloom.llm import ann, chat, jaccard, media, mixing, packing, quality, secrets, wrappers
+from eventloom.llm import ann, chat, jaccard, media, mixing, packing, quality, secrets, tokenfile, wrappers
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_projected_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 50 == 0)
 
 
+def op2_range_coded_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.read_documents(tokenfile.written_segments(table(spark, sf_dir, "documents")))
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -54,5 +58,19 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicate_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_projected_neighbours, op3_mix_sources, op4_wrapper_induction, op8_media_columns, op5_best_fit_packing, op6_attention_quality, op7_ngram_jaccard_join, op9_secret_scan, op10_tool_links)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_projected_neighbours,
+        op2_range_coded_ids,
+        op3_mix_sources,
+        op4_wrapper_induction,
+        op5_best_fit_packing,
+        op6_attention_quality,
+        op7_ngram_jaccard_join,
+        op8_media_columns,
+        op9_secret_scan,
+        op10_tool_links,
+    )
+}
 ORACLE_SQL = {"op3_mix_sources": mixing.SQL, "op10_tool_links": chat.SQL}
