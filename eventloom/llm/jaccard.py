@@ -17,7 +17,7 @@ from math import exp, sqrt
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -29,6 +29,8 @@ WORDS = 5
 SIMILARITY = 80
 #: What a segment of at most one element costs besides its row: its subset is as common as a shingle.
 SMALL_SEGMENT_COST = 8
+#: Words of a set's parities.
+SKETCH = 16
 #: Rows of one Arrow batch that a task sends.
 BATCH_ROWS = 200_000
 #: Words whose hashes a worker remembers.
@@ -142,19 +144,28 @@ def signatures(h: np.ndarray, similarity: int = SIMILARITY) -> list[tuple[np.nda
 
 
 # --- stages ----------------------------------------------------------------------------------------------------
+def parities(h: np.ndarray) -> np.ndarray:
+    """SKETCH words whose bits tell, for as many groups of hashes, whether the set holds an odd number. Each element by
+    which two sets differ turns one bit, so the bits that differ are at most that many elements."""
+    odd = np.bincount((mixed(h + U64(7)) >> U64(32)).astype(np.int64) % (64 * SKETCH), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def digests(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id, n, and two sums over the set's hashes that tell equal sets."""
+    """doc_id, n, two sums over the set's hashes that tell equal sets, and the set's parities."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
-            rows = []
-            for text in part.column("text").to_pylist():
+            texts = part.column("text").to_pylist()
+            rows, bits = np.zeros((3, len(texts)), np.int64), np.zeros((len(texts), SKETCH), np.int64)
+            for k, text in enumerate(texts):
                 h = shingles(text, words)
-                rows.append((len(h), int(mixed(h).sum(dtype=U64).view(np.int64)), int(mixed(h + U64(1)).sum(dtype=U64).view(np.int64))))
-            n, d1, d2 = (list(x) for x in zip(*rows, strict=True)) if rows else ([], [], [])
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64())], ["doc_id", "n", "d1", "d2"])
+                rows[:, k] = len(h), mixed(h).sum(dtype=U64).view(np.int64), mixed(h + U64(1)).sum(dtype=U64).view(np.int64)
+                bits[k] = parities(h)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * SKETCH), pa.array(bits.ravel()))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(x) for x in rows), lists], ["doc_id", "n", "d1", "d2", "bits"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(made, "doc_id long, n long, d1 long, d2 long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(made, "doc_id long, n long, d1 long, d2 long, bits array<long>")
 
 
 def signature_rows(docs: DataFrame, similarity: int, words: int) -> DataFrame:
@@ -213,44 +224,69 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     return full.select("a", "b", "left", "right").mapInArrow(tested, "a long, b long")
 
 
-def similar_size(n: str, m: str, similarity: int) -> F.Column:
-    return (F.least(n, m) * 100 >= F.greatest(n, m) * similarity) if similarity else F.lit(True)
+def verified_from(docs: DataFrame, pairs: DataFrame, similarity: int, words: int) -> DataFrame:
+    """`verified`, with the sets made from the texts of the documents in the pairs."""
+    ids = stored(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "jaccard-ids")
+    return verified(pairs, sets_of(docs.join(checked_broadcast(ids), "doc_id", "left_semi"), words), similarity)
+
+
+def similar_size(n: str, m: str, similarity: int) -> Column:
+    return F.least(n, m) * 100 >= F.greatest(n, m) * similarity
 
 
 def candidate_buckets(docs: DataFrame, similarity: int, words: int) -> DataFrame:
-    """sig, doc, n, own, pivot, pivot_n: rows of signatures that some pair shares, without those that the slack leaves out."""
+    """sig, doc, n, own, cnt, score: rows of signatures that some pair shares, without those that the slack leaves out.
+
+    score counts the rows that a document's signatures are shared with: high for the middle of a group of near copies.
+    """
     rows = signature_rows(docs, similarity, words)
     all_of = Window.partitionBy("sig")
-    first = F.min(F.when(F.col("tag").bitwiseAND(1) == 1, F.struct("doc", "tag"))).over(all_of)
+    own = F.col("tag").bitwiseAND(1) == 1
     shared = stored(
-        rows.select("*", F.count("*").over(all_of).alias("cnt"), first.alias("first")).where("cnt > 1 and first is not null")
-        .select("sig", "doc", "cnt", F.shiftright("tag", 24).alias("n"), (F.shiftright("tag", 1).bitwiseAND((1 << 23) - 1)).alias("slack"), (F.col("tag").bitwiseAND(1) == 1).alias("own"), F.col("first.doc").alias("pivot"), F.shiftright("first.tag", 24).alias("pivot_n")),
+        rows.select("*", F.count("*").over(all_of).alias("cnt"), F.bool_or(own).over(all_of).alias("any_own")).where("cnt > 1 and any_own")
+        .select("sig", "doc", "cnt", F.shiftright("tag", 24).alias("n"), F.shiftright("tag", 1).bitwiseAND((1 << 23) - 1).alias("slack"), own.alias("own")),
         "jaccard-shared",
     )
     # Most frequent first, the same order for all documents; only subsets that three or more share are worth leaving out.
     costly = Window.partitionBy("doc", "own").orderBy(F.desc("cnt"), "sig")
     often = shared.where("cnt > 2").withColumn("_rank", F.row_number().over(costly)).where("_rank > slack").drop("_rank")
     kept = often.unionByName(shared.where("cnt = 2"))
-    return kept.drop("slack")
+    scores = shared.groupBy("doc").agg(F.sum("cnt").alias("score"))
+    return kept.drop("slack").join(scores, "doc")
 
 
-def cross_pairs(buckets: DataFrame, labels: DataFrame, similarity: int) -> DataFrame:
-    """Distinct pairs (a, b) that share a bucket, aren't its pivot and are in different components so far."""
+def star_pairs(rows: DataFrame, similarity: int) -> DataFrame:
+    """Distinct pairs (a, b) of each bucket's pivot, its own-band member of highest score, with its other members."""
+    best = F.max(F.when(F.col("own"), F.struct("score", (-F.col("doc")).alias("minus"), "n"))).over(Window.partitionBy("sig"))
+    met = rows.withColumn("pivot", best).where("pivot is not null").where(F.col("doc") != -F.col("pivot.minus")).where(similar_size("n", "pivot.n", similarity))
+    a, b = -F.col("pivot.minus"), F.col("doc")
+    return met.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
+
+
+def open_rows(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of buckets that hold several components so far, with each row's root."""
     several = buckets.where("cnt > 2").join(labels, buckets["doc"] == labels["node"], "left").withColumn("root", F.coalesce("root", "doc")).drop("node")
     apart = several.groupBy("sig").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).where("_lo < _hi").select("sig")
-    open_ = stored(several.join(apart, "sig", "left_semi").select("sig", "doc", "n", "own", "root", "pivot"), "jaccard-open")
-    one, two = (open_.select(*[F.col(c).alias(f"{c}{k}") for c in ("sig", "doc", "n", "own", "root", "pivot")]) for k in (1, 2))
+    return several.join(apart, "sig", "left_semi")
+
+
+def cross_pairs(rows: DataFrame, similarity: int) -> DataFrame:
+    """Distinct pairs (a, b) that share a bucket, are in different components so far and whose parities, within the
+    join, don't rule them out already."""
+    one, two = (rows.select(*[F.col(c).alias(f"{c}{k}") for c in ("sig", "doc", "n", "own", "root", "bits")]) for k in (1, 2))
     on = (F.col("sig1") == F.col("sig2")) & (F.col("doc1") < F.col("doc2")) & (F.col("root1") != F.col("root2"))
-    useful = (F.col("own1") | F.col("own2")) & (F.col("doc1") != F.col("pivot1")) & (F.col("doc2") != F.col("pivot1")) & similar_size("n1", "n2", similarity)
-    return one.join(two, on & useful).select(F.col("doc1").alias("a"), F.col("doc2").alias("b")).distinct()
+    useful = (F.col("own1") | F.col("own2")) & similar_size("n1", "n2", similarity)
+    differ = sum((F.bit_count(F.col("bits1")[i].bitwiseXOR(F.col("bits2")[i])) for i in range(SKETCH)), F.lit(0))
+    close = differ * (100 + similarity) <= (F.col("n1") + F.col("n2")) * (100 - similarity)
+    return one.join(two, on & useful & close).select(F.col("doc1").alias("a"), F.col("doc2").alias("b")).distinct()
 
 
 def near_duplicate_components(docs: DataFrame, similarity: int = SIMILARITY, words: int = WORDS) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of `docs` (doc_id, text).
 
     Equal sets become one class, its least doc_id for all. Each bucket of a signature first verifies its members
-    against its least one; then, over all buckets, only pairs in different components so far are left to verify, which
-    completes the join as far as components can tell. A text without words has size 0 and is alone; a null doc_id
+    against a pivot; then all pairs in different components so far are verified, which completes the join as far as
+    components can tell. A text without words has size 0 and is alone; a null doc_id
     keeps its size with a null component; rows of one doc_id are one document; an empty table gives an empty result.
     """
     sizes = stored(digests(docs, words), "jaccard-digests")
@@ -262,20 +298,14 @@ def near_duplicate_components(docs: DataFrame, similarity: int = SIMILARITY, wor
     single = bare.join(checked_broadcast(copies.select("doc_id").distinct()), "doc_id", "left_anti")
 
     buckets = stored(candidate_buckets(single, similarity, words), "jaccard-buckets")
-    stars = buckets.where(F.col("doc") != F.col("pivot")).where(similar_size("n", "pivot_n", similarity)).select(F.col("pivot").alias("a"), F.col("doc").alias("b")).distinct()
-    stars = stored(stars, "jaccard-stars")
-    ids = stars.select(F.col("a").alias("doc_id")).union(stars.select("b")).distinct()
-    sets = stored(sets_of(single.join(checked_broadcast(ids), "doc_id", "left_semi"), words), "jaccard-sets")
-    links = stored(verified(stars, sets, similarity), "jaccard-links")
+    stars = stored(star_pairs(buckets, similarity), "jaccard-stars")
+    links = stored(verified_from(single, stars, similarity, words), "jaccard-links")
     labels = components(links)
-
-    rest = stored(cross_pairs(buckets, labels, similarity), "jaccard-rest")
-    if not rest.isEmpty():
-        more_ids = rest.select(F.col("a").alias("doc_id")).union(rest.select("b")).distinct().join(ids, "doc_id", "left_anti")
-        more = sets_of(single.join(checked_broadcast(stored(more_ids, "jaccard-ids")), "doc_id", "left_semi"), words)
-        found = stored(verified(rest, sets.unionByName(more), similarity), "jaccard-links")
-        if not found.isEmpty():
-            labels = components(links.unionByName(found))
+    parities_of = sizes.select(F.col("doc_id").alias("doc"), "bits").dropDuplicates(["doc"])
+    rest = stored(cross_pairs(stored(open_rows(buckets, labels).join(parities_of, "doc"), "jaccard-open"), similarity), "jaccard-rest")
+    found = stored(verified_from(single, rest, similarity, words), "jaccard-links")
+    if not found.isEmpty():
+        labels = components(links.unionByName(found))
 
     of_class = copies.join(labels, copies["rep"] == labels["node"], "left").select("doc_id", F.coalesce("root", "rep").alias("_root"))
     roots = labels.select(F.col("node").alias("doc_id"), F.col("root").alias("_root")).unionByName(of_class).groupBy("doc_id").agg(F.min("_root").alias("_root"))
