@@ -598,7 +598,7 @@ def type_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("cell", *[(F.col(k) / total).alias(k) for k in kinds])
 
 
-@query("SELECT lang, rule, n FROM (SELECT lang, substr(text, 1, 120) AS rule, count(*) AS n, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, substr(text, 1, 120)) AS r FROM documents GROUP BY ALL) WHERE r <= 10")
+@query("SELECT lang, rule, n FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, rule) AS r FROM (SELECT lang, substr(text, 1, 120) AS rule, count(*) AS n FROM documents GROUP BY 1, 2)) WHERE r <= 10")
 def top_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     per = table(spark, sf_dir, "documents").groupBy("lang", F.substring("text", 1, 120).alias("rule")).agg(F.count("*").alias("n"))
     best = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "rule"))
