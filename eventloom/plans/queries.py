@@ -15,6 +15,7 @@ from eventloom.operators import inject as I
 from eventloom.operators import pairing as P
 from eventloom.operators import state as S
 from eventloom.operators import windows as W
+from eventloom.plans import harness as H
 from eventloom.plans.tables import CHAINS_SQL, EVENTS_SQL, chains, events, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -630,3 +631,59 @@ def cost_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = F.sum(F.floor(F.col("n_chars") / 4))
     cost = F.round(tokens * 0.25 / 1e6 + F.count("*") * 30 * 1.25 / 1e6, 9)
     return table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("calls"), tokens.cast("long").alias("tokens_in"), (F.count("*") * 30).alias("tokens_out"), cost.alias("cost"))
+
+
+# --- whole runs --------------------------------------------------------------------------------------------------------------------
+CANDIDATES = f""", tw AS (SELECT DISTINCT game_id, greatest(0, least(greatest(0, sequence_idx - 4), n_game - 8)) AS start FROM ev
+    WHERE cell = 'pubg' AND event_type IN ('zone_enter', 'position_commit') AND n_game >= 2),
+pl AS (SELECT *, coalesce(sum((event_type = 'resource_spend')::INT) OVER (PARTITION BY game_id ORDER BY sequence_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS play FROM ev WHERE cell = 'rocket_league'),
+cd AS (
+  SELECT cell, ev.game_id, 'zone_' || start AS tag, sequence_idx - start AS slot, event_type FROM tw JOIN ev ON ev.game_id = tw.game_id AND sequence_idx BETWEEN start AND start + 7
+  UNION ALL SELECT cell, game_id, 'nba_q' || period || '_p' || ((row_number() OVER (PARTITION BY game_id, period ORDER BY sequence_idx) - 1) // 5), (row_number() OVER (PARTITION BY game_id, period ORDER BY sequence_idx) - 1) % 5, event_type FROM ev WHERE cell = 'nba'
+  UNION ALL SELECT cell, game_id, 'cs_r' || (k % 12 - 1), row_number() OVER (PARTITION BY game_id, k % 12 ORDER BY sequence_idx) - 1, event_type FROM ev WHERE cell = 'csgo' AND k % 12 >= 1
+  UNION ALL SELECT cell, game_id, 'rl_play' || play, row_number() OVER (PARTITION BY game_id, play ORDER BY sequence_idx) - 1, event_type FROM pl
+  UNION ALL SELECT cell, game_id, 'hand', sequence_idx, event_type FROM ev WHERE cell = 'poker' AND n_game >= 3 AND sequence_idx < 8),
+cn AS (SELECT *, substr(md5(game_id || '__' || tag), 1, 16) AS parent, count(*) OVER (PARTITION BY game_id, tag) AS n,
+         CASE cell WHEN 'nba' THEN 5 WHEN 'csgo' THEN 10 WHEN 'rocket_league' THEN 12 ELSE 8 END AS size FROM cd),
+fx AS (SELECT cell, game_id, parent || '_sub' || lpad(CAST(slot // size AS VARCHAR), 3, '0') AS chain_id, count(*) FILTER ({ACTIONABLE}) AS n_actionable, count(*) AS n
+       FROM cn WHERE (slot // size + 1) * size <= n GROUP BY ALL)"""
+CUTS = {"rocket_league": lambda e: H.by_goal(e, "resource_spend")}
+
+
+def run_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    none = F.lit(None).cast("string")
+    made = events(spark, sf_dir).withColumns({"round": F.col("k") % 12 - 1, "phase": none, "actor_team": none, "context": F.to_json(F.struct("k", F.col("period").alias("period")))})
+    return made.drop("t_us", "value", "k")
+
+
+@query(on_events("SELECT * FROM fx").replace("events) SELECT", f"events){CANDIDATES} SELECT"))
+def translated_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each cell's own cut, then its fixed length."""
+    found = H.fixed_chains(H.candidates(run_events(spark, sf_dir), cuts=CUTS))
+    return found.groupBy("cell", "game_id", "chain_id").agg(F.count_if(X.is_actionable(F.col("event_type"), F.col("cell"))).alias("n_actionable"), F.count("*").alias("n"))
+
+
+@query(
+    on_events("SELECT cell, n_chains_raw, n_chains_post_gate, length_mean, length_median, retention_rate FROM pt").replace(
+        "events) SELECT",
+        f"""events){CANDIDATES},
+        pc AS (SELECT cell, game_id, parent, count(*) AS len, count(*) FILTER ({ACTIONABLE}) / count(*) AS share FROM cn WHERE cell <> 'nba' OR n = 5 GROUP BY ALL HAVING count(*) >= 2),
+        pt AS (SELECT cell, count(*) AS n_chains_raw, count(*) FILTER (share >= 0.5) AS n_chains_post_gate, avg(len) FILTER (share >= 0.5) AS length_mean,
+               median(len) FILTER (share >= 0.5) AS length_median, count(*) FILTER (share >= 0.5) / count(*) AS retention_rate FROM pc GROUP BY cell) SELECT""",
+    )
+)
+def pilot_by_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return H.pilot(run_events(spark, sf_dir), cuts=CUTS).select("cell", "n_chains_raw", "n_chains_post_gate", "length_mean", "length_median", "retention_rate")
+
+
+@query()
+def consistency_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A whole run with the deterministic stand-in: real and shuffled chains, tests, leak check. SQL lacks erfc."""
+    return H.consistency_run(run_events(spark, sf_dir))
+
+
+@query()
+def cell_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every kept chain in its cell's own lines; tests hold the lines against hand-made ones."""
+    kept = H.passing(H.fixed_chains(H.candidates(run_events(spark, sf_dir), cuts=CUTS)))
+    return C.prompts(H.rendered(kept))
