@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 
 from eventloom.llm.common import checked_broadcast, stored
 
-#: A block is part of the template if it stands in its node on this share of a host's distinct pages, of so many at least.
+#: A block is constant if it stands in its node on this share of a host's distinct pages, of so many at least; a node
+#: whose blocks are constant for this share is part of the template.
 CONSTANT_SHARE = 0.9
 CONSTANT_PAGES = 5
 #: Skeletons of one host that a task aligns in a row; more are aligned in groups first.
@@ -367,16 +368,22 @@ def main_texts(pages: DataFrame) -> DataFrame:
     sited = done.join(checked_broadcast(mapped, SMALL_ROWS), on, "left").drop("_host", "_skeleton", "skeleton")
     block = F.transform("blocks", lambda b: F.struct(F.get("places", b["node"]).alias("place"), F.xxhash64(b["text"]).alias("hash")))
 
-    # Distinct pages of a host, and those that hold a block in a node.
+    # Distinct pages of a host, those that hold a block in a node, and how many blocks a node holds on all of them.
     seen = sited.select("host", F.xxhash64(F.transform("blocks", lambda b: b["text"])).alias("page"), block.alias("held")).distinct()
     counts = seen.groupBy("host").agg(F.countDistinct("page").alias("pages")).where(F.col("pages") >= CONSTANT_PAGES)
     held = seen.select("host", "page", F.explode(F.array_distinct("held")).alias("b")).select("host", "page", "b.place", "b.hash").where("place >= 0")
-    often = held.groupBy("host", "place", "hash").agg(F.countDistinct("page").alias("n")).where(F.col("n") >= CONSTANT_PAGES)
-    constant = often.join(counts, "host").where(F.col("n") >= CONSTANT_SHARE * F.col("pages"))
-    by_host = stored(constant.groupBy("host").agg(F.collect_set(F.struct("place", "hash")).alias("constant")).withColumnRenamed("host", "_host"), "wrapper-constants")
+    per_block = held.groupBy("host", "place", "hash").agg(F.countDistinct("page").alias("n"))
+    common = per_block.join(counts, "host").withColumn("_constant", F.col("n") >= F.greatest(F.lit(CONSTANT_PAGES), CONSTANT_SHARE * F.col("pages")))
+    # A node whose blocks vary is a slot: a passage that many articles share stays.
+    nodes = common.groupBy("host", "place").agg(F.sum("n").alias("_all"), F.sum(F.when(F.col("_constant"), F.col("n")).otherwise(0)).alias("_same"), F.collect_set(F.when(F.col("_constant"), F.col("hash"))).alias("hashes"))
+    fixed = nodes.where((F.col("_same") > 0) & (F.col("_same") >= CONSTANT_SHARE * F.col("_all"))).select("host", F.explode(F.transform("hashes", lambda h: F.struct("place", h.alias("hash")))).alias("b"))
+    by_host = stored(fixed.groupBy("host").agg(F.collect_set("b").alias("constant")).withColumnRenamed("host", "_host"), "wrapper-constants")
 
     judged = sited.join(checked_broadcast(by_host, SMALL_ROWS), F.col("host") == F.col("_host"), "left")
     is_template = lambda b: F.array_contains("constant", F.struct(F.get("places", b["node"]).alias("place"), F.xxhash64(b["text"]).alias("hash")))
     kept = F.when(F.col("constant").isNull(), F.col("blocks")).otherwise(F.filter("blocks", lambda b: ~is_template(b)))
-    text = F.coalesce(F.array_join(F.transform(kept, lambda b: b["text"]), "\n"), F.lit(""))
-    return judged.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+    size = lambda blocks: F.aggregate(blocks, F.lit(0), lambda n, b: n + F.length(b["text"]))
+    # Pages that differ from each other in their lesser part are near copies, not one template: they keep all.
+    chosen = judged.select("page_id", "url", "blocks", kept.alias("kept")).withColumn("kept", F.when(2 * size(F.col("kept")) >= size(F.col("blocks")), F.col("kept")).otherwise(F.col("blocks")))
+    text = F.coalesce(F.array_join(F.transform("kept", lambda b: b["text"]), "\n"), F.lit(""))
+    return chosen.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
