@@ -185,11 +185,11 @@ def nearest(
 
     `is_query` gives a condition on ids. Ties go to smaller ids; a query's own id isn't its neighbour. Equal vectors
     are searched as one and their k + 1 least ids stand for them, which is exact by the tie rule, so masses of copies
-    cost nothing. Vectors that are null, zero or not finite take no part; all others must have one length. Repeated
-    ids count once per distinct vector. An empty table gives an empty result; other columns are left out.
+    cost nothing. Vectors that are null, zero or not finite take no part; all others must have one length. Of a
+    repeated id the least vector counts. An empty table gives an empty result; other columns are left out.
     """
     spark = vectors.sparkSession
-    base = stored(clean(vectors, id, vector).distinct(), "ann-vectors")
+    base = stored(clean(vectors, id, vector).groupBy("_id").agg(F.min("vector").alias("vector")), "ann-vectors")
     # The k + 1 least ids of each distinct vector, limited before the shuffle.
     by = Window.partitionBy("vector").orderBy("_id")
     few = base.withColumn("_rank", F.row_number().over(by)).where(F.col("_rank") <= k + 1)
@@ -215,8 +215,12 @@ def nearest(
                 yield part.assign(unit=list(unit), block=blocks_of(unit @ matrix, tree) * parts + deal)
 
     index = stored(classes.mapInPandas(placed, "vector array<double>, ids array<long>, unit array<double>, block long"), "ann-index")
+    # Queries of equal vectors are searched once, under their least id; `alike` leads from it to all of them.
     rows = base.where(is_query(F.col("_id"))).select(F.col("_id").alias("query_id"), "vector")
-    asked = stored(rows.mapInPandas(placed, "query_id long, vector array<double>, unit array<double>, block long"), "ann-queries")
+    first = rows.groupBy("vector").agg(F.min("query_id").alias("query_id"))
+    asked = stored(first.select("query_id", "vector").mapInPandas(placed, "query_id long, vector array<double>, unit array<double>, block long"), "ann-queries")
+    of = first.select("vector", F.col("query_id").alias("_first"))
+    alike = rows.join(of, "vector").select("_first", "query_id")
 
     def searched(queries: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         found = search_block(queries, held, k, confidence) if len(queries) and len(held) else []
@@ -249,6 +253,10 @@ def nearest(
 
     chosen = bounded.select("query_id", "vector", "unit", "block", "bound")
     away = search(chosen.mapInPandas(routed, "query_id long, vector array<double>, unit array<double>, block long, bound double"))
-    merged = home.unionByName(away).where("query_id <> _id").groupBy("query_id", "_id").agg(F.max("score").alias("score"))
-    ranked = merged.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("_id").alias(id), "score")
+    merged = home.unionByName(away).groupBy("query_id", "_id").agg(F.max("score").alias("score"))
+    # One more than asked for, as every query but one of the class meets itself among them.
+    top = stored(merged.withColumn("_rank", F.row_number().over(best)).where(F.col("_rank") <= k + 1).select(F.col("query_id").alias("_first"), "_id", "score"), "ann-found")
+    lists = top.groupBy("_first").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("minus"), "_id"))).alias("found"))
+    own = alike.join(lists, "_first").select("query_id", F.slice(F.filter("found", lambda x: x["_id"] != F.col("query_id")), 1, k).alias("found"))
+    ranked = own.select("query_id", F.posexplode("found").alias("_at", "x"))
+    return ranked.select("query_id", (F.col("_at") + 1).cast("int").alias("rank"), F.col("x._id").alias(id), (-F.col("x.minus")).alias("score"))
