@@ -331,7 +331,8 @@ def parsed(pages: DataFrame) -> DataFrame:
                 page = Page(source or "")
                 number = {id(n): i for i, n in enumerate(preorder(page.root))}
                 skeletons.append(written(page.root))
-                blocks.append([{"node": number[id(n)], "text": t} for n, t in page.main_blocks()])
+                # A title is its page's own, also on a host of near copies.
+                blocks.append([{"node": -1 if n.label.split(".")[0] == "h1" else number[id(n)], "text": t} for n, t in page.main_blocks()])
             yield pd.DataFrame({"page_id": part["page_id"], "url": part["url"], "host": part["host"], "skeleton": skeletons, "blocks": blocks})
 
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit(""))).alias("host")
@@ -382,8 +383,5 @@ def main_texts(pages: DataFrame) -> DataFrame:
     judged = sited.join(checked_broadcast(by_host, SMALL_ROWS), F.col("host") == F.col("_host"), "left")
     is_template = lambda b: F.array_contains("constant", F.struct(F.get("places", b["node"]).alias("place"), F.xxhash64(b["text"]).alias("hash")))
     kept = F.when(F.col("constant").isNull(), F.col("blocks")).otherwise(F.filter("blocks", lambda b: ~is_template(b)))
-    size = lambda blocks: F.aggregate(blocks, F.lit(0), lambda n, b: n + F.length(b["text"]))
-    # Pages that differ from each other in their lesser part are near copies, not one template: they keep all.
-    chosen = judged.select("page_id", "url", "blocks", kept.alias("kept")).withColumn("kept", F.when(2 * size(F.col("kept")) >= size(F.col("blocks")), F.col("kept")).otherwise(F.col("blocks")))
-    text = F.coalesce(F.array_join(F.transform("kept", lambda b: b["text"]), "\n"), F.lit(""))
-    return chosen.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+    text = F.coalesce(F.array_join(F.transform(kept, lambda b: b["text"]), "\n"), F.lit(""))
+    return judged.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
