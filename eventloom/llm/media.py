@@ -144,10 +144,10 @@ def items_of(page: str | None) -> list[dict]:
 def interleaved(pages: DataFrame, html: str = "html") -> DataFrame:
     """The other columns of `pages`, and items: array of (pos, kind text or media, text, media_ref, caption) in document order.
 
-    A null or empty page gives an empty array; repeated rows each get theirs. A map stage, no shuffle.
+    A null or empty page gives an empty array; repeated rows each get theirs; a column named items is replaced. A map
+    stage, no shuffle.
     """
-
-    kept = [c for c in pages.columns if c != html]
+    kept = [c for c in pages.columns if c not in (html, "items")]
 
     def parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
@@ -192,13 +192,14 @@ def resolved(sequences: DataFrame, features: DataFrame) -> DataFrame:
     """One row per media item of `sequences` (as `interleaved` gives), joined by digest to its media.
 
     References are `cas:` and a digest; one that the store lacks keeps null columns. Only small rows are shuffled; a
-    digest that many documents share is a skewed key of narrow rows, which adaptive execution splits.
+    digest that many documents share is a skewed key of narrow rows, which adaptive execution splits. Columns of
+    `sequences` with the names of the added ones are replaced.
     """
-    item = F.explode(F.filter("items", lambda x: x["kind"] == "media")).alias("item")
-    wanted = sequences.select(*[c for c in sequences.columns if c != "items"], item).select(
-        *[c for c in sequences.columns if c != "items"], F.col("item.pos").alias("pos"), F.col("item.caption").alias("caption"),
-        F.regexp_replace("item.media_ref", "^cas:", "").alias("digest"),
-    )
+    item = F.explode(F.filter("items", lambda x: x["kind"] == "media")).alias("_item")
+    kept = [c for c in sequences.columns if c not in ("items", "pos", "caption", *features.columns)]
+    wanted = sequences.select(*kept, item).select(
+        *kept, F.col("_item.pos").alias("pos"), F.col("_item.caption").alias("caption"), F.regexp_replace("_item.media_ref", "^cas:", "").alias("digest")
+    )
     return wanted.join(features, "digest", "left")
 
 

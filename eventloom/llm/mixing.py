@@ -91,13 +91,13 @@ def mixed_documents(docs: DataFrame, cap: int = CAP, weights: tuple[int, ...] =
     taken = mix(docs, cap, weights)
     copies = F.when(F.col("size") == 0, 1).otherwise(F.floor((2 * F.col("taken") + F.col("size")) / F.when(F.col("size") > 0, 2 * F.col("size")).otherwise(1)))
     # Rows that agree in id and text take the same part of the budget together: the sum of their copies is spread again.
-    wanted = taken.withColumn("copies", copies.cast("int")).groupBy("doc_id", "tie").agg(F.sum("copies").alias("total"), F.count("*").alias("rows"))
+    wanted = taken.withColumn("copies", copies.cast("int")).groupBy("doc_id", "tie").agg(F.sum("copies").alias("_total"), F.count("*").alias("_rows"))
     keyed = docs.withColumn("_tie", F.xxhash64("text"))
     joined = keyed.join(
-        wanted.select(F.col("doc_id").alias("_id"), F.col("tie").alias("_t"), "total", "rows"),
+        wanted.select(F.col("doc_id").alias("_id"), F.col("tie").alias("_t"), "_total", "_rows"),
         keyed["doc_id"].eqNullSafe(F.col("_id")) & (keyed["_tie"] == F.col("_t")),
     )
-    each = F.ceil(F.col("total") / F.col("rows")).cast("int")
+    each = F.ceil(F.col("_total") / F.col("_rows")).cast("int")
     return joined.where(each > 0).select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), each)).alias("_copy")).drop("_copy")
 
 

@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -178,18 +179,24 @@ def trained(docs: DataFrame, labels: DataFrame, held_out: int = 2, sample: int =
 def scored(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """`docs` with score (0 to 1) and predicted (1 from `threshold` on): all passages of the whole texts, in one map stage.
 
-    Null and empty texts are one empty passage; repeated rows score alike; an empty table gives an empty result.
+    Null and empty texts are one empty passage; repeated rows score alike; an empty table gives an empty result; columns
+    of these two names are replaced.
     """
-    schema = docs.select("*", F.lit(0.0).alias("score"), F.lit(0).alias("predicted")).schema
+    rest = docs.drop("score", "predicted")
+    schema = rest.select("*", F.lit(0.0).alias("score"), F.lit(0).alias("predicted")).schema
 
     def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
             if len(part):
-                # A few hundred texts at a time keep the byte arrays small.
-                scores = np.concatenate([model.scores(part["text"].iloc[i : i + 256].tolist()) for i in range(0, len(part), 256)])
+                scores = scores_of(part["text"], model)
                 yield part.assign(score=scores, predicted=(scores >= threshold).astype(np.int32))
 
-    return docs.mapInPandas(made, schema)
+    return rest.mapInPandas(made, schema)
+
+
+def scores_of(texts: pd.Series, model: Model) -> np.ndarray:
+    """A few hundred texts at a time keep the byte arrays small."""
+    return np.concatenate([model.scores(texts.iloc[i : i + 256].tolist()) for i in range(0, len(texts), 256)])
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, held_out: int = 2) -> DataFrame:
@@ -199,6 +206,13 @@ def quality_scores(docs: DataFrame, labels: DataFrame, held_out: int = 2) -> Dat
     return done.select("doc_id", (fold("doc_id") == held_out).alias("held_out"), "score", "predicted")
 
 
-def accepted(docs: DataFrame, labels: DataFrame, held_out: int = 2) -> DataFrame:
+def accepted(docs: DataFrame, labels: DataFrame, held_out: int = 2, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that the classifier accepts, with the columns of `docs`."""
-    return scored(docs, trained(docs, labels, held_out)).where("predicted = 1").select(*docs.columns)
+    model = trained(docs, labels, held_out)
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            if part.num_rows:
+                yield part.filter(pa.array(scores_of(part.column("text").to_pandas(), model) >= threshold))
+
+    return docs.mapInArrow(kept, docs.schema)

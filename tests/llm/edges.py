@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-DOC = "doc_id long, text string, lang string, source string, n_chars long, score double, block long"
+DOC = "doc_id long, text string, lang string, source string, n_chars long, score double, rows long"
 
 
 def documents(spark, texts, sources=("a", "b", None)):
