@@ -17,6 +17,7 @@ from eventloom.operators import state as S
 from eventloom.operators import windows as W
 from eventloom.plans import harness as H
 from eventloom.plans.tables import CHAINS_SQL, EVENTS_SQL, chains, events, table
+from eventloom.sources import synthetic
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -687,3 +688,20 @@ def cell_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every kept chain in its cell's own lines; tests hold the lines against hand-made ones."""
     kept = H.passing(H.fixed_chains(H.candidates(run_events(spark, sf_dir), cuts=CUTS)))
     return C.prompts(H.rendered(kept))
+
+
+#: Games per cell of the synthetic pilot.
+PILOT_GAMES = {"fortnite": 200, "nba": 300, "csgo": 150, "rocket_league": 250}
+
+
+@query()
+def synthetic_pilot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Synthetic streams of four cells cut by sliding windows of 5 every 3 events; tests know the counts."""
+    made = None
+    for cell, games in PILOT_GAMES.items():
+        one = synthetic.streams(spark, cell, games)
+        made = one if made is None else made.unionByName(one)
+    cut = W.sliding(made, X.is_actionable(F.col("event_type"), F.col("cell")))
+    cell = F.regexp_extract("game_id", "^(.*)_mock_", 1).alias("cell")
+    chains = cut.groupBy(cell).agg(F.count("*").alias("n_chains"), F.sum("n_actionable").alias("n_actionable"))
+    return made.groupBy("cell").agg(F.countDistinct("game_id").alias("n_streams"), F.count("*").alias("n_events")).join(chains, "cell")

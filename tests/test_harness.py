@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from eventloom.operators import pairing as P
 from eventloom.plans import harness as H
+from eventloom.plans.queries import synthetic_pilot
 
 SCHEMA = "game_id string, cell string, sequence_idx long, timestamp double, event_type string, actor string, actor_team string, phase string, context string, period long, round long"
 
@@ -91,3 +92,9 @@ def test_scores(spark):
     assert [(r["baseline_ok"], r["intervention_ok"], r["label"]) for r in rows] == [(True, False, 1), (None, None, -1), (None, True, -1)]
     lights = H.readiness(spark.createDataFrame([("a", True, True), ("b", False, True), ("c", False, False)], "cell string, has_access boolean, has_synthetic boolean"))
     assert [r["light"] for r in lights.orderBy("cell").collect()] == ["green", "yellow", "red"]
+
+
+def test_synthetic_pilot(spark):
+    """The published sizes of a pilot over as many games."""
+    rows = {r["cell"]: (r["n_streams"], r["n_events"], r["n_chains"]) for r in synthetic_pilot(spark, "").collect()}
+    assert rows == {"fortnite": (200, 24_000, 8_000), "nba": (300, 55_200, 18_420), "csgo": (150, 45_000, 15_000), "rocket_league": (250, 50_000, 16_750)}
