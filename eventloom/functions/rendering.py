@@ -1,11 +1,12 @@
-"""Event lines per cell: from `context`, a JSON object whose fields keep their order, and `player`, the chain-local name.
+"""Event lines per cell: from `context`, a JSON object whose fields keep their order, `fields`, its values by name
+(`with_fields` reads them once), and `player`, the chain-local name.
 
 Violation markers come first, so that nothing crowds them out.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.functions.expressions import short_value, team_slot
@@ -15,8 +16,12 @@ FIELDS, SUMMARY = 6, 120
 HIDDEN = ("eliminates_player", "already_eliminated_player", "eliminated_at_event", "safety_zone_radius")
 
 
-def field(name: str, context: str = "context") -> Column:
-    return F.get_json_object(context, f"$.{name}")
+def with_fields(events: DataFrame) -> DataFrame:
+    return events.withColumn("fields", F.from_json("context", "map<string,string>"))
+
+
+def field(name: str) -> Column:
+    return F.col("fields")[name]
 
 
 def shown(name: str, missing: str = "?") -> Column:
@@ -40,7 +45,7 @@ def joined(between: str, *parts: Column) -> Column:
 def summary(context: str = "context", hidden: tuple[str, ...] = ()) -> Column:
     """The first fields as `k=v`, reals with two places, long texts cut, the whole cut too."""
     keys = F.filter(F.coalesce(F.json_object_keys(context), F.array().cast("array<string>")), lambda k: ~k.isin(*hidden) if hidden else F.lit(True))
-    values = F.from_json(context, "map<string,string>")
+    values = F.col("fields")
     real = lambda v: v.rlike(r"^-?\d+\.\d+([eE][-+]?\d+)?$")
     told = lambda v: F.when(real(v), F.format_string("%.2f", v.try_cast("double"))).otherwise(short_value(v))
     return F.coalesce(F.substring(F.array_join(F.transform(F.slice(keys, 1, FIELDS), lambda k: F.concat(k, F.lit("="), told(F.coalesce(values[k], F.lit("None"))))), ", "), 1, SUMMARY), F.lit(""))

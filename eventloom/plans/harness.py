@@ -105,7 +105,7 @@ def rendered(members: DataFrame) -> DataFrame:
     key = ["game_id", "chain_id"]
     first = members.groupBy(*key, "actor").agg(F.min("slot").alias("_first"))
     named = first.withColumn("player", F.concat(F.lit("Player_"), (F.row_number().over(Window.partitionBy(*key).orderBy("_first")) - 1).cast("string"))).drop("_first")
-    lines = members.join(named, [*key, "actor"])
+    lines = R.with_fields(members.join(named, [*key, "actor"]))
     names = Window.partitionBy(*key)
     of = F.map_from_entries(F.array_distinct(F.collect_list(F.struct("actor", "player")).over(names)))
     of_name = lambda k: F.coalesce(F.element_at("_names", R.field(k)), R.field(k))
