@@ -25,9 +25,18 @@ from eventloom.llm.common import stored
 ROW_BYTES = 192
 PNG_HEAD = b"\x89PNG\r\n\x1a\n"
 ZLIB_LEVEL = 3
+#: Rows that a task holds in several forms at once.
+SLICE = 256
 ITEM = "pos int, kind string, text string, media_ref string, caption string"
 
 
+def slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The batches in smaller parts: pages, payloads and images of a whole batch would fill a worker's memory."""
+    for part in batches:
+        for at in range(0, len(part), SLICE):
+            yield part.iloc[at : at + SLICE]
+
+
 # --- payload and PNG -------------------------------------------------------------------------------------------
 def payload_of(text: str | None) -> bytes:
     """UTF-8, filled with spaces up to a positive multiple of ROW_BYTES."""
@@ -150,7 +159,7 @@ def interleaved(pages: DataFrame, html: str = "html") -> DataFrame:
     kept = [c for c in pages.columns if c not in (html, "items")]
 
     def parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in batches:
+        for part in slices(batches):
             yield part[kept].assign(items=[items_of(p) for p in part[html]])
 
     schema = T.StructType([*(pages.schema[c] for c in kept), T.StructField("items", T.ArrayType(T.StructType.fromDDL(ITEM)))])
@@ -161,12 +170,12 @@ def interleaved(pages: DataFrame, html: str = "html") -> DataFrame:
 def stored_media(payload_texts: DataFrame, text: str = "text") -> DataFrame:
     """A media store (digest, media) of the payloads of all texts, written to the shared folder and read back.
 
-    A batch writes equal payloads once; others may recur between batches with equal bytes, which costs space but no
+    A slice of a batch writes equal payloads once; others may recur between slices with equal bytes, which costs space but no
     shuffle of payloads. `media_features` drops repeats when only small rows are left.
     """
 
     def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in batches:
+        for part in slices(batches):
             new = {hashlib.sha256(p).hexdigest(): p for p in map(payload_of, part["_text"])}
             yield pd.DataFrame({"digest": list(new), "media": [png_of(p) for p in new.values()]})
 
@@ -174,10 +183,10 @@ def stored_media(payload_texts: DataFrame, text: str = "text") -> DataFrame:
 
 
 def media_features(store: DataFrame) -> DataFrame:
-    """One row per digest, all from the stored bytes."""
+    """One row per digest, all from the stored bytes; written, so that joins on a digest that many share can be split."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in batches:
+        for part in slices(batches):
             rows = []
             for digest, media in zip(part["digest"], part["media"], strict=True):
                 x = samples_of(media)
@@ -185,7 +194,7 @@ def media_features(store: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["digest", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
     schema = "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return store.mapInPandas(read, schema).dropDuplicates(["digest"])
+    return stored(store.mapInPandas(read, schema).dropDuplicates(["digest"]), "media-features")
 
 
 def resolved(sequences: DataFrame, features: DataFrame) -> DataFrame:
@@ -207,7 +216,7 @@ def pages_of(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, html: every text as a page, a paragraph followed by a figure that refers to its payload."""
 
     def written(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in batches:
+        for part in slices(batches):
             sizes, pages = [], []
             for text in part["text"]:
                 payload = payload_of(text)
