@@ -374,7 +374,8 @@ def main_texts(pages: DataFrame) -> DataFrame:
     counts = seen.groupBy("host").agg(F.countDistinct("page").alias("pages")).where(F.col("pages") >= CONSTANT_PAGES)
     held = seen.select("host", "page", F.explode(F.array_distinct("held")).alias("b")).select("host", "page", "b.place", "b.hash").where("place >= 0")
     per_block = held.groupBy("host", "place", "hash").agg(F.countDistinct("page").alias("n"))
-    common = per_block.join(counts, "host").withColumn("_constant", F.col("n") >= F.greatest(F.lit(CONSTANT_PAGES), CONSTANT_SHARE * F.col("pages")))
+    # Few rows per host and node leave the join, so that no host's blocks meet in one task.
+    common = per_block.join(checked_broadcast(stored(counts, "wrapper-counts"), SMALL_ROWS), "host").withColumn("_constant", F.col("n") >= F.greatest(F.lit(CONSTANT_PAGES), CONSTANT_SHARE * F.col("pages")))
     # A node whose blocks vary is a slot: a passage that many articles share stays.
     nodes = common.groupBy("host", "place").agg(F.sum("n").alias("_all"), F.sum(F.when(F.col("_constant"), F.col("n")).otherwise(0)).alias("_same"), F.collect_set(F.when(F.col("_constant"), F.col("hash"))).alias("hashes"))
     fixed = nodes.where((F.col("_same") > 0) & (F.col("_same") >= CONSTANT_SHARE * F.col("_all"))).select("host", F.explode(F.transform("hashes", lambda h: F.struct("place", h.alias("hash")))).alias("b"))
