@@ -17,7 +17,7 @@ from eventloom.operators import state as S
 from eventloom.operators import windows as W
 from eventloom.plans import harness as H
 from eventloom.plans.tables import CHAINS_SQL, EVENTS_SQL, chains, events, table
-from eventloom.sources import synthetic
+from eventloom.sources import files, synthetic
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -705,3 +705,56 @@ def synthetic_pilot(spark: SparkSession, sf_dir: str) -> DataFrame:
     cell = F.regexp_extract("game_id", "^(.*)_mock_", 1).alias("cell")
     chains = cut.groupBy(cell).agg(F.count("*").alias("n_chains"), F.sum("n_actionable").alias("n_actionable"))
     return made.groupBy("cell").agg(F.countDistinct("game_id").alias("n_streams"), F.count("*").alias("n_events")).join(chains, "cell")
+
+
+# --- further projections -----------------------------------------------------------------------------------------------------------
+@query(on_events("SELECT game_id, string_agg(actor, ',' ORDER BY first_idx) AS actors, count(*) AS n FROM (SELECT game_id, actor, min(sequence_idx) AS first_idx FROM ev GROUP BY ALL) GROUP BY game_id"))
+def ordered_actors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct actors of each game by first appearance."""
+    first = events(spark, sf_dir).groupBy("game_id", "actor").agg(F.min("sequence_idx").alias("first_idx"))
+    per = first.groupBy("game_id").agg(F.array_sort(F.collect_list(F.struct("first_idx", "actor"))).alias("x"), F.count("*").alias("n"))
+    return per.select("game_id", F.array_join(F.transform("x", lambda a: a["actor"]), ",").alias("actors"), "n")
+
+
+@query(
+    on_events(
+        """SELECT cell, event_type, n FROM (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY n DESC, first_seen) AS r
+        FROM (SELECT cell, event_type, count(*) AS n, min(game_id * 1000000 + sequence_idx) AS first_seen FROM ev GROUP BY 1, 2)) WHERE r <= 3"""
+    )
+)
+def top_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three most frequent types of each cell; ties go to the type seen first."""
+    best = F.row_number().over(Window.partitionBy("cell").orderBy(F.desc("n"), "first_seen"))
+    return type_histogram(spark, sf_dir).withColumn("r", best).where("r <= 3").select("cell", "event_type", "n")
+
+
+@query(f"SELECT chain_no % 10 < 3 AS degraded, count(*) AS n_chains, sum(n_actionable)::BIGINT AS n_actionable FROM ({ORACLE_SQL['sliding_windows']}) GROUP BY 1")
+def noisy_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three of ten chains of a game are marked as degraded."""
+    return sliding_windows(spark, sf_dir).groupBy((F.col("chain_no") % 10 < 3).alias("degraded")).agg(F.count("*").alias("n_chains"), F.sum("n_actionable").alias("n_actionable"))
+
+
+@query(r"SELECT conv_id, turn, regexp_extract('so' || chr(10) || ' rule: ' || substr(text, 1, 20), '(?im)^\s*RULE:\s*(.+)$', 1) AS rule FROM conversations")
+def cited_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = F.concat(F.lit("so\n rule: "), F.substring("text", 1, 20))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", X.cited(raw, "RULE").alias("rule"))
+
+
+@query("SELECT cell, batch, count(*) AS n FROM (SELECT o_orderpriority AS cell, (row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) - 1) // 1000 AS batch FROM orders) GROUP BY ALL")
+def request_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("cell"), "o_orderkey")
+    return files.request_batches(rows, ["o_orderkey"], 1_000).groupBy("cell", "batch").agg(F.count("*").alias("n"))
+
+
+@query("SELECT lower(replace(c_name, '-', '')) AS match_id, CAST(c_custkey % 2 AS INTEGER) AS list, c_custkey AS place FROM customer")
+def merged_id_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Even customers stand in both lists and keep their place in the first one."""
+    ids = table(spark, sf_dir, "customer").select(F.col("c_name").alias("match_id"), F.col("c_custkey").alias("place"))
+    return files.merged_ids(ids.where("place % 2 = 0"), ids)
+
+
+@query("SELECT lang, quality AS correct, count(*) AS n, CASE WHEN quality IS NULL THEN -1 ELSE quality END AS score_label FROM documents LEFT JOIN labels USING (doc_id) GROUP BY ALL")
+def score_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Right, wrong and abstained answers as 1, 0 and -1."""
+    rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    return rows.groupBy("lang", F.col("quality").alias("correct")).agg(F.count("*").alias("n")).withColumn("score_label", H.score_label(F.col("correct") == 1))
