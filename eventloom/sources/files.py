@@ -111,7 +111,7 @@ def archive_manifest(responses: DataFrame, label: str = "label") -> DataFrame:
     )
 
 
-def batch_ids(lines: DataFrame, by: Column, pattern: str = r"(msgbatch_[A-Za-z0-9]+)") -> DataFrame:
+def batch_ids(lines: DataFrame, by: Column, pattern: str = r"(msgbatch_\w+)") -> DataFrame:
     """The batches that log lines (value, place) name: the first per group is the clean arm, the second the adversarial."""
     found = lines.select(by.alias("cell"), "place", F.regexp_extract("value", pattern, 1).alias("batch")).where("batch <> ''")
     first = found.groupBy("cell", "batch").agg(F.min("place").alias("place"))
