@@ -292,8 +292,9 @@ def near_duplicate_components(docs: DataFrame, similarity: int = SIMILARITY, wor
     sizes = stored(digests(docs, words), "jaccard-digests")
     named = sizes.where("doc_id is not null and n > 0")
     classes = named.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows"))
-    repeated = classes.where("rows > 1").select("n", "d1", "d2", "rep")
-    copies = stored(named.join(repeated, ["n", "d1", "d2"]).where("doc_id <> rep").select("doc_id", "rep"), "jaccard-copies")
+    # Written before the join, so that a large class is a skewed join side, which can be split, and not also a group.
+    repeated = stored(classes.where("rows > 1").select("n", "d1", "d2", "rep"), "jaccard-repeated")
+    copies = stored(named.join(checked_broadcast(repeated), ["n", "d1", "d2"]).where("doc_id <> rep").select("doc_id", "rep"), "jaccard-copies")
     bare = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
     single = bare.join(checked_broadcast(copies.select("doc_id").distinct()), "doc_id", "left_anti")
 
