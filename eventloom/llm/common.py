@@ -16,6 +16,21 @@ BROADCAST_ROWS = 100_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: What operators remember in a worker process, by operator: something with `clear`.
+_REMEMBERED: dict[str, object] = {}
+
+
+def remembering(operator: str, cache: object = None) -> None:
+    """Called in a worker before an operator's work: what other operators remember there is forgotten.
+
+    Workers serve many stages. Each cache has its bound, but all of them together would fill an executor.
+    """
+    for other in [k for k in _REMEMBERED if k != operator]:
+        _REMEMBERED.pop(other).clear()
+    if cache is not None:
+        _REMEMBERED[operator] = cache
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A folder that the driver and all executors see: `spark.checkpoint.dir`.
 

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from eventloom.llm.common import checked_broadcast, stored
+from eventloom.llm.common import checked_broadcast, remembering, stored
 from eventloom.llm.components import components
 
 WORDS = 5
@@ -155,6 +155,7 @@ def digests(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """doc_id, n, two sums over the set's hashes that tell equal sets, and the set's parities."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remembering("jaccard", _WORDS)
         for part in batches:
             texts = part.column("text").to_pylist()
             rows, bits = np.zeros((3, len(texts)), np.int64), np.zeros((len(texts), SKETCH), np.int64)
@@ -177,6 +178,7 @@ def signature_rows(docs: DataFrame, similarity: int, words: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["sig", "doc", "tag"])
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remembering("jaccard", _WORDS)
         for part in batches:
             sigs, ids, tags, held = [], [], [], 0
             for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
@@ -199,6 +201,7 @@ def signature_rows(docs: DataFrame, similarity: int, words: int) -> DataFrame:
 
 def sets_of(docs: DataFrame, words: int) -> DataFrame:
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remembering("jaccard", _WORDS)
         for part in batches:
             sets = [shingles(t, words).tobytes() for t in part.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets, pa.binary())], ["doc", "hashes"])

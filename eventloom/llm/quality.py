@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from eventloom.llm.common import remembering
+
 #: Bytes of a passage.
 PASSAGE = 400
 #: Labelled documents that the model is fitted on, at most, and passages of one of them (evenly spread).
@@ -196,6 +198,7 @@ def scored(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataF
 
 def scores_of(texts: pd.Series, model: Model) -> np.ndarray:
     """A few hundred texts at a time keep the byte arrays small."""
+    remembering("quality")
     return np.concatenate([model.scores(texts.iloc[i : i + 256].tolist()) for i in range(0, len(texts), 256)])
 
 

@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from eventloom.llm.common import remembering
+
 #: Rules in their order: kind, pattern. Sets, groups, `?`, `+`, `*` and `{n}` / `{n,}` are understood.
 #: The first three are the contract's; minimum lengths that can't change where a match starts are in the pattern.
 #: `assign` consumes short values too, as the contract says, and drops them afterwards.
@@ -293,6 +295,7 @@ def scan(docs: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, text: str
     """
 
     def scanned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        remembering("secrets")
         for part in batches:
             spans = [[{"start": s, "kind": k, "end": e} for s, k, e in spans_of(t, rules)] for t in part["_text"]]
             yield pd.DataFrame({id: part[id], "spans": spans})
@@ -309,6 +312,7 @@ def redacted(docs: DataFrame, rules: tuple[tuple[str, str], ...] = RULES) -> Dat
     names = docs.columns
 
     def masked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        remembering("secrets")
         for part in batches:
             texts = []
             for text in part["text"]:

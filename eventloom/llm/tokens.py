@@ -13,6 +13,8 @@ import struct
 import numpy as np
 import regex
 
+from eventloom.llm.common import remembering
+
 #: Units remembered by a worker before it starts anew: bounds its memory.
 REMEMBERED = 1_000_000
 
@@ -111,6 +113,7 @@ _ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 def encoder(path: str, keeps_space: bool) -> Encoder:
     """One per worker process: what it remembers serves later tasks too."""
+    remembering(f"tokens {path}", _ENCODERS)
     if (path, keeps_space) not in _ENCODERS:
         _ENCODERS[path, keeps_space] = Encoder(path, keeps_space)
     return _ENCODERS[path, keeps_space]
