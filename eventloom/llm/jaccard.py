@@ -32,12 +32,20 @@ SMALL_SEGMENT_COST = 8
 #: Words of a set's parities.
 SKETCH = 16
 #: Rows of one Arrow batch that a task sends.
-BATCH_ROWS = 200_000
-#: Words whose hashes a worker remembers.
-REMEMBERED = 1_000_000
+BATCH_ROWS = 100_000
+#: Words whose hashes a worker remembers: hashing one anew is cheap, so this bounds memory first.
+REMEMBERED = 250_000
+#: Texts or pairs of sets that a worker unpacks at once.
+SLICE = 500
 U64 = np.uint64
 
 
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in batches:
+        for at in range(0, part.num_rows, SLICE):
+            yield part.slice(at, SLICE)
+
+
 # --- shingles --------------------------------------------------------------------------------------------------
 class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
@@ -156,7 +164,7 @@ def digests(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         remembering("jaccard", _WORDS)
-        for part in batches:
+        for part in slices(batches):
             texts = part.column("text").to_pylist()
             rows, bits = np.zeros((3, len(texts)), np.int64), np.zeros((len(texts), SKETCH), np.int64)
             for k, text in enumerate(texts):
@@ -179,7 +187,7 @@ def signature_rows(docs: DataFrame, similarity: int, words: int) -> DataFrame:
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         remembering("jaccard", _WORDS)
-        for part in batches:
+        for part in slices(batches):
             sigs, ids, tags, held = [], [], [], 0
             for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
                 h = shingles(text, words)
@@ -202,7 +210,7 @@ def signature_rows(docs: DataFrame, similarity: int, words: int) -> DataFrame:
 def sets_of(docs: DataFrame, words: int) -> DataFrame:
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         remembering("jaccard", _WORDS)
-        for part in batches:
+        for part in slices(batches):
             sets = [shingles(t, words).tobytes() for t in part.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets, pa.binary())], ["doc", "hashes"])
 
@@ -213,7 +221,7 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     """Those of the distinct pairs (a, b) whose sets are similar enough."""
 
     def tested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in batches:
+        for part in slices(batches):
             keep = []
             for x, y in zip(part.column("left").to_pylist(), part.column("right").to_pylist(), strict=True):
                 x, y = np.frombuffer(x, U64), np.frombuffer(y, U64)
