@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window, WindowSpec
 
 
@@ -70,22 +74,42 @@ def folded_stacks(actions: DataFrame, starting: int, seats: int) -> DataFrame:
 
     `actions`: hand, step, seat, move (fold, call, raise, deal), amount. A raise to an amount adds what the seat hasn't
     put in on this street, at most down to an empty stack; a call adds what is missing, at most the stack; a deal clears
-    the street. Clamps make this no prefix sum, so it is a fold over the hand's ordered actions, which are few.
+    the street. Clamps make this no prefix sum, so it is a fold over the hand's ordered actions: hands are sorted within
+    their partitions and one pass keeps a running state, so time is linear and memory doesn't grow with a hand.
     Gives hand, step, seat, move, stack, pot, bet.
     """
-    longs = f"array_repeat(cast({starting} as bigint), {seats})"
-    zeros = f"array_repeat(cast(0 as bigint), {seats})"
-    hands = actions.groupBy("hand").agg(F.array_sort(F.collect_list(F.struct("step", "seat", "move", "amount"))).alias("acts"))
-    # First what the action puts in and the street's new state, then the new lists.
-    added = "CASE x.move WHEN 'raise' THEN greatest(0, x.amount - s.put[x.seat]) WHEN 'call' THEN least(greatest(0, s.bet - s.put[x.seat]), s.stacks[x.seat]) ELSE 0 END"
-    new_put = "CASE WHEN x.move = 'deal' THEN {zeros} ELSE transform(s.put, (v, i) -> CASE WHEN i <> x.seat THEN v WHEN x.move = 'raise' THEN x.amount WHEN x.move = 'call' THEN v + ({added}) ELSE v END) END"
-    new_put = new_put.replace("{zeros}", zeros).replace("{added}", added)
-    stacks = f"transform(s.stacks, (v, i) -> CASE WHEN i = x.seat THEN greatest(0, v - ({added})) ELSE v END)"
-    bet = "CASE x.move WHEN 'raise' THEN x.amount WHEN 'deal' THEN cast(0 as bigint) ELSE s.bet END"
-    out = f"named_struct('step', x.step, 'seat', x.seat, 'move', x.move, 'stack', greatest(0, s.stacks[x.seat] - ({added})), 'pot', s.pot + ({added}), 'bet', {bet})"
-    zero = (
-        f"named_struct('stacks', {longs}, 'put', {zeros}, 'pot', cast(0 as bigint), 'bet', cast(0 as bigint), "
-        "'out', cast(array() as array<struct<step:bigint,seat:int,move:string,stack:bigint,pot:bigint,bet:bigint>>))"
-    )
-    step = f"(s, x) -> named_struct('stacks', {stacks}, 'put', {new_put}, 'pot', s.pot + ({added}), 'bet', {bet}, 'out', concat(s.out, array({out})))"
-    return hands.select("hand", F.explode(F.expr(f"aggregate(acts, {zero}, {step}).out")).alias("a")).select("hand", "a.*")
+    kind = actions.schema["hand"].dataType
+    out = T.StructType([T.StructField("hand", kind)]).add("step", "long").add("seat", "integer").add("move", "string").add("stack", "long").add("pot", "long").add("bet", "long")
+    shape = pa.schema([("step", pa.int64()), ("seat", pa.int32()), ("move", pa.string()), ("stack", pa.int64()), ("pot", pa.int64()), ("bet", pa.int64())])
+
+    def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, stacks, put, pot, bet = None, [], [], 0, 0
+        for batch in batches:
+            rows: list[tuple] = []
+            for hand, step, seat, move, amount in zip(*(batch.column(c).to_pylist() for c in ("hand", "step", "seat", "move", "amount")), strict=True):
+                if not stacks or hand != at:
+                    at, stacks, put, pot, bet = hand, [starting] * seats, [0] * seats, 0, 0
+                if seat is not None and not 0 <= seat < seats:
+                    raise ValueError(f"seat {seat} of {seats}")
+                # A null seat puts in nothing; what is missing of a null amount or bet is 0.
+                put_in, stack = (None, 0) if seat is None else (put[seat], stacks[seat])
+                asked = {"raise": amount, "call": bet}.get(move)
+                added = 0 if asked is None or put_in is None else max(0, asked - put_in)
+                added = min(added, stack) if move == "call" else added
+                pot += added
+                if seat is not None:
+                    stack = stacks[seat] = max(0, stack - added)
+                    if move == "raise":
+                        put[seat] = amount
+                    elif move == "call" and put_in is not None:
+                        put[seat] += added
+                if move == "deal":
+                    put, bet = [0] * seats, 0
+                elif move == "raise":
+                    bet = amount
+                rows.append((step, seat, move, stack, pot, bet))
+            columns = [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), shape, strict=True)] if rows else [pa.array([], f.type) for f in shape]
+            yield pa.RecordBatch.from_arrays([batch.column("hand"), *columns], names=["hand", *shape.names])
+
+    ordered = actions.select("hand", F.col("step").cast("long"), F.col("seat").cast("int"), "move", F.col("amount").cast("long")).repartition("hand").sortWithinPartitions("hand", "step", "seat", "move", "amount")
+    return ordered.mapInArrow(folded, out)

@@ -221,7 +221,7 @@ def low_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
 def actions_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.col("event_type")
     move = F.when(kind == "player_idle", "deal").when(kind == "zone_enter", "fold").when(kind == "resource_spend", "raise").otherwise("call")
-    return events(spark, sf_dir).where("sequence_idx < 12").select(F.col("game_id").alias("hand"), F.col("sequence_idx").alias("step"), (F.col("k") % 3).cast("int").alias("seat"), move.alias("move"), (F.col("k") * 3 % 400).alias("amount"))
+    return events(spark, sf_dir).select(F.col("game_id").alias("hand"), F.col("sequence_idx").alias("step"), (F.col("k") % 3).cast("int").alias("seat"), move.alias("move"), (F.col("k") * 3 % 400).alias("amount"))
 
 
 @query(
@@ -242,6 +242,13 @@ def actions_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT hand, step, seat, move, stacks[seat + 1] AS stack, pot, bet FROM f WHERE step >= 0"""
 )
 def stack_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first twelve actions of each hand, as the SQL has them; `stack_fold_whole` folds all."""
+    return S.folded_stacks(actions_of(spark, sf_dir).where("step < 12"), 1000, 3)
+
+
+@query(ORACLE_SQL["stack_fold"].replace(" WHERE sequence_idx < 12", ""))
+def stack_fold_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every action of every hand."""
     return S.folded_stacks(actions_of(spark, sf_dir), 1000, 3)
 
 
