@@ -26,8 +26,15 @@ RULES = (
     ("access", r"AKIA[A-Z0-9]{12,}"),
     ("hex", r"[0-9a-f]{32,}"),
     ("github", r"gh[pousr]_[A-Za-z0-9]+"),
-    ("pem", r"-----BEGIN (RSA |EC |DSA |OPENSSH )?PRIVATE KEY-----"),
+    ("pem", r"-----BEGIN ((RSA |EC |DSA |OPENSSH |ENCRYPTED )?PRIVATE KEY|PGP PRIVATE KEY BLOCK)-----"),
 )
+#: What a match takes in behind its rule's pattern, which alone tells where a match starts. A key runs to its END line
+#: if no other five dashes come before that; an unclosed one takes base64, line breaks (escaped ones too) and PEM
+#: headers, as far as they go.
+TAILS = {
+    "pem": r"(([\x00-\x2c\x2e-\xff]|-[\x00-\x2c\x2e-\xff]|--[\x00-\x2c\x2e-\xff]|---[\x00-\x2c\x2e-\xff]|----[\x00-\x2c\x2e-\xff])*-----END [A-Z ]+-----"
+    r"|[A-Za-z0-9+/=]*([\x20\x09]*(\x0d|\x0a|\x5cr|\x5cn)+([\x20\x09]*[A-Za-z0-9+/=]+|(Proc-Type|DEK-Info|Version|Comment|Hash|Charset|MessageID):[\x00-\x09\x0b\x0c\x0e-\x5b\x5d-\xff]*)?)*)",
+}
 #: Lengths below which a match is consumed and then dropped: of the value for `assign`, else of the whole match.
 LEAST = {"assign": 8, "github": 40}
 
@@ -223,14 +230,14 @@ def determinise(trees: list[tuple], anywhere: bool) -> Dfa:
 
 @lru_cache(maxsize=4)
 def compiled(rules: tuple[tuple[str, str], ...]) -> tuple[list, list[Dfa]]:
-    """The combined reversed automaton, as linked rows whose entry 256 holds the rules that start there, and each rule's own forward one."""
+    """The combined reversed automaton, as linked rows whose entry 256 holds the rules that start there, and each rule's own forward one, with its tail."""
     trees = [parse(p) for _, p in rules]
     back = determinise([turned(t) for t in trees], anywhere=True)
     linked: list[list] = [[] for _ in back.rows]
     for s, row in enumerate(back.rows):
         linked[s].extend(linked[t] for t in row)
         linked[s].append(back.accepts[s])
-    return linked, [determinise([t], anywhere=False) for t in trees]
+    return linked, [determinise([parse(p + TAILS.get(kind, ""))], anywhere=False) for kind, p in rules]
 
 
 def scan_bytes(data: bytes, rules: tuple[tuple[str, str], ...] = RULES) -> list[tuple[int, int, int]]:
