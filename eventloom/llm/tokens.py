@@ -2,7 +2,8 @@
 
 Byte-pair merges never cross a pre-token and the pre-tokens of both vocabularies never cross the spaces at which texts
 are split here, so a unit's ids don't depend on its neighbours. Texts with other white space than single spaces and
-line ends between words go through the tokenizer whole.
+line ends between words go through the tokenizer whole, and so do those that hold an added token's content, which is
+that token's id as in the library's plain encode.
 """
 
 from __future__ import annotations
@@ -41,14 +42,18 @@ def plain(text: str) -> bool:
 
 
 class Encoder:
-    """encode(texts) gives each text's ids as little-endian unsigned 32-bit bytes, without any end id."""
+    """encode(texts) gives each text's ids as little-endian unsigned 32-bit bytes, without any end id.
 
-    def __init__(self, path: str, keeps_space: bool) -> None:
+    splits_added: the content of an added token, like <|endoftext|>, is split as other text is; the operators don't.
+    """
+
+    def __init__(self, path: str, keeps_space: bool, splits_added: bool = True) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = splits_added
+        self.added = [] if splits_added else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         #: Whether a space belongs to the token behind it (byte-level vocabulary) or is dropped.
         self.keeps_space = keeps_space
         self.split = regex.compile(SPACED if keeps_space else UNSPACED).findall
@@ -65,7 +70,7 @@ class Encoder:
         return text.replace("\n", " \n").split(" ")
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        whole = [i for i, t in enumerate(texts) if self.keeps_space and t and not plain(t)]
+        whole = [i for i, t in enumerate(texts) if t and ((self.keeps_space and not plain(t)) or any(a in t for a in self.added))]
         out: list[bytes] = [b""] * len(texts)
         for i, ids in zip(whole, self.raw([texts[i] for i in whole]), strict=True):
             out[i] = ids
@@ -115,7 +120,7 @@ def encoder(path: str, keeps_space: bool) -> Encoder:
     """One per worker process: what it remembers serves later tasks too."""
     remembering(f"tokens {path}", _ENCODERS)
     if (path, keeps_space) not in _ENCODERS:
-        _ENCODERS[path, keeps_space] = Encoder(path, keeps_space)
+        _ENCODERS[path, keeps_space] = Encoder(path, keeps_space, splits_added=False)
     return _ENCODERS[path, keeps_space]
 
 

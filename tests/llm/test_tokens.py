@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import random
+import zlib
 
+import edges
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
 
-from eventloom.llm.tokens import Encoder, tokenizer_path
+from eventloom.llm import packing, tokenfile
+from eventloom.llm.tokens import Encoder, encoder, tokenizer_path
 
 ODD = [
     "", " ", "a", " a", "a ", "a  b", "a\nb", "a\n\nb", "\ta b", "it's IT'S don't", "x1234y 12 3.14", "naïve Ärger ÀÉ ß", "東京 tower", "é ö", "😀 😀x", "a b", "a b",
@@ -29,3 +32,22 @@ def test_equals_tokenizer(name, keeps):
     found = Encoder(path, keeps).encode(texts)
     for text, got, want in zip(texts, found, plain.encode_batch(texts, add_special_tokens=False), strict=True):
         assert np.frombuffer(got, "<u4").tolist() == want.ids, text[:200]
+
+
+@pytest.mark.parametrize(("name", "keeps"), [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_operators_equal_untouched_library(name, keeps):
+    path, rng = tokenizer_path(name), random.Random(6)
+    untouched = Tokenizer.from_file(path)
+    marks = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext", "end. <|endoftext|> next", "a<|endoftext|>b", "İ<|startoftext|>É"]
+    texts = marks + ["".join(rng.choice(ODD + marks) + rng.choice([" ", "\n", "", "  "]) for _ in range(rng.randint(1, 8))) for _ in range(400)]
+    for text, got, want in zip(texts, encoder(path, keeps).encode(texts), untouched.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == want.ids, text
+
+
+def test_queries_keep_added_tokens(spark):
+    docs = edges.documents(spark, ["end. <|endoftext|> next", "plain words"])
+    read = {r["doc_id"]: r for r in tokenfile.read_documents(tokenfile.written_segments(docs)).collect()}
+    packed = {r["doc_id"]: r for r in packing.pack_documents(docs).collect()}
+    crc = lambda name: zlib.crc32(np.asarray([*Tokenizer.from_file(tokenizer_path(name)).encode("end. <|endoftext|> next", add_special_tokens=False).ids, 0], "<u4").tobytes())
+    assert (read[0]["n_tokens"], read[1]["start"], read[0]["ids_crc32"]) == (6, 6, crc("byte_bpe_50k.json"))
+    assert (packed[0]["length"], packed[0]["ids_crc32"]) == (5, crc("word_bpe_49k.json"))
