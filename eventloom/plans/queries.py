@@ -453,6 +453,18 @@ def parse_lenient(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw_answers(spark, sf_dir).select("doc_id", X.parse_lenient(F.col("raw")).alias("parsed"))
 
 
+@query()
+def parse_strict_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's whole text as an answer; `parse_strict` has literals and prefixes, as its SQL."""
+    return table(spark, sf_dir, "documents").select("doc_id", X.parse_strict(F.col("text"), ("yes", "no")).alias("parsed"))
+
+
+@query()
+def parse_lenient_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's whole text as an answer; `parse_lenient` has literals and prefixes, as its SQL."""
+    return table(spark, sf_dir, "documents").select("doc_id", X.parse_lenient(F.col("text")).alias("parsed"))
+
+
 @query(on_chains("""SELECT CAST(chain_no AS BIGINT) AS "index", chain_id AS chain, baseline, intervention FROM ans""", LABELS))
 def custom_id_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = answers(spark, sf_dir)
@@ -747,6 +759,12 @@ def cited_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", X.cited(raw, "RULE").alias("rule"))
 
 
+@query()
+def cited_rules_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rule cited in every message's whole text; `cited_rules` has prefixes, as its SQL."""
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", X.cited(F.col("text"), "RULE").alias("rule"))
+
+
 @query("SELECT cell, batch, count(*) AS n FROM (SELECT o_orderpriority AS cell, (row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) - 1) // 1000 AS batch FROM orders) GROUP BY ALL")
 def request_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("cell"), "o_orderkey")

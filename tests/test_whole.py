@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import json
+import re
+
+import pytest
 from comparing import SF_DIR, duck
+from pyspark.sql import functions as F
 
+from eventloom.functions import expressions as X
 from eventloom.plans import queries as Q
 from eventloom.plans.tables import EVENTS_SQL
 
@@ -27,3 +33,56 @@ def test_stack_fold_whole(spark):
         want[hand, step] = (seat, move, stacks[seat], pot, bet)
     got = {(r["hand"], r["step"]): tuple(r)[2:] for r in Q.QUERIES["stack_fold_whole"](spark, SF_DIR).collect()}
     assert max(step for _, step in want) > 12 and len(got) == len(rows) and got == want
+
+
+ABSTAIN = re.compile(r"^\s*(i\s*don'?t\s*know|abstain|n/?a|unknown|cannot\s*determine|insufficient|no\s*answer|skip)\s*\.?\s*$", re.I)
+FILL = "word " * 400
+
+
+def strict(raw):
+    s = (raw or "").strip()
+    if not s or ABSTAIN.search(s):
+        return ""
+    if s.startswith("{") and s.endswith("}"):
+        try:
+            made = json.loads(s)
+            return next(str(made[k]).strip().lower() for k in ("answer", "prediction", "response", "value") if k in made)
+        except (ValueError, StopIteration):
+            pass
+    first = re.sub(r"[.!?,]+$", "", re.split(r"\r\n|\n|\r", s)[0].strip()).lower()
+    return first if first in ("yes", "no") else ""
+
+
+def lenient(raw):
+    first = (raw or "").strip().split("\n")[0].strip().lower()
+    return next((x for x in ("yes", "no") if first.startswith(x)), None)
+
+
+def cited(raw):
+    found = None if raw is None else re.search(r"^\s*RULE:\s*(.+)$", raw, re.I | re.M)
+    return None if raw is None else found[1] if found else ""
+
+
+LONG = [
+    ("Yes.\n" + FILL, "yes", "yes"), ("  no,\r\n" + FILL, "no", "no"), ("Yes, since " + FILL, "", "yes"), (FILL + "\nyes", "", None),
+    ('{"why": "' + FILL + '", "answer": "Yes"}', "yes", None), ("\n" * 30 + "NO!", "no", "no"), ("  yes  ", "yes", "yes"), ("No.", "no", "no"), ("I don't know", "", None), ("", "", None), ("yes, since\nno", "", "yes"), (None, "", None),
+]
+
+
+@pytest.mark.parametrize(("name", "columns", "brute"), [("parse_strict_texts", ("doc_id",), strict), ("parse_lenient_texts", ("doc_id",), lenient), ("cited_rules_texts", ("conv_id", "turn"), cited)])
+def test_whole_texts(spark, tmp_path, name, columns, brute):
+    """On the table and on a table of long answers whose end decides."""
+    source = "conversations" if "turn" in columns else "documents"
+    real = spark.read.parquet(f"{SF_DIR}/{source}.parquet").select(*columns, "text")
+    made = [*[x for x, *_ in LONG], FILL + "\n  rule: the " + FILL + "end", "Rule: first\nRULE: second"]
+    rows = [(-1 - i, *[0] * (len(columns) - 1), t) for i, t in enumerate(made)]
+    real.unionByName(spark.createDataFrame(rows, f"{', '.join(f'{c} long' for c in columns)}, text string").select(*[F.col(c).cast(real.schema[c].dataType) for c in columns], "text")).write.parquet(f"{tmp_path}/{source}.parquet")
+    want = [(*r[:-1], brute(r["text"])) for r in spark.read.parquet(f"{tmp_path}/{source}.parquet").collect()]
+    got = [tuple(r) for r in Q.QUERIES[name](spark, str(tmp_path)).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, want)) and len(got) == real.count() + len(rows)
+
+
+def test_long_answers(spark):
+    rows = spark.createDataFrame([(i, t) for i, (t, *_) in enumerate(LONG)], "i long, raw string")
+    got = rows.select("i", X.parse_strict(F.col("raw"), ("yes", "no")).alias("s"), X.parse_lenient(F.col("raw")).alias("l")).orderBy("i").collect()
+    assert [(r["s"], r["l"]) for r in got] == [(s, x) for _, s, x in LONG] == [(strict(t), lenient(t)) for t, *_ in LONG]
