@@ -80,6 +80,14 @@ def with_p(tables: DataFrame) -> DataFrame:
     return _per_row(tables, "p", lambda x, b, c: _chi_tail(x) if b + c else 1.0, ["statistic", "b", "c"])
 
 
+def with_chosen_p(tables: DataFrame) -> DataFrame:
+    """Adds p and method: exact binomial for fewer than 25 discordant pairs, else chi square with continuity correction."""
+    total = F.col("b") + F.col("c")
+    rows = _per_row(tables.withColumn("_statistic", statistic()), "p", _chi_tail, ["_statistic"])
+    method = F.when(total == 0, "no_discordance").when(total < 25, "exact_binomial").otherwise("chi2_with_cc")
+    return rows.withColumn("p", F.coalesce(exact_p(), F.col("p"))).withColumn("method", method).drop("_statistic")
+
+
 def corrected(tables: DataFrame, tests: int = V.BONFERRONI, alpha: float = V.ALPHA) -> DataFrame:
     """Adds p_corrected (Bonferroni) and significant."""
     p = F.least(F.col("p") * tests, F.lit(1.0))

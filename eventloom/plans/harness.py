@@ -163,6 +163,25 @@ def resampled(tables: DataFrame, iterations: int = 10_000, seed: int = 42, level
     return tables.mapInPandas(bounds, f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in tables.schema)}, lo double, hi double")
 
 
+def ordered_bounds(tables: DataFrame, iterations: int = 5_000, seed: int = 20260430, alpha: float = 0.05) -> DataFrame:
+    """Adds delta, (c - b) / n, and lo and hi: the draws in the places int(alpha / 2 * iterations) and
+    int((1 - alpha / 2) * iterations) in order, not interpolated; all 0 without pairs. Draws are `resampled`'s."""
+
+    def bounds(batches):  # noqa: ANN001, ANN202
+        for part in batches:
+            rows = []
+            for n, b, c in zip(part["n"], part["b"], part["c"], strict=True):
+                if not n:
+                    rows.append((0.0, 0.0, 0.0))
+                    continue
+                drawn = np.random.default_rng(seed).multinomial(n, [b / n, c / n, (n - b - c) / n], size=iterations)
+                found = np.sort((drawn[:, 1] - drawn[:, 0]) / n)
+                rows.append(((c - b) / n, found[int(alpha / 2 * iterations)], found[int((1 - alpha / 2) * iterations)]))
+            yield part.assign(delta=[r[0] for r in rows], lo=[r[1] for r in rows], hi=[r[2] for r in rows])
+
+    return tables.mapInPandas(bounds, f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in tables.schema)}, delta double, lo double, hi double")
+
+
 def tested(pairs: DataFrame) -> DataFrame:
     """One row per cell: the table, chi square, p, corrected p, effect, bounds, power, least detectable effect, notes."""
     rows = P.contingency(pairs, ["cell"]).withColumns({"statistic": P.statistic(), "h": P.effect()})

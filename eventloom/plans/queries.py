@@ -575,6 +575,10 @@ def interim_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.interim(P.contingency(half, ["cell"]))
 
 
+def labelled_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").select(F.col("lang").alias("cell"), "doc_id", (F.col("quality") == 1).alias("intervention_ok"), F.lit(False).alias("baseline_ok"))
+
+
 @query(
     """WITH p AS (SELECT lang AS cell, doc_id, quality AS v, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM documents JOIN labels USING (doc_id)),
     d AS (SELECT cell, it, CAST('0x' || substr(md5('42:' || it || ':' || cell || ':' || pos), 1, 12) AS BIGINT) % n AS pos FROM p, (SELECT unnest(range(0, 50)) AS it)),
@@ -582,11 +586,23 @@ def interim_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT cell, round(quantile_cont(delta, 0.025), 9) AS lo, round(quantile_cont(delta, 0.975), 9) AS hi FROM m GROUP BY cell"""
 )
 def bootstrap_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").select(F.col("lang").alias("cell"), "doc_id", (F.col("quality") == 1).alias("intervention_ok"), F.lit(False).alias("baseline_ok"))
-    found = P.bootstrap(rows, "cell", "doc_id", iterations=50)
+    """50 resamples, as the SQL has them; `bootstrap_interval_whole` draws 10,000."""
+    found = P.bootstrap(labelled_pairs(spark, sf_dir), "cell", "doc_id", iterations=50)
     return found.select("cell", F.round("lo", 9).alias("lo"), F.round("hi", 9).alias("hi"))
 
 
+@query()
+def bootstrap_interval_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same interval from 10,000 resamples, drawn by counts."""
+    return H.resampled(P.contingency(labelled_pairs(spark, sf_dir), ["cell"])).select("cell", "lo", "hi")
+
+
+@query()
+def second_design(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """p by the exact test or chi square, as pairs are few or many, and the interval of 5,000 resamples' order statistics."""
+    return H.ordered_bounds(P.with_chosen_p(tables_of(spark, sf_dir)))
+
+
 # --- distributions ---------------------------------------------------------------------------------------------------------------
 @query(on_events("SELECT cell, event_type, count(*) AS n, min(game_id * 1000000 + sequence_idx) AS first_seen FROM ev GROUP BY ALL"))
 def type_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import json
+import math
 import re
 
+import numpy as np
 import pytest
 from comparing import SF_DIR, duck
 from pyspark.sql import functions as F
 
 from eventloom.functions import expressions as X
+from eventloom.operators import pairing as P
+from eventloom.plans import harness as H
 from eventloom.plans import queries as Q
 from eventloom.plans.tables import EVENTS_SQL
 
@@ -86,3 +90,38 @@ def test_long_answers(spark):
     rows = spark.createDataFrame([(i, t) for i, (t, *_) in enumerate(LONG)], "i long, raw string")
     got = rows.select("i", X.parse_strict(F.col("raw"), ("yes", "no")).alias("s"), X.parse_lenient(F.col("raw")).alias("l")).orderBy("i").collect()
     assert [(r["s"], r["l"]) for r in got] == [(s, x) for _, s, x in LONG] == [(strict(t), lenient(t)) for t, *_ in LONG]
+
+
+def resamples(values, iterations, seed=7):
+    """Means of resampled values, one by one."""
+    rng = np.random.default_rng(seed)
+    return np.array([values[rng.integers(0, len(values), len(values))].mean() for _ in range(iterations)])
+
+
+def test_bootstrap_interval_whole(spark):
+    per = {}
+    for lang, quality in duck(SF_DIR).execute("SELECT lang, quality FROM documents JOIN labels USING (doc_id)").fetchall():
+        per.setdefault(lang, []).append(quality == 1)
+    got = {r["cell"]: (r["lo"], r["hi"]) for r in Q.QUERIES["bootstrap_interval_whole"](spark, SF_DIR).collect()}
+    assert got.keys() == per.keys()
+    for cell, values in per.items():
+        x = np.array(values, float)
+        # A draw's value moves in steps of 1 / n.
+        assert got[cell] == pytest.approx(tuple(np.quantile(resamples(x, 10_000), [0.025, 0.975])), abs=1.01 / len(x) + 0.1 * x.std() / math.sqrt(len(x)))
+
+
+def test_second_design(spark):
+    tables = spark.createDataFrame([("none", 0, 0, 0), ("few", 50, 3, 9), ("edge", 90, 8, 16), ("next", 90, 8, 17), ("many", 400, 60, 100), ("even", 80, 20, 20)], "cell string, n long, b long, c long")
+    got = {r["cell"]: r for r in H.ordered_bounds(P.with_chosen_p(tables)).collect()}
+    exact = lambda b, c: min(1.0, 2 * sum(math.comb(b + c, i) for i in range(min(b, c) + 1)) / 2 ** (b + c))
+    chi = lambda b, c: math.erfc(math.sqrt((abs(b - c) - 1) ** 2 / (b + c) / 2))
+    for cell, b, c, p, method in [("few", 3, 9, exact, "exact_binomial"), ("edge", 8, 16, exact, "exact_binomial"), ("next", 8, 17, chi, "chi2_with_cc"), ("many", 60, 100, chi, "chi2_with_cc"), ("even", 20, 20, chi, "chi2_with_cc")]:
+        assert (got[cell]["p"], got[cell]["method"]) == (pytest.approx(p(b, c)), method)
+    none = got["none"]
+    assert (none["p"], none["method"], none["delta"], none["lo"], none["hi"]) == (1.0, "no_discordance", 0.0, 0.0, 0.0)
+    r = got["many"]
+    drawn = np.sort(resamples(np.repeat([-1.0, 1.0, 0.0], [60, 100, 240]), 5_000))
+    assert (r["delta"], r["lo"], r["hi"]) == (pytest.approx(0.1), pytest.approx(drawn[125], abs=0.006), pytest.approx(drawn[4875], abs=0.006))
+    # Order statistics are draws themselves.
+    assert all(abs(r[k] * r["n"] - round(r[k] * r["n"])) < 1e-9 for r in got.values() for k in ("lo", "hi"))
+    assert {r["method"] for r in Q.QUERIES["second_design"](spark, SF_DIR).collect()}
