@@ -118,6 +118,9 @@ class Open:
     tag: str
     node: Node
     hidden: bool
+    #: Hidden by something else than class words; the places of the containers that class words hide.
+    hard: bool
+    worded: tuple[int, ...]
     article: int
     main: int
     content: int
@@ -134,11 +137,19 @@ def clean_label(tag: str, given: dict[str, str]) -> str:
 
 
 class Page:
-    """Blocks (node, text, article, main, content, link characters) of a page's visible text, and its skeleton."""
+    """Blocks (node, text, article, main, content, link characters) of a page's visible text, and its skeleton.
 
-    def __init__(self, source: str) -> None:
+    shown: places of containers that class words don't hide.
+    """
+
+    def __init__(self, source: str, shown: frozenset[int] = frozenset()) -> None:
+        self.shown, self.place = shown, 0
+        #: The containers by class words around each <article> and <main>, and their own text outside links.
+        self.around: set[tuple[int, ...]] = set()
+        self.own: dict[int, int] = {}
+        self.chains: dict[int, tuple[int, ...]] = {}
         self.root = Node("html")
-        self.stack = [Open("html", self.root, False, 0, 0, 0, False)]
+        self.stack = [Open("html", self.root, False, False, (), 0, 0, 0, False)]
         self.blocks: list[tuple[Node, str, int, int, int, int]] = []
         self.pieces: list[str] = []
         self.linked = 0
@@ -151,7 +162,7 @@ class Page:
                 break
             if m.start() > at:
                 self.text(source[at : m.start()])
-            at = m.end()
+            at, self.place = m.end(), m.start()
             name = m[2] or m[5]
             if not name:
                 continue
@@ -171,6 +182,8 @@ class Page:
             self.pieces.append(raw)
             if self.stack[-1].link:
                 self.linked += len(raw)
+        elif not self.stack[-1].hard and not self.stack[-1].link:
+            self.own[self.stack[-1].worded[-1]] = self.own.get(self.stack[-1].worded[-1], 0) + len(raw.strip())
 
     def flush(self) -> None:
         if self.pieces:
@@ -206,13 +219,19 @@ class Page:
         words = words_of(f"{given.get('class', '')} {given.get('id', '')}") if "class" in given or "id" in given else set()
         role = given.get("role", "").lower()
         inside = above.article or above.main
-        hidden = (
-            above.hidden or tag in HIDDEN_TAGS or tag in RAW or role in HIDDEN_ROLES or "hidden" in given or given.get("aria-hidden", "").lower() == "true"
+        hard = (
+            above.hard or tag in HIDDEN_TAGS or tag in RAW or role in HIDDEN_ROLES or "hidden" in given or given.get("aria-hidden", "").lower() == "true"
             or ("style" in given and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", given["style"], re.I) is not None)
-            or (tag not in ("html", "body", "article", "main") and bool(words & HIDDEN_WORDS))
             or (tag == "article" and bool(words & {"comment", "comments", "reply", "ad", "advert", "sponsored", "related", "teaser", "promo"}))
-            or (not inside and (tag == "header" or bool(words & HEADER_WORDS)))
+            or (not inside and tag == "header")
         )
+        marked = (tag not in ("html", "body", "article", "main") and bool(words & HIDDEN_WORDS)) or (not inside and bool(words & HEADER_WORDS))
+        worded = (*above.worded, self.place) if marked and self.place not in self.shown else above.worded
+        if worded is not above.worded:
+            self.chains[self.place] = worded
+        hidden = hard or bool(worded)
+        if not hard and (tag in ("article", "main") or role in ("article", "main")):
+            self.around.add(worded)
         article, main, content = above.article, above.main, above.content
         if not hidden and (tag == "article" or role == "article") and not article:
             self.regions += 1
@@ -223,7 +242,7 @@ class Page:
         elif not hidden and not content and tag in ("div", "section", "td") and words & CONTENT_WORDS:
             self.regions += 1
             content = self.regions
-        self.stack.append(Open(tag, above.node.child(clean_label(tag, given)), hidden, article, main, content, above.link or tag == "a"))
+        self.stack.append(Open(tag, above.node.child(clean_label(tag, given)), hidden, hard, worded, article, main, content, above.link or tag == "a"))
         self.stack[-1].node.at = 0
 
     def end_open(self, kinds: set[str], stoppers: set[str]) -> None:
@@ -244,18 +263,34 @@ class Page:
                 return
 
     def main_blocks(self) -> list[tuple[Node, str]]:
-        """The blocks of the page's article: of its longest <article>, else <main>, else content-named element, else of
+        """The blocks of the page's articles, else of <main>, else of content-named elements, all in page order, else of
         the body without blocks that are mostly links."""
         for k in (2, 3, 4):
-            sizes: dict[int, int] = {}
-            for b in self.blocks:
-                if b[k]:
-                    sizes[b[k]] = sizes.get(b[k], 0) + len(b[1])
-            if sizes:
-                best = max(sizes, key=lambda r: (sizes[r], -r))
-                return [(b[0], b[1]) for b in self.blocks if b[k] == best]
+            if any(b[k] for b in self.blocks):
+                return [(b[0], b[1]) for b in self.blocks if b[k]]
         return [(b[0], b[1]) for b in self.blocks if 2 * b[5] <= len(b[1])]
 
+    def wrongly_hidden(self) -> frozenset[int]:
+        """Containers that class words hide though they hold the page's content: those around the <article> or <main>
+        with the fewest of them, or, if no region is named, the one with more text than all else."""
+        if self.around:
+            least = min(map(len, self.around))
+            return frozenset(x for c in self.around if len(c) == least for x in c)
+        if not self.own or any(b[4] for b in self.blocks):
+            return frozenset()
+        best = max(self.own, key=lambda x: (self.own[x], -x))
+        rest = sum(len(b[1]) - b[5] for b in self.blocks) + sum(self.own.values()) - self.own[best]
+        return frozenset([best]) if self.own[best] > rest else frozenset()
+
+
+def page_of(source: str) -> Page:
+    """The page, read again as long as class words hide a container of its content."""
+    page = Page(source)
+    while more := page.wrongly_hidden():
+        stack = page.chains.get(next(iter(more)), ()) if not page.around else ()
+        page = Page(source, page.shown | more | frozenset(stack))
+    return page
+
 
 # --- templates -------------------------------------------------------------------------------------------------
 def matched(a: Node, b: Node) -> list[tuple[Node, Node]]:
@@ -328,7 +363,7 @@ def parsed(pages: DataFrame) -> DataFrame:
         for part in batches:
             skeletons, blocks = [], []
             for source in part["html"]:
-                page = Page(source or "")
+                page = page_of(source or "")
                 number = {id(n): i for i, n in enumerate(preorder(page.root))}
                 skeletons.append(written(page.root))
                 # A title is its page's own, also on a host of near copies.

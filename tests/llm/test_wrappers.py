@@ -43,3 +43,18 @@ def test_awkward_rows(spark):
     got = texts(spark, pages)
     assert got[0] == got[1] == "" and got[2] == got[3] == "no tags at all" and got[4] == "unclosed <" and got[5] == "deep" and len(got[6]) == 5 * 50_000 - 1
     assert texts(spark, []) == {}
+
+
+def test_content_in_worded_containers(spark):
+    text = "Some words of the story that go on for a while."
+    pages = [f'<body><div class="menu">Menu</div><div class="{c}"><article><p>{text}</p></article><div class="sidebar">Side</div></div></body>' for c in ("page with-sidebar", "discussion", "widget", "form", "related", "search")]
+    pages += [
+        f'<body><div class="widget"><div class="form"><main><p>{text}</p></main></div></div></body>',
+        f'<body><p>Short</p><div class="search"><div class="widget"><p>{text}</p></div></div></body>',
+        f'<body><article><p>{text}</p></article><div class="related"><article><p>Other</p></article></div></body>',
+        '<body><div class="entry"><p>One</p></div><div class="ad">Buy</div><div class="entry"><p>The second</p></div><div class="text"><p>3</p></div></body>',
+        "<body><article><p>One</p></article><article><p>The second</p></article></body>",
+    ]
+    got = texts(spark, [(f"http://h{i}.example/", p) for i, p in enumerate(pages)])
+    assert [got[i] for i in range(7)] == [text] * 7 and got[7] == f"Short\n{text}" and got[8] == text
+    assert got[9] == "One\nThe second\n3" and got[10] == "One\nThe second"
