@@ -14,29 +14,20 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from eventloom.llm.common import stored
+from eventloom.llm.common import mapped, stored
 
 #: 64 RGB pixels a row.
 ROW_BYTES = 192
 PNG_HEAD = b"\x89PNG\r\n\x1a\n"
 ZLIB_LEVEL = 3
-#: Rows that a task holds in several forms at once.
-SLICE = 256
 ITEM = "pos int, kind string, text string, media_ref string, caption string"
 
 
-def slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The batches in smaller parts: pages, payloads and images of a whole batch would fill a worker's memory."""
-    for part in batches:
-        for at in range(0, len(part), SLICE):
-            yield part.iloc[at : at + SLICE]
-
-
 # --- payload and PNG -------------------------------------------------------------------------------------------
 def payload_of(text: str | None) -> bytes:
     """UTF-8, filled with spaces up to a positive multiple of ROW_BYTES."""
@@ -158,12 +149,15 @@ def interleaved(pages: DataFrame, html: str = "html") -> DataFrame:
     """
     kept = [c for c in pages.columns if c not in (html, "items")]
 
-    def parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in slices(batches):
-            yield part[kept].assign(items=[items_of(p) for p in part[html]])
+    kind = pa.list_(pa.struct([("pos", pa.int32()), *((c, pa.string()) for c in ("kind", "text", "media_ref", "caption"))]))
+
+    def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            items = pa.array([items_of(p) for p in part.column(html).to_pylist()], kind)
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), items], [*kept, "items"])
 
     schema = T.StructType([*(pages.schema[c] for c in kept), T.StructField("items", T.ArrayType(T.StructType.fromDDL(ITEM)))])
-    return pages.mapInPandas(parsed, schema)
+    return mapped(pages, parsed, schema)
 
 
 # --- store and resolution --------------------------------------------------------------------------------------
@@ -174,27 +168,31 @@ def stored_media(payload_texts: DataFrame, text: str = "text") -> DataFrame:
     shuffle of payloads. `media_features` drops repeats when only small rows are left.
     """
 
-    def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in slices(batches):
-            new = {hashlib.sha256(p).hexdigest(): p for p in map(payload_of, part["_text"])}
-            yield pd.DataFrame({"digest": list(new), "media": [png_of(p) for p in new.values()]})
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            new = {hashlib.sha256(p).hexdigest(): p for p in map(payload_of, part.column("_text").to_pylist())}
+            yield pa.RecordBatch.from_arrays([pa.array(list(new), pa.string()), pa.array([png_of(p) for p in new.values()], pa.binary())], ["digest", "media"])
 
-    return stored(payload_texts.select(F.col(text).alias("_text")).mapInPandas(made, "digest string, media binary"), "media")
+    return stored(mapped(payload_texts.select(F.col(text).alias("_text")), made, "digest string, media binary"), "media")
 
 
 def media_features(store: DataFrame) -> DataFrame:
     """One row per digest, all from the stored bytes; written, so that joins on a digest that many share can be split."""
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in slices(batches):
+    names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
             rows = []
-            for digest, media in zip(part["digest"], part["media"], strict=True):
+            for media in part.column("media").to_pylist():
                 x = samples_of(media)
-                rows.append((digest, len(x), hashlib.sha256(x).hexdigest(), zlib.crc32(x[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature_of(x)))
-            yield pd.DataFrame(rows, columns=["digest", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+                rows.append((len(x), hashlib.sha256(x).hexdigest(), zlib.crc32(x[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature_of(x)))
+            columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column("digest"), *columns], ["digest", *names])
 
     schema = "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return stored(store.mapInPandas(read, schema).dropDuplicates(["digest"]), "media-features")
+    return stored(mapped(store, read, schema).dropDuplicates(["digest"]), "media-features")
 
 
 def resolved(sequences: DataFrame, features: DataFrame) -> DataFrame:
@@ -215,14 +213,14 @@ def resolved(sequences: DataFrame, features: DataFrame) -> DataFrame:
 def pages_of(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, html: every text as a page, a paragraph followed by a figure that refers to its payload."""
 
-    def written(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in slices(batches):
+    def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
             sizes, pages = [], []
-            for text in part["text"]:
+            for text in part.column("text").to_pylist():
                 payload = payload_of(text)
                 sizes.append(len((text or "").encode("utf-8", "surrogatepass")))
                 ref = hashlib.sha256(payload).hexdigest()
                 pages.append(f'<article><p>{html.escape(text or "", quote=False)}</p><figure><img src="cas:{ref}"><figcaption>{sizes[-1]} bytes</figcaption></figure></article>')
-            yield pd.DataFrame({"doc_id": part["doc_id"], "n_bytes": sizes, "html": pages})
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(pages, pa.string())], ["doc_id", "n_bytes", "html"])
 
-    return docs.select("doc_id", "text").mapInPandas(written, "doc_id long, n_bytes long, html string")
+    return mapped(docs.select(F.col("doc_id").cast("long"), "text"), written, "doc_id long, n_bytes long, html string")

@@ -12,11 +12,11 @@ import zlib
 from collections import deque
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import checked_broadcast, grouped_prefix, stored
+from eventloom.llm.common import checked_broadcast, grouped_prefix, mapped, stored
 from eventloom.llm.tokens import encoder, tokenizer_path
 
 CAPACITY = 2048
@@ -96,17 +96,22 @@ def token_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int =
     """doc_id, piece, start, length, ids_crc32 of all pieces: a document's ids and the end id, cut at `capacity`."""
     path = tokenizer or tokenizer_path(TOKENIZER)
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path, keeps_space=False).encode
         end = END_ID.to_bytes(4, "little")
         for part in batches:
-            rows = []
-            for doc, ids in zip(part["doc_id"], encode([t or "" for t in part["text"]]), strict=True):
+            of, rows = [], []
+            for k, ids in enumerate(encode([t or "" for t in part.column("text").to_pylist()])):
                 ids += end
-                rows += [(doc, k, at // 4, len(piece) // 4, zlib.crc32(piece)) for k, at in enumerate(range(0, len(ids), 4 * capacity)) if (piece := ids[at : at + 4 * capacity])]
-            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-
-    return docs.select("doc_id", "text").mapInPandas(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
+                for at in range(0, len(ids), 4 * capacity):
+                    piece = ids[at : at + 4 * capacity]
+                    of.append(k)
+                    rows.append((at // (4 * capacity), at // 4, len(piece) // 4, zlib.crc32(piece)))
+            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64())
+            columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(of)), *columns], ["doc_id", "piece", "start", "length", "ids_crc32"])
+
+    return mapped(docs.select(F.col("doc_id").cast("long"), "text"), cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def packed(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:

@@ -10,12 +10,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import remembering
+from eventloom.llm.common import mapped, remembering
 
 #: Bytes of a passage.
 PASSAGE = 400
@@ -24,6 +23,8 @@ SAMPLE = 4_000
 SAMPLE_PASSAGES = 64
 HIDDEN, ATTENTION, EPOCHS, BATCH, RATE, DECAY, SEED = 32, 16, 20, 64, 3e-3, 1e-4, 11
 THRESHOLD = 0.7
+#: Characters of texts that are encoded at once; an encoder's arrays take some 60 bytes for each.
+SLICE_BYTES = 1 << 19
 
 
 def byte_kinds() -> tuple[np.ndarray, int, np.ndarray, int]:
@@ -159,25 +160,41 @@ def fold(id: str) -> Column:
 def trained(docs: DataFrame, labels: DataFrame, held_out: int = 2, sample: int = SAMPLE) -> Model:
     """Fits on up to `sample` labelled documents outside the held-out fold, chosen by a hash of their ids.
 
-    Texts are encoded where they lie; the driver gets at most `sample` bags of SAMPLE_PASSAGES passages.
+    Texts are encoded where they lie; the driver gets at most `sample` bags of SAMPLE_PASSAGES passages: of rows that
+    share a labelled id, the first by the hash of their text is the document.
     """
     usable = labels.where("doc_id is not null and quality in (0, 1)").where(fold("doc_id") != held_out)
-    chosen = usable.groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    chosen = usable.groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
-    def bags(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remembering("quality")
         for part in batches:
-            if not len(part):
-                continue
-            x, starts = encoded(part["text"].tolist())
+            x, starts = encoded(part.column("text").to_pylist())
             kept = [np.unique(np.linspace(s, e - 1, min(e - s, SAMPLE_PASSAGES)).round().astype(int)) for s, e in zip(starts[:-1], starts[1:], strict=True)]
-            yield pd.DataFrame({"doc_id": part["doc_id"], "quality": part["quality"], "bag": [x[k].tobytes() for k in kept]})
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("quality"), pa.array([x[k].tobytes() for k in kept], pa.binary())], ["doc_id", "quality", "bag"])
 
     # At most `sample` rows are broadcast.
-    joined = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    rows = sorted(joined.mapInPandas(bags, "doc_id long, quality int, bag binary").collect(), key=lambda r: (r["doc_id"], r["bag"]))
+    joined = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(chosen.withColumn("doc_id", F.col("doc_id").cast("long"))), "doc_id")
+    single = joined.groupBy("doc_id", "quality").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    rows = sorted(mapped(single.select("doc_id", "quality", "text"), bags, "doc_id long, quality int, bag binary").collect(), key=lambda r: r["doc_id"])
     return fitted([np.frombuffer(r["bag"], np.float32).reshape(-1, WIDTH) for r in rows], np.array([r["quality"] for r in rows], np.float32))
 
 
+def scores_of(texts: pa.Array, model: Model) -> np.ndarray:
+    """As many texts at a time as have about SLICE_BYTES keep the byte arrays small."""
+    remembering("quality")
+    found, some, held = [], [], 0
+    for text in texts.to_pylist():
+        some.append(text)
+        held += len(text or "")
+        if held >= SLICE_BYTES:
+            found.append(model.scores(some))
+            some, held = [], 0
+    if some:
+        found.append(model.scores(some))
+    return np.concatenate(found) if found else np.empty(0)
+
+
 def scored(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """`docs` with score (0 to 1) and predicted (1 from `threshold` on): all passages of the whole texts, in one map stage.
 
@@ -187,35 +204,31 @@ def scored(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataF
     rest = docs.drop("score", "predicted")
     schema = rest.select("*", F.lit(0.0).alias("score"), F.lit(0).alias("predicted")).schema
 
-    def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
-            if len(part):
-                scores = scores_of(part["text"], model)
-                yield part.assign(score=scores, predicted=(scores >= threshold).astype(np.int32))
-
-    return rest.mapInPandas(made, schema)
+            scores = scores_of(part.column("text"), model)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores), pa.array((scores >= threshold).astype(np.int32))], [*part.schema.names, "score", "predicted"])
 
-
-def scores_of(texts: pd.Series, model: Model) -> np.ndarray:
-    """A few hundred texts at a time keep the byte arrays small."""
-    remembering("quality")
-    return np.concatenate([model.scores(texts.iloc[i : i + 256].tolist()) for i in range(0, len(texts), 256)])
+    return mapped(rest, made, schema)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, held_out: int = 2) -> DataFrame:
-    """doc_id, held_out, score, predicted for all documents."""
+    """doc_id, held_out, score, predicted for all documents; one without an id is in no fold, so not held out."""
     model = trained(docs, labels, held_out)
     done = scored(docs.select("doc_id", "text"), model)
-    return done.select("doc_id", (fold("doc_id") == held_out).alias("held_out"), "score", "predicted")
+    return done.select("doc_id", F.coalesce(fold("doc_id") == held_out, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 def accepted(docs: DataFrame, labels: DataFrame, held_out: int = 2, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that the classifier accepts, with the columns of `docs`."""
+    """The documents that the classifier accepts, with the columns of `docs`.
+
+    Null and empty texts are judged as one empty passage, repeated rows alike; a null id doesn't matter; an empty table
+    stays empty; long texts are scored whole; other columns pass through, whatever their names.
+    """
     model = trained(docs, labels, held_out)
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
-            if part.num_rows:
-                yield part.filter(pa.array(scores_of(part.column("text").to_pandas(), model) >= threshold))
+            yield part.filter(pa.array(scores_of(part.column("text"), model) >= threshold))
 
-    return docs.mapInArrow(kept, docs.schema)
+    return mapped(docs, kept, docs.schema)

@@ -7,16 +7,15 @@ own forward automaton run, to find the longest match; matches of a rule don't ov
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import remembering
+from eventloom.llm.common import mapped, remembering
 
 #: Rules in their order: kind, pattern. Sets, groups, `?`, `+`, `*` and `{n}` / `{n,}` are understood.
 #: The first three are the contract's; minimum lengths that can't change where a match starts are in the pattern.
@@ -301,41 +300,49 @@ def scan(docs: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, text: str
     `docs` are left out.
     """
 
-    def scanned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    spans_type = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.string()), ("end", pa.int64())]))
+
+    def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         remembering("secrets")
         for part in batches:
-            spans = [[{"start": s, "kind": k, "end": e} for s, k, e in spans_of(t, rules)] for t in part["_text"]]
-            yield pd.DataFrame({id: part[id], "spans": spans})
+            spans = [[{"start": s, "kind": k, "end": e} for s, k, e in spans_of(t, rules)] for t in part.column("_text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(id), pa.array(spans, spans_type)], [id, "spans"])
 
     kind = docs.schema[id].dataType.simpleString()
-    return docs.select(id, F.col(text).alias("_text")).mapInPandas(scanned, f"{id} {kind}, spans array<struct<start:long,kind:string,end:long>>")
+    return mapped(docs.select(id, F.col(text).alias("_text")), scanned, f"{id} {kind}, spans array<struct<start:long,kind:string,end:long>>")
+
+
+def masked(text: str | None, rules: tuple[tuple[str, str], ...] = RULES) -> str | None:
+    """The text with a mark in place of every span; itself without any."""
+    out, at = [], 0
+    for s, k, e in spans_of(text, rules):
+        if s >= at:
+            out += [text[at:s], f"[{k}]"]
+        at = max(at, e)
+    return "".join([*out, text[at:]]) if out else text
 
 
 def redacted(docs: DataFrame, rules: tuple[tuple[str, str], ...] = RULES) -> DataFrame:
     """`docs` with every matched span replaced by `[kind]`; overlapping spans become one mark, of the first kind.
 
-    Columns stay; `n_chars`, if there, follows the new text. Documents without secrets are unchanged.
+    Columns stay, whatever their names; `n_chars`, if there, follows the new text. Documents without secrets, with a
+    null text or an empty one are unchanged, a null id doesn't matter, repeated rows stay repeated, an empty table stays
+    empty, long texts are scanned whole.
     """
-    names = docs.columns
 
-    def masked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         remembering("secrets")
         for part in batches:
-            texts = []
-            for text in part["text"]:
-                out, at = [], 0
-                for s, k, e in spans_of(text, rules):
-                    if s >= at:
-                        out += [text[at:s], f"[{k}]"]
-                    at = max(at, e)
-                texts.append("".join([*out, text[at:]]) if out else text)
-            new = pd.Series(texts, index=part.index, dtype=object)
-            if "n_chars" in names:
-                part["n_chars"] = [n if a == b else len(b) for n, a, b in zip(part["n_chars"], part["text"], new, strict=True)]
-            part["text"] = new
-            yield part[names]
-
-    return docs.mapInPandas(masked, docs.schema)
+            old = part.column("text").to_pylist()
+            new = [masked(t, rules) for t in old]
+            columns = dict(zip(part.schema.names, part.columns, strict=True))
+            columns["text"] = pa.array(new, part.schema.field("text").type)
+            if "n_chars" in columns:
+                sizes = [n if a is b else len(b) for n, a, b in zip(columns["n_chars"].to_pylist(), old, new, strict=True)]
+                columns["n_chars"] = pa.array(sizes, part.schema.field("n_chars").type)
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+    return mapped(docs, made, docs.schema)
 
 
 def digest_columns(scanned: DataFrame, id: str = "doc_id") -> DataFrame:

@@ -16,8 +16,8 @@ import regex
 
 from eventloom.llm.common import remembering
 
-#: Units remembered by a worker before it starts anew: bounds its memory.
-REMEMBERED = 1_000_000
+#: Units remembered by a worker before it starts anew: bounds its memory. The frequent ones are soon known again.
+REMEMBERED = 200_000
 
 #: The pre-token patterns of the two vocabularies, as their files state them (fixed values).
 SPACED = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
