@@ -4,15 +4,19 @@ A document's shingle hashes fall into size bands whose ends grow by the threshol
 next band. A band's scheme splits the universe of hashes into segments. Two sets of Jaccard similarity t differ in at
 most H = (1-t)/(1+t) * (sum of sizes) elements, so by the pigeonhole principle some segments' subsets agree exactly, or
 within one element where one-deletion neighbourhoods are indexed ("deep" segments, worth 2). An allocation by cost
-decides between deep and plain segments per scheme, and leaves out, per document, the empty and then the most frequent
-subsets as far as the scheme's slack allows. Candidates are verified on the sets of 64-bit shingle hashes.
+decides between deep and plain segments per scheme. A scheme has so many more segments than it needs that a set may
+leave out its empty subsets, which would be common to all documents, and then its most frequent ones. Candidates are
+verified on the sets of 64-bit shingle hashes.
+
+No key gathers in a task: signatures are counted by partial aggregation and joined to their counts, pivots likewise, and
+pairs of a large bucket are compared in blocks. Only ids, hashes and parities meet; texts stay where they lie.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
-from math import exp, sqrt
+from math import exp
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from eventloom.llm.common import checked_broadcast, remembering, stored
+from eventloom.llm.common import checked_broadcast, mapped, remembering, stored
 from eventloom.llm.components import components
 
 WORDS = 5
@@ -29,23 +33,21 @@ WORDS = 5
 SIMILARITY = 80
 #: What a segment of at most one element costs besides its row: its subset is as common as a shingle.
 SMALL_SEGMENT_COST = 8
+#: How rarely, at most, a set may have more empty subsets than its scheme lets it leave out.
+RARE = 1e-6
+#: Sizes from which a scheme's segments are counted by a normal law instead of exactly.
+LARGE = 100
+#: Rows of a bucket that are compared with one another in one piece.
+BLOCK = 512
 #: Words of a set's parities.
 SKETCH = 16
 #: Rows of one Arrow batch that a task sends.
-BATCH_ROWS = 100_000
+BATCH_ROWS = 50_000
 #: Words whose hashes a worker remembers: hashing one anew is cheap, so this bounds memory first.
-REMEMBERED = 250_000
-#: Texts or pairs of sets that a worker unpacks at once.
-SLICE = 500
+REMEMBERED = 100_000
 U64 = np.uint64
 
 
-def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in batches:
-        for at in range(0, part.num_rows, SLICE):
-            yield part.slice(at, SLICE)
-
-
 # --- shingles --------------------------------------------------------------------------------------------------
 class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
@@ -93,12 +95,48 @@ def band_of(n: int, similarity: int) -> int:
     return int(np.searchsorted(band_ends(similarity), n))
 
 
+def filled_law(n: int, segments: int, least: int) -> np.ndarray:
+    """The law of how many of the segments hold `least` (1 or 2) or more of n elements."""
+    # state[i, j]: j segments hold enough; i hold one element, if two are enough.
+    state = np.zeros((min(n, segments) + 2, min(n, segments) + 2))
+    state[0, 0] = 1.0
+    one, full = np.arange(len(state))[:, None] / segments, np.arange(len(state))[None, :] / segments
+    for _ in range(n):
+        new = state * full
+        if least == 1:
+            new[:, 1:] += (state * (1 - full))[:, :-1]
+        else:
+            new[:-1, 1:] += (state * one)[1:, :-1]
+            new[1:, :] += (state * np.maximum(0, 1 - one - full))[:-1, :]
+        state = new
+    return state.sum(0)
+
+
+def enough_segments(n: int, needed: int, least: int, most: int) -> int | None:
+    """The fewest segments of which `needed` hold `least` or more of n elements, but for RARE sets; None beyond `most`."""
+    segments = needed
+    while segments <= most:
+        mean = n / segments
+        if n <= (LARGE if least == 1 else 60):
+            law = filled_law(n, segments, least)
+            if law[:needed].sum() <= RARE:
+                return segments
+        else:
+            rest = exp(-mean) * (1 if least == 1 else 1 + mean)
+            # The normal law's tail beyond 5 deviations is under RARE.
+            if segments - segments * rest - 5 * (segments * rest) ** 0.5 >= needed:
+                return segments
+        segments = max(segments + 1, int(segments * 1.02))
+    return None
+
+
 @lru_cache(maxsize=None)
 def scheme(band: int, similarity: int) -> tuple[int, bool, int]:
     """Segments, whether they are deep, slack: for pairs whose smaller set is in `band`.
 
-    Plain segments number H + 1 + slack: any pair then agrees in more than `slack` of them. Deep ones need (H + 1) / 2.
-    No segments if only equal sets can be similar.
+    A pair agrees in all but H plain segments at least, and within one element in all but H / 2 deep ones. Of plain
+    segments there are so many that H + 1 aren't empty, of deep ones so many that H / 2 + 1 have two elements or more;
+    the slack is how many a set may leave out. No segments if only equal sets can be similar.
     """
     most = int(band_ends(similarity)[band])
     larger = most * 100 // similarity
@@ -108,17 +146,22 @@ def scheme(band: int, similarity: int) -> tuple[int, bool, int]:
     least = int(band_ends(similarity)[band - 1]) + 1 if band else 1
     typical = (least + larger) / 2
 
-    def small(segments: float) -> float:
+    def single(segments: int) -> float:
+        """Segments of one element."""
         mean = typical / segments
-        return segments * exp(-mean) * (1 + mean)
+        return segments * mean * exp(-mean)
+
+    plain = enough_segments(least, h + 1, 1, 1 << 40)
+    deep = enough_segments(least, h // 2 + 1, 2, 2 * least)
+    rows = plain * (1 - exp(-typical / plain)) + SMALL_SEGMENT_COST * single(plain)
+    if deep and typical + deep + SMALL_SEGMENT_COST * single(deep) < rows:
+        return deep, True, deep - h // 2 - 1
+    return plain, False, plain - h - 1
+
 
-    deep = (h + 2) // 2
-    empty = (h + 1) * exp(-least / (h + 1))
-    slack = int(empty + 3 * sqrt(empty)) + 1
-    plain = h + 1 + slack
-    if typical + deep + SMALL_SEGMENT_COST * small(deep) < plain + SMALL_SEGMENT_COST * small(plain):
-        return deep, True, 0
-    return plain, False, slack
+@lru_cache(maxsize=64)
+def segment_names(band: int, segments: int) -> np.ndarray:
+    return mixed(np.arange(segments, dtype=U64) + U64((band + 1) << 40))
 
 
 def signatures(h: np.ndarray, similarity: int = SIMILARITY) -> list[tuple[np.ndarray, int, bool]]:
@@ -134,19 +177,25 @@ def signatures(h: np.ndarray, similarity: int = SIMILARITY) -> list[tuple[np.nda
         place = ((h >> U64(32)) * U64(segments)) >> U64(32)
         first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
         sums = np.add.reduceat(values, first)
-        names = mixed(np.arange(segments, dtype=U64) + U64((band + 1) << 40))
         held = place[first].astype(np.int64)
-        empty = np.setdiff1d(np.arange(segments), held, assume_unique=True)
-        sigs = [mixed(sums + names[held])]
+        names = segment_names(band, segments)
         if deep:
-            # All subsets, the empty one too, and what each leaves without one element.
-            which = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(h)]))
-            sigs += [mixed(names[empty]), mixed((sums + names[held])[which] - values)]
-            left = 0
+            # All subsets and what each leaves without one element, but not the empty one: a pair agrees elsewhere,
+            # unless both have more segments of less than two elements than the slack allows.
+            sizes = np.diff(np.r_[first, len(h)])
+            two, left = sizes > 1, 0
+            sigs = [mixed(sums + names[held])]
+            which = np.repeat(np.arange(len(first)), sizes)
+            sigs.append(mixed(((sums + names[held])[which] - values)[two[which]]))
+            if segments - int(two.sum()) > slack:
+                sigs.append(mixed(names[np.setdiff1d(np.arange(segments), held[two], assume_unique=True)]))
         else:
-            # Empty subsets cost most and go first, by number; those beyond the slack stay.
-            sigs.append(mixed(names[empty[slack:]]))
-            left = max(0, slack - len(empty))
+            # Empty subsets go first, by number; those beyond the slack stay.
+            sigs, left = [mixed(sums + names[held])], slack - (segments - len(held))
+            if left < 0:
+                empty = np.setdiff1d(np.arange(segments), held, assume_unique=True)
+                sigs.append(mixed(names[empty[slack:]]))
+                left = 0
         out.append((np.concatenate(sigs), left, band == own))
     return out
 
@@ -164,7 +213,7 @@ def digests(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         remembering("jaccard", _WORDS)
-        for part in slices(batches):
+        for part in batches:
             texts = part.column("text").to_pylist()
             rows, bits = np.zeros((3, len(texts)), np.int64), np.zeros((len(texts), SKETCH), np.int64)
             for k, text in enumerate(texts):
@@ -174,7 +223,7 @@ def digests(docs: DataFrame, words: int = WORDS) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * SKETCH), pa.array(bits.ravel()))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(x) for x in rows), lists], ["doc_id", "n", "d1", "d2", "bits"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(made, "doc_id long, n long, d1 long, d2 long, bits array<long>")
+    return mapped(docs.select(F.col("doc_id").cast("long"), "text"), made, "doc_id long, n long, d1 long, d2 long, bits array<long>")
 
 
 def signature_rows(docs: DataFrame, similarity: int, words: int) -> DataFrame:
@@ -187,7 +236,7 @@ def signature_rows(docs: DataFrame, similarity: int, words: int) -> DataFrame:
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         remembering("jaccard", _WORDS)
-        for part in slices(batches):
+        for part in batches:
             sigs, ids, tags, held = [], [], [], 0
             for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
                 h = shingles(text, words)
@@ -204,24 +253,24 @@ def signature_rows(docs: DataFrame, similarity: int, words: int) -> DataFrame:
             if sigs:
                 yield batch(sigs, ids, tags)
 
-    return docs.select("doc_id", "text").mapInArrow(made, "sig long, doc long, tag long")
+    return mapped(docs.select("doc_id", "text"), made, "sig long, doc long, tag long")
 
 
 def sets_of(docs: DataFrame, words: int) -> DataFrame:
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         remembering("jaccard", _WORDS)
-        for part in slices(batches):
+        for part in batches:
             sets = [shingles(t, words).tobytes() for t in part.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets, pa.binary())], ["doc", "hashes"])
 
-    return docs.select("doc_id", "text").mapInArrow(made, "doc long, hashes binary")
+    return mapped(docs.select("doc_id", "text"), made, "doc long, hashes binary")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     """Those of the distinct pairs (a, b) whose sets are similar enough."""
 
     def tested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
+        for part in batches:
             keep = []
             for x, y in zip(part.column("left").to_pylist(), part.column("right").to_pylist(), strict=True):
                 x, y = np.frombuffer(x, U64), np.frombuffer(y, U64)
@@ -232,7 +281,7 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
 
     left = pairs.join(sets.select(F.col("doc").alias("a"), F.col("hashes").alias("left")), "a")
     full = left.join(sets.select(F.col("doc").alias("b"), F.col("hashes").alias("right")), "b")
-    return full.select("a", "b", "left", "right").mapInArrow(tested, "a long, b long")
+    return mapped(full.select("a", "b", "left", "right"), tested, "a long, b long")
 
 
 def verified_from(docs: DataFrame, pairs: DataFrame, similarity: int, words: int) -> DataFrame:
@@ -249,15 +298,16 @@ def candidate_buckets(docs: DataFrame, similarity: int, words: int) -> DataFrame
     """sig, doc, n, own, cnt, score: rows of signatures that some pair shares, without those that the slack leaves out.
 
     score counts the rows that a document's signatures are shared with: high for the middle of a group of near copies.
+    Signatures are made twice, to be counted and to meet their counts: a frequent one is combined before the first
+    shuffle and is a skewed side that can be split in the second.
     """
     rows = signature_rows(docs, similarity, words)
-    all_of = Window.partitionBy("sig")
-    own = F.col("tag").bitwiseAND(1) == 1
+    own = F.col("tag").bitwiseAND(1)
+    counts = stored(rows.groupBy("sig").agg(F.count("*").alias("cnt"), F.max(own).alias("_own")).where("cnt > 1 and _own = 1").select("sig", "cnt"), "jaccard-counts")
     shared = stored(
-        rows.select("*", F.count("*").over(all_of).alias("cnt"), F.bool_or(own).over(all_of).alias("any_own")).where("cnt > 1 and any_own")
-        .select("sig", "doc", "cnt", F.shiftright("tag", 24).alias("n"), F.shiftright("tag", 1).bitwiseAND((1 << 23) - 1).alias("slack"), own.alias("own")),
+        rows.join(counts, "sig").select("sig", "doc", "cnt", F.shiftright("tag", 24).alias("n"), F.shiftright("tag", 1).bitwiseAND((1 << 23) - 1).alias("slack"), (own == 1).alias("own")),
         "jaccard-shared",
-    )
+    )
     # Most frequent first, the same order for all documents; only subsets that three or more share are worth leaving out.
     costly = Window.partitionBy("doc", "own").orderBy(F.desc("cnt"), "sig")
     often = shared.where("cnt > 2").withColumn("_rank", F.row_number().over(costly)).where("_rank > slack").drop("_rank")
@@ -267,9 +317,10 @@ def candidate_buckets(docs: DataFrame, similarity: int, words: int) -> DataFrame
 
 
 def star_pairs(rows: DataFrame, similarity: int) -> DataFrame:
-    """Distinct pairs (a, b) of each bucket's pivot, its own-band member of highest score, with its other members."""
-    best = F.max(F.when(F.col("own"), F.struct("score", (-F.col("doc")).alias("minus"), "n"))).over(Window.partitionBy("sig"))
-    met = rows.withColumn("pivot", best).where("pivot is not null").where(F.col("doc") != -F.col("pivot.minus")).where(similar_size("n", "pivot.n", similarity))
+    """Distinct pairs (a, b) of each bucket's pivot, its own-band member of highest score, with its other members.
+    `rows` should be stored: it is read twice."""
+    best = rows.where("own").groupBy("sig").agg(F.max(F.struct("score", (-F.col("doc")).alias("minus"), "n")).alias("pivot"))
+    met = rows.join(best, "sig").where(F.col("doc") != -F.col("pivot.minus")).where(similar_size("n", "pivot.n", similarity))
     a, b = -F.col("pivot.minus"), F.col("doc")
     return met.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
 
@@ -281,15 +332,27 @@ def open_rows(buckets: DataFrame, labels: DataFrame) -> DataFrame:
     return several.join(apart, "sig", "left_semi")
 
 
-def cross_pairs(rows: DataFrame, similarity: int) -> DataFrame:
+def cross_pairs(rows: DataFrame, similarity: int, block: int = BLOCK) -> DataFrame:
     """Distinct pairs (a, b) that share a bucket, are in different components so far and whose parities, within the
-    join, don't rule them out already."""
-    one, two = (rows.select(*[F.col(c).alias(f"{c}{k}") for c in ("sig", "doc", "n", "own", "root", "bits")]) for k in (1, 2))
-    on = (F.col("sig1") == F.col("sig2")) & (F.col("doc1") < F.col("doc2")) & (F.col("root1") != F.col("root2"))
+    join, don't rule them out already.
+
+    A bucket's rows are dealt to blocks of about `block`, and a task's key is a pair of blocks, so that a large bucket
+    spreads over many tasks.
+    """
+    blocks = F.ceil(F.col("cnt") / block).cast("int")
+    dealt = rows.withColumns({"_blocks": blocks, "_block": F.pmod(F.xxhash64("doc"), blocks).cast("int")})
+    one = dealt.select("*", F.explode(F.sequence(F.col("_block"), F.col("_blocks") - 1)).alias("_other"))
+    two = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("_block"))).alias("_other"))
+    names = ("sig", "doc", "n", "own", "root", "bits", "_block", "_other")
+    one, two = (side.select(*[F.col(c).alias(f"{c}{k}") for c in names]) for k, side in ((1, one), (2, two)))
+    # Within a block each pair meets twice, between blocks once.
+    key = (F.col("sig1") == F.col("sig2")) & (F.col("_block1") == F.col("_other2")) & (F.col("_other1") == F.col("_block2"))
+    on = key & ((F.col("_block1") < F.col("_block2")) | (F.col("doc1") < F.col("doc2"))) & (F.col("root1") != F.col("root2"))
     useful = (F.col("own1") | F.col("own2")) & similar_size("n1", "n2", similarity)
     differ = sum((F.bit_count(F.col("bits1")[i].bitwiseXOR(F.col("bits2")[i])) for i in range(SKETCH)), F.lit(0))
     close = differ * (100 + similarity) <= (F.col("n1") + F.col("n2")) * (100 - similarity)
-    return one.join(two, on & useful & close).select(F.col("doc1").alias("a"), F.col("doc2").alias("b")).distinct()
+    a, b = F.least("doc1", "doc2"), F.greatest("doc1", "doc2")
+    return one.join(two, on & useful & close).select(a.alias("a"), b.alias("b")).distinct()
 
 
 def near_duplicate_components(docs: DataFrame, similarity: int = SIMILARITY, words: int = WORDS) -> DataFrame:
@@ -297,8 +360,9 @@ def near_duplicate_components(docs: DataFrame, similarity: int = SIMILARITY, wor
 
     Equal sets become one class, its least doc_id for all. Each bucket of a signature first verifies its members
     against a pivot; then all pairs in different components so far are verified, which completes the join as far as
-    components can tell. A text without words has size 0 and is alone; a null doc_id
-    keeps its size with a null component; rows of one doc_id are one document; an empty table gives an empty result.
+    components can tell; links within a component aren't listed. A text without words has size 0 and is alone; a null
+    doc_id keeps its size with a null component; rows of one doc_id are one document; an empty table gives an empty
+    result; texts of any length are read whole; further columns are left out, whatever their names.
     """
     sizes = stored(digests(docs, words), "jaccard-digests")
     named = sizes.where("doc_id is not null and n > 0")
