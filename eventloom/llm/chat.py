@@ -28,10 +28,18 @@ def distinct_messages(conversations: DataFrame) -> DataFrame:
     return conversations.groupBy("conv_id", "turn", "role", "text").agg(F.count("*").alias("n_copies"))
 
 
+def canonical_text(json: str) -> Column:
+    """JSON text with the keys of all its objects sorted and without spaces; text that isn't JSON as it is.
+
+    A variant's objects are ordered by key at every depth, and numbers lose trailing zeros.
+    """
+    return F.coalesce(F.to_json(F.try_parse_json(F.col(json))), F.col(json))
+
+
 def tool_messages(messages: DataFrame) -> DataFrame:
     """Explicit calls and results: an assistant text that is JSON with `tool_calls` gives one row per call, a tool text
     that is JSON with `tool_call_id` a result; all other messages keep a null call_id. Adds kind, call_id, name,
-    arguments (JSON text), depends_on, content."""
+    arguments (canonical JSON text), depends_on, content."""
     calls = F.from_json("text", f"tool_calls array<{CALL}>")["tool_calls"]
     result = F.from_json("text", RESULT)
     none = F.lit(None).cast(CALL)
@@ -41,7 +49,7 @@ def tool_messages(messages: DataFrame) -> DataFrame:
     return opened.select(
         *messages.columns,
         F.when(F.col("call.id").isNotNull(), "call").when(F.col("result.tool_call_id").isNotNull(), "result").otherwise("message").alias("kind"),
-        F.coalesce("call.id", "result.tool_call_id").alias("call_id"), F.col("call.name").alias("name"), F.col("call.arguments").alias("arguments"),
+        F.coalesce("call.id", "result.tool_call_id").alias("call_id"), F.col("call.name").alias("name"), canonical_text("call.arguments").alias("arguments"),
         F.coalesce("call.depends_on", F.array().cast("array<string>")).alias("depends_on"),
         F.when(F.col("result.tool_call_id").isNotNull(), F.col("result.content")).otherwise(F.when(F.col("call.id").isNull(), F.col("text"))).alias("content"),
     )
@@ -49,9 +57,9 @@ def tool_messages(messages: DataFrame) -> DataFrame:
 
 def turns_as_calls(messages: DataFrame) -> DataFrame:
     """Plain turns as calls: a user turn calls `reply` with its text, the assistant turn behind it is the result of the
-    call that the turn before it names. Rows that `tool_messages` made calls or results stay."""
+    call that the turn before it names. A null turn names none. Rows that `tool_messages` made calls or results stay."""
     plain = F.col("kind") == "message"
-    named = lambda turn: F.concat_ws(":", F.col("conv_id").cast("string"), turn.cast("string"))
+    named = lambda turn: F.when(turn.isNotNull(), F.concat_ws(":", F.col("conv_id").cast("string"), turn.cast("string")))
     user, answer = plain & (F.col("role") == "user"), plain & (F.col("role") == "assistant")
     return messages.withColumns(
         {
@@ -101,7 +109,7 @@ def linked(messages: DataFrame, schemas: Schemas) -> DataFrame:
     call, result = F.col("kind") == "call", F.col("kind") == "result"
     return (
         messages.withColumn("errors", errors).join(sides, on, "left").drop("_conv_id", "_call_id")
-        .withColumn("is_linked", F.when(call, F.col("n_results") > 0).when(result, F.col("n_calls") > 0))
+        .withColumn("is_linked", F.when(call, F.coalesce(F.col("n_results") > 0, F.lit(False))).when(result, F.coalesce(F.col("n_calls") > 0, F.lit(False))))
         .withColumn("errors", F.when(call, F.concat("errors", F.when(F.col("n_calls") > 1, F.array(F.lit("repeated identifier"))).otherwise(F.array().cast("array<string>")))))
     )
 
@@ -109,32 +117,39 @@ def linked(messages: DataFrame, schemas: Schemas) -> DataFrame:
 def levelled(messages: DataFrame) -> DataFrame:
     """Adds `level` and `at_turn`, the topological place: messages 0; calls without dependencies 0, others one above the
     highest result they depend on; a result one above its call. `at_turn` is the latest turn among a message and all it
-    needs. Calls in a cycle or that depend on unknown identifiers get level null.
+    needs. Calls in a cycle or that depend on unknown identifiers get level null; one without an identifier depends on
+    nothing.
 
-    One round per level of dependency, each joining only the calls that were settled last.
+    One round per level of dependency: the needs are joined only to the calls that were settled last, and the calls that
+    wait for more, fewer every round, count off what they got.
     """
     with_needs = messages.where((F.col("kind") == "call") & (F.size("depends_on") > 0))
-    calls = messages.where(F.col("kind") == "call").groupBy("conv_id", "call_id").agg(F.min("turn").alias("turn"), F.flatten(F.collect_set("depends_on")).alias("needs"))
+    # A null conversation is one like others, also in joins.
+    conv = F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit("")).alias("_conv")
+    calls = messages.where((F.col("kind") == "call") & F.col("call_id").isNotNull()).groupBy(conv, F.col("call_id").alias("_call")).agg(
+        F.min("turn").alias("_at"), F.array_distinct(F.flatten(F.collect_set("depends_on"))).alias("needs")
+    )
     if with_needs.isEmpty():
-        ranks = calls.select(F.col("conv_id").alias("_conv"), F.col("call_id").alias("_call"), F.lit(0).alias("_level"), F.col("turn").alias("_at"))
+        ranks = calls.select("_conv", "_call", F.lit(0).alias("_level"), "_at")
     else:
         calls = stored(calls, "chat-calls")
-        edges = stored(calls.select("conv_id", "call_id", F.explode(F.array_distinct("needs")).alias("need")), "chat-edges")
-        done = calls.where(F.size("needs") == 0).select("conv_id", "call_id", F.lit(0).alias("level"), F.col("turn").alias("at"))
-        before = -1
-        while (n := (done := stored(done, "chat-done")).count()) > before:
-            before = n
-            met = edges.join(done.withColumnRenamed("call_id", "need"), ["conv_id", "need"], "left").groupBy("conv_id", "call_id").agg(
-                F.bool_and(F.col("level").isNotNull()).alias("ready"), (F.max("level") + 2).alias("level"), F.max("at").alias("at")
+        edges = stored(calls.select("_conv", "_call", F.explode("needs").alias("_need")), "chat-edges")
+        ranks = last = calls.where(F.size("needs") == 0).select("_conv", "_call", F.lit(0).alias("_level"), "_at")
+        waiting = calls.where(F.size("needs") > 0).select("_conv", "_call", F.size("needs").alias("_open"), F.lit(0).alias("_level"), "_at")
+        while not last.isEmpty():
+            settled = last.select("_conv", F.col("_call").alias("_need"), "_level", "_at")
+            got = edges.join(settled, ["_conv", "_need"]).groupBy("_conv", "_call").agg(F.count("*").cast("int").alias("_n"), (F.max("_level") + 2).alias("_l"), F.max("_at").alias("_t"))
+            counted = waiting.join(got, ["_conv", "_call"], "left").select(
+                "_conv", "_call", (F.col("_open") - F.coalesce("_n", F.lit(0))).alias("_open"), F.greatest("_level", "_l").alias("_level"), F.greatest("_at", "_t").alias("_at")
             )
-            new = met.where("ready").join(done, ["conv_id", "call_id"], "left_anti").join(calls, ["conv_id", "call_id"]).select("conv_id", "call_id", "level", F.greatest("at", "turn").alias("at"))
-            done = done.unionByName(new)
-        ranks = done.select(F.col("conv_id").alias("_conv"), F.col("call_id").alias("_call"), F.col("level").alias("_level"), F.col("at").alias("_at"))
-    on = messages["conv_id"].eqNullSafe(F.col("_conv")) & (messages["call_id"] == F.col("_call"))
+            counted = stored(counted, "chat-waiting")
+            waiting, last = counted.where("_open > 0"), counted.where("_open = 0").drop("_open")
+            ranks = ranks.unionByName(last)
+    on = (F.coalesce(F.concat(F.lit("="), messages["conv_id"].cast("string")), F.lit("")) == F.col("_conv")) & (messages["call_id"] == F.col("_call"))
     call, result = F.col("kind") == "call", F.col("kind") == "result"
     return (
         messages.join(ranks, on, "left")
-        .withColumn("level", F.when(call, F.col("_level")).when(result, F.coalesce(F.col("_level") + 1, F.lit(0))).otherwise(0))
+        .withColumn("level", F.when(call, F.when(F.col("call_id").isNull(), 0).otherwise(F.col("_level"))).when(result, F.coalesce(F.col("_level") + 1, F.lit(0))).otherwise(0))
         .withColumn("at_turn", F.when(call | result, F.greatest("turn", F.col("_at"))).otherwise(F.col("turn")))
         .drop("_conv", "_call", "_level", "_at")
     )
@@ -154,8 +169,8 @@ def linked_conversations(conversations: DataFrame, schemas: Schemas = REPLY_SCHE
     row or task.
 
     Null texts are messages without content (a user turn's null prompt is reported as missing), null conv_ids form a
-    conversation, null turns have no identifier partner, an empty table gives an empty result; further columns of the
-    input are left out.
+    conversation, null turns have no identifier and no partner, an empty table gives an empty result; texts of any length
+    stay whole; further columns of the input are left out, whatever their names.
     """
     messages = tool_messages(distinct_messages(conversations.select("conv_id", "turn", "role", "text")))
     if plain_turns:
@@ -169,13 +184,13 @@ def linked_conversations(conversations: DataFrame, schemas: Schemas = REPLY_SCHE
 SQL = r"""
 WITH d AS (SELECT conv_id, turn, role, text, count(*) AS n_copies FROM conversations GROUP BY ALL),
 m AS (SELECT *, CASE role WHEN 'user' THEN 'call' WHEN 'assistant' THEN 'result' ELSE 'message' END AS kind,
-             CASE role WHEN 'user' THEN concat_ws(':', conv_id, turn) WHEN 'assistant' THEN concat_ws(':', conv_id, turn - 1) END AS call_id
+             CASE WHEN turn IS NULL THEN NULL WHEN role = 'user' THEN concat_ws(':', conv_id, turn) WHEN role = 'assistant' THEN concat_ws(':', conv_id, turn - 1) END AS call_id
       FROM d),
 s AS (SELECT conv_id, call_id, min(turn) FILTER (kind = 'call') AS call_turn, count(*) FILTER (kind = 'call') AS n_calls,
              count(*) FILTER (kind = 'result') AS n_results
       FROM m WHERE kind <> 'message' GROUP BY ALL)
 SELECT m.conv_id, m.turn, m.role, m.n_copies, m.kind, m.call_id,
-       CASE m.kind WHEN 'call' THEN s.n_results > 0 WHEN 'result' THEN s.n_calls > 0 END AS is_linked,
+       CASE m.kind WHEN 'call' THEN coalesce(s.n_results > 0, false) WHEN 'result' THEN coalesce(s.n_calls > 0, false) END AS is_linked,
        CASE WHEN m.kind = 'call' THEN concat_ws(', ', CASE WHEN m.text IS NULL THEN 'missing prompt' END, CASE WHEN s.n_calls > 1 THEN 'repeated identifier' END) END AS errors,
        CAST(CASE WHEN m.kind = 'result' AND s.n_calls > 0 THEN 1 ELSE 0 END AS INTEGER) AS level,
        CASE WHEN m.kind = 'message' THEN m.turn ELSE greatest(m.turn, s.call_turn) END AS at_turn,

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+import random
 
 from eventloom.llm import chat
 
@@ -33,3 +34,39 @@ def test_awkward_rows(spark):
     rows = rows_of(spark, messages, plain=True)
     assert len(rows) == 5 and sum(r["n_copies"] for r in rows) == 6
     assert rows_of(spark, [], plain=True) == []
+
+
+def test_null_turns_and_conversations(spark):
+    rows = rows_of(spark, [(1, None, "user", "a", ""), (1, None, "assistant", "b", "")], plain=True)
+    assert [(r["call_id"], r["is_linked"], r["level"]) for r in rows] == [(None, False, 0)] * 2
+    calls = json.dumps({"tool_calls": [call("a", "add", {"a": 1, "b": 1}), call("b", "add", {"a": 1, "b": 1}, "a")]})
+    for conv in (None, 1):
+        rows = rows_of(spark, [(conv, 1, "assistant", calls, ""), (conv, 2, "tool", '{"tool_call_id":"a","content":"2"}', "")])
+        assert {(r["kind"], r["call_id"]): (r["level"], r["is_linked"]) for r in rows} == {("call", "a"): (0, True), ("call", "b"): (2, False), ("result", "a"): (1, True)}
+
+
+def test_canonical_arguments(spark):
+    forms = ['{"b":1, "a":{"y":[1, {"q":2,"p":"x y"}],"x":null}}', '{ "a": {"x":null, "y":[1,{"p":"x y","q":2}]}, "b": 1 }']
+    rows = rows_of(spark, [(k, 1, "assistant", json.dumps({"tool_calls": [call("x", "add", f)]}), "") for k, f in enumerate(forms)])
+    told = {json.loads(r["json"])["arguments"] for r in rows}
+    assert told == {'{"a":{"x":null,"y":[1,{"p":"x y","q":2}]},"b":1}'}
+
+
+def levels(calls):
+    """Sequential: a call is one above the results it needs, if all of them can be had."""
+    known = {}
+    while new := {c: max((known[n] + 2 for n in needs), default=0) for c, needs in calls.items() if c not in known and all(n in known for n in needs)}:
+        known |= new
+    return known
+
+
+def test_levels_of_random_graphs(spark):
+    rng = random.Random(7)
+    messages, want = [], {}
+    for conv in range(25):
+        names = [f"c{i}" for i in range(rng.randint(1, 12))]
+        calls = {c: rng.sample(names + ["gone"], min(len(names), rng.randint(0, 3))) if rng.random() < 0.3 else rng.sample(names[:i], min(i, rng.randint(0, 3))) for i, c in enumerate(names)}
+        messages += [(conv, i + 1, "assistant", json.dumps({"tool_calls": [call(c, "add", {"a": 1, "b": 1}, *needs)]}), "") for i, (c, needs) in enumerate(calls.items())]
+        found = levels(calls)
+        want |= {(conv, c): found.get(c) for c in names}
+    assert {(r["conv_id"], r["call_id"]): r["level"] for r in rows_of(spark, messages)} == want
