@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from eventloom.llm.common import stored
+from eventloom.llm.common import checked_broadcast, stored
 
 #: Projected dimensions (even, for the closed form of the chi-square law), and the seed of the matrix.
 DIMENSIONS = 8
@@ -32,6 +32,8 @@ SAMPLE = 20_000
 #: Distinct vectors a block should hold, and a leaf of a block's tree.
 BLOCK = 4_096
 LEAF = 64
+#: Queries that one copy of a block answers.
+QUERIES = 2_000
 
 
 @lru_cache(maxsize=None)
@@ -52,6 +54,26 @@ def chi_square_quantile(p: float, degrees: int = DIMENSIONS) -> float:
     return high
 
 
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """Each vector times a power of two that brings its largest component near 1: exact, and no square over- or underflows."""
+    return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(-1, keepdims=True))[1])
+
+
+def units(vectors: np.ndarray) -> np.ndarray:
+    x = scaled(vectors)
+    return x / np.linalg.norm(x, axis=-1, keepdims=True)
+
+
+def cosine(a: np.ndarray, b: np.ndarray) -> float:
+    a, b = scaled(a), scaled(b)
+    return float(a @ b / (np.sqrt(a @ a) * np.sqrt(b @ b)))
+
+
+def dealt(ids: np.ndarray, parts: int) -> np.ndarray:
+    """A part of each id by a hash, so that ids with a common factor spread."""
+    return ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % parts
+
+
 @lru_cache(maxsize=8)
 def projection(width: int) -> np.ndarray:
     return np.random.default_rng(SEED).standard_normal((width, DIMENSIONS))
@@ -199,7 +221,7 @@ def nearest(
     if not sample:
         return spark.createDataFrame([], f"query_id long, rank int, {id} long, score double")
     matrix, fitted = projection(len(sample[0])), np.array(sample)
-    fitted = np.unique((fitted / np.linalg.norm(fitted, axis=1, keepdims=True)) @ matrix, axis=0)
+    fitted = np.unique(units(fitted) @ matrix, axis=0)
     tree, boxes = top_tree(fitted, -(-count // block))
     low, high = np.array([b[0] for b in boxes]), np.array([b[1] for b in boxes])
     limit = chi_square_quantile(confidence)
@@ -209,9 +231,8 @@ def nearest(
     def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
             if len(part):
-                unit = np.stack(part["vector"].to_numpy())
-                unit = unit / np.linalg.norm(unit, axis=1, keepdims=True)
-                deal = part["ids"].str[0].to_numpy() % parts if "ids" in part else part["query_id"].to_numpy() % parts
+                unit = units(np.stack(part["vector"].to_numpy()))
+                deal = dealt(part["ids"].str[0].to_numpy() if "ids" in part else part["query_id"].to_numpy(), parts)
                 yield part.assign(unit=list(unit), block=blocks_of(unit @ matrix, tree) * parts + deal)
 
     index = stored(classes.mapInPandas(placed, "vector array<double>, ids array<long>, unit array<double>, block long"), "ann-index")
@@ -227,12 +248,16 @@ def nearest(
         own = dict(zip(queries["query_id"], queries["vector"], strict=True))
         ids, originals, result = held["ids"].to_numpy(), held["vector"].to_numpy(), []
         for q, row, _ in found:
-            a, b = own[q], originals[row]
-            result += [(q, int(i), float(a @ b / (np.sqrt(a @ a) * np.sqrt(b @ b)))) for i in ids[row]]
+            score = cosine(own[q], originals[row])
+            result += [(q, int(i), score) for i in ids[row]]
         return pd.DataFrame(result, columns=["query_id", "_id", "score"])
 
     def search(routed: DataFrame) -> DataFrame:
-        return routed.groupBy("block").cogroup(index.groupBy("block")).applyInPandas(searched, "query_id long, _id long, score double")
+        # A block that many queries reach is copied, one copy per QUERIES of them, so that no task gets all of them.
+        met = stored(routed.groupBy("block").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("salts")), "ann-met")
+        asked_of = routed.join(checked_broadcast(met), "block").withColumn("salt", F.pmod(F.xxhash64("query_id"), "salts").cast("int")).drop("salts")
+        held_by = index.join(checked_broadcast(met), "block").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+        return asked_of.groupBy("block", "salt").cogroup(held_by.groupBy("block", "salt")).applyInPandas(searched, "query_id long, _id long, score double")
 
     # First each query's home block, which bounds how far its neighbours are; then the blocks that the bound doesn't rule out.
     home = stored(search(asked.withColumn("bound", F.lit(float("inf")))), "ann-home")
@@ -252,7 +277,7 @@ def nearest(
             yield pd.DataFrame(out, columns=["query_id", "vector", "unit", "block", "bound"])
 
     chosen = bounded.select("query_id", "vector", "unit", "block", "bound")
-    away = search(chosen.mapInPandas(routed, "query_id long, vector array<double>, unit array<double>, block long, bound double"))
+    away = search(stored(chosen.mapInPandas(routed, "query_id long, vector array<double>, unit array<double>, block long, bound double"), "ann-routed"))
     merged = home.unionByName(away).groupBy("query_id", "_id").agg(F.max("score").alias("score"))
     # One more than asked for, as every query but one of the class meets itself among them.
     top = stored(merged.withColumn("_rank", F.row_number().over(best)).where(F.col("_rank") <= k + 1).select(F.col("query_id").alias("_first"), "_id", "score"), "ann-found")

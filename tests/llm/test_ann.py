@@ -58,3 +58,29 @@ def test_few_and_none(spark):
     two = spark.createDataFrame([(50, [1.0, 0.0], 1), (3, [1.0, 1.0], 1)], schema)
     assert [(r["query_id"], r["rank"], r["vec_id"]) for r in ann.nearest(two, lambda v: v % 50 == 0).collect()] == [(50, 1, 3)]
     assert ann.nearest(two.where("vec_id = 50"), lambda v: v % 50 == 0).count() == 0
+
+
+def test_extreme_lengths_and_common_factors(spark):
+    rng = np.random.default_rng(5)
+    some = rng.standard_normal((60, 8))
+    sizes = np.array([1e200, 1e-200, 1.0, 1e300, 1e-300])
+    rows = [(50 * i, (some[i] * sizes[i % 5]).tolist(), 1) for i in range(60)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, block int")
+    got = found_of(ann.nearest(frame, lambda v: v % 50 == 0, block=5).collect())
+    want = brute(np.array([r[0] for r in rows]), some, np.ones(60, bool))
+    hits = sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want)
+    assert set(got) == set(want) and hits >= 0.9 * 300
+    for q, found in got.items():
+        for i, score in found:
+            assert score == pytest.approx(some[q // 50] @ some[i // 50] / np.linalg.norm(some[q // 50]) / np.linalg.norm(some[i // 50]), abs=1e-12)
+    assert len(np.unique(ann.dealt(np.arange(0, 8_000, 8), 8))) == 8
+
+
+def test_queries_of_one_block_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(ann, "QUERIES", 7)
+    path = "/root/testdata/sf0.01/embeddings.parquet"
+    table = pq.read_table(path)
+    ids, vectors = table["vec_id"].to_numpy(), np.array(table["embedding"].to_pylist(), dtype=float)
+    got = found_of(ann.nearest(spark.read.parquet(path), lambda v: v % 5 == 0).collect())
+    want = brute(ids, vectors, ids % 5 == 0)
+    assert set(got) == set(want) and sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want) >= 0.9 * sum(map(len, want.values()))
