@@ -52,11 +52,12 @@ def source_targets(sizes: DataFrame, cap: int = CAP, weights: tuple[int, ...] =
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size in words (null text: 0) and the hash-random key; `tie` settles repeated doc_ids."""
+    """doc_id, source, size in words (null text: 0) and the hash-random key from id and text, so that rows of a null or
+    repeated doc_id spread; `tie` settles repeated doc_ids."""
     return docs.select(
         "doc_id", "source",
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("key"),
+        F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), F.md5(F.col("text").cast("binary"))).cast("binary")).alias("key"),
         F.xxhash64("text").alias("tie"),
     )
 
@@ -67,7 +68,8 @@ def mix(docs: DataFrame, cap: int = CAP, weights: tuple[int, ...] = WEIGHTS) ->
     `taken` counts words with repeats: `budget div source_size` whole epochs, and of one further epoch, in key
     order, what the rest of the budget covers; the document at the cut gives only its part, so that the sum over a
     source is its target rounded down. Null sources are a source, null texts have size 0, repeated rows each count,
-    an empty table gives an empty result. Same rows, same result.
+    an empty table gives an empty result; texts of any length are counted whole; further columns are left out, whatever
+    their names. Same rows, same result.
     """
     base = stored(sized(docs), "mix-sizes")
     sizes = base.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -86,25 +88,26 @@ def mix(docs: DataFrame, cap: int = CAP, weights: tuple[int, ...] = WEIGHTS) ->
 def mixed_documents(docs: DataFrame, cap: int = CAP, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     """The mixed documents themselves, whole: each as often as its taken words make it, halves rounded up.
 
-    Documents without words carry no budget and stay once. Columns are those of `docs`.
+    Documents without words carry no budget and stay once. Columns are those of `docs`, whatever their names; rows that
+    agree in id, source and text share their copies as evenly as whole numbers allow; an empty table stays empty.
     """
     taken = mix(docs, cap, weights)
     copies = F.when(F.col("size") == 0, 1).otherwise(F.floor((2 * F.col("taken") + F.col("size")) / F.when(F.col("size") > 0, 2 * F.col("size")).otherwise(1)))
-    # Rows that agree in id and text take the same part of the budget together: the sum of their copies is spread again.
-    wanted = taken.withColumn("copies", copies.cast("int")).groupBy("doc_id", "tie").agg(F.sum("copies").alias("_total"), F.count("*").alias("_rows"))
-    keyed = docs.withColumn("_tie", F.xxhash64("text"))
-    joined = keyed.join(
-        wanted.select(F.col("doc_id").alias("_id"), F.col("tie").alias("_t"), "_total", "_rows"),
-        keyed["doc_id"].eqNullSafe(F.col("_id")) & (keyed["_tie"] == F.col("_t")),
-    )
-    each = F.ceil(F.col("_total") / F.col("_rows")).cast("int")
-    return joined.where(each > 0).select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), each)).alias("_copy")).drop("_copy")
+    wanted = taken.withColumn("copies", copies.cast("int")).groupBy("doc_id", "source", "tie").agg(F.sum("copies").alias("total"), F.count("*").alias("rows"))
+    row = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), F.col("doc_id").alias("id"), F.col("source").alias("of"), F.xxhash64("text").alias("hash"))
+    joined = row.join(wanted, row["id"].eqNullSafe(F.col("doc_id")) & row["of"].eqNullSafe(F.col("source")) & (F.col("hash") == F.col("tie")))
+    # Of equal rows the first ones get one copy more; only rows that have equals are numbered.
+    equal = F.row_number().over(Window.partitionBy("id", "of", "hash").orderBy(F.lit(0)))
+    single = joined.where("rows = 1").withColumn("each", F.col("total").cast("int"))
+    several = joined.where("rows > 1").withColumn("each", (F.floor(F.col("total") / F.col("rows")) + F.when(equal <= F.col("total") % F.col("rows"), 1).otherwise(0)).cast("int"))
+    made = single.unionByName(several).where("each > 0").select("doc", F.explode(F.sequence(F.lit(1), F.col("each"))).alias("copy"))
+    return made.select(*[F.col("doc")[c].alias(c) for c in docs.columns])
 
 
 SQL = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         md5(CAST(doc_id AS VARCHAR)) AS k
+         md5(concat_ws(':', doc_id, md5(text))) AS k
   FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 o AS (SELECT source, source_size, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS w,

@@ -55,3 +55,18 @@ def test_awkward_rows(spark):
     assert mixed.columns == docs.columns
     assert Counter(r["doc_id"] for r in mixed.collect())[0] == 1
     assert mixing.mix(edges.empty(spark)).count() == mixing.mixed_documents(edges.empty(spark)).count() == 0
+
+
+def test_copies_of_equal_rows(spark):
+    """Three equal rows of 10 words whose source takes 23 words are 2 copies of 3 rows, not one more."""
+    rows = [(1, "w " * 10, "en", "a", 20)] * 3 + [(2, "x " * 16, "en", "b", 32)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    taken = mixing.mix(docs).collect()
+    halves = {s: sum((2 * r["taken"] + r["size"]) // (2 * r["size"]) for r in taken if r["source"] == s) for s in ("a", "b")}
+    got = Counter(r["source"] for r in mixing.mixed_documents(docs).collect())
+    assert got == Counter({s: n for s, n in halves.items() if n})
+
+
+def test_null_ids_spread(spark):
+    docs = spark.range(1_000).selectExpr("cast(null as long) doc_id", "concat('text ', id) text", "'a' source")
+    assert mixing.sized(docs).select("key").distinct().count() == 1_000
