@@ -128,7 +128,7 @@ def packed(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         by_length.setdefault(length, []).append(tuple(run))
     schema = "_length long, runs array<struct<rank:long,first:long,each:long,offset:long>>"
     plan = spark.createDataFrame(list(by_length.items()), schema)
-    keyed = pieces.withColumn("_key", F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("piece").cast("string")).cast("binary"))).withColumn("_one", F.lit(1))
+    keyed = pieces.withColumn("_key", F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("piece").cast("string"), F.col("ids_crc32").cast("string")).cast("binary"))).withColumn("_one", F.lit(1))
     ranked = grouped_prefix(keyed, "length", "_key", ["doc_id", "piece", "ids_crc32"], "_one", "_rank").drop("_key", "_one")
     joined = ranked.join(checked_broadcast(plan, capacity), F.col("length") == F.col("_length")).drop("_length")
     run = joined.withColumn("_run", F.element_at(F.filter("runs", lambda x: x["rank"] <= F.col("_rank")), -1)).drop("runs")
@@ -141,5 +141,7 @@ def packed(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
-    """Packs all documents; null texts are empty ones and hold just the end id."""
+    """Packs all documents; null and empty texts hold just the end id. Null ids and repeated rows are documents like
+    others, an empty table gives an empty result, texts of any length are cut into whole pieces, further columns are left
+    out, whatever their names."""
     return packed(stored(token_pieces(docs, tokenizer, capacity), "pieces"), capacity)
