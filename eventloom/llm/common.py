@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -14,6 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from eventloom.storage import released, shared_dir, stored
+
+__all__ = ["released", "shared_dir", "stored"]
+
 #: Bytes of rows that a Python worker gets, and works on, at a time; and rows of one slice of them.
 BATCH_BYTES, SLICE_ROWS = 4 << 20, 1_000
 #: Rows up to which a key-aggregated side is broadcast; larger ones take the shuffle join.
@@ -76,30 +78,6 @@ def mapped(df: DataFrame, made: Callable[[Iterator[pa.RecordBatch]], Iterator[pa
     return df.mapInArrow(work, schema)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A folder that the driver and all executors see: `spark.checkpoint.dir`.
-
-    Only a local session that names none gets a temporary folder; a cluster without the setting is an error,
-    because a machine-local folder would lose data there.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    made = tempfile.mkdtemp(prefix="eventloom-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
-
-
-def stored(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
-    """Write `df` as Parquet into the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path, compression=compression)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def checked_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast only after counting: `df` must be cheap to count (stored or aggregated)."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -1,6 +1,6 @@
 """N-gram Jaccard self-join by universe partitioning, exact.
 
-A document's shingle hashes fall into size bands whose ends grow by the threshold, so partners are in the same or the
+A document's shingle hashes fall into size bands that are wider than the threshold, so partners are in the same or the
 next band. A band's scheme splits the universe of hashes into segments. Two sets of Jaccard similarity t differ in at
 most H = (1-t)/(1+t) * (sum of sizes) elements, so by the pigeonhole principle some segments' subsets agree exactly, or
 within one element where one-deletion neighbourhoods are indexed ("deep" segments, worth 2). An allocation by cost
@@ -25,12 +25,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from eventloom.llm.common import checked_broadcast, mapped, remembering, stored
+from eventloom.llm.common import checked_broadcast, mapped, released, remembering, stored
 from eventloom.llm.components import components
 
 WORDS = 5
 #: Similarity as parts of 100.
 SIMILARITY = 80
+#: The largest size of a band in hundredths of its least: wide bands spare most sets the next band's scheme.
+BAND = 150
 #: What a segment of at most one element costs besides its row: its subset is as common as a shingle.
 SMALL_SEGMENT_COST = 8
 #: How rarely, at most, a set may have more empty subsets than its scheme lets it leave out.
@@ -86,7 +88,7 @@ def band_ends(similarity: int, upto: int = 1 << 40) -> np.ndarray:
     """The largest size of each band."""
     ends, low = [], 1
     while low < upto:
-        ends.append(max(low, low * 100 // similarity))
+        ends.append(max(low, low * max(BAND * similarity, 10_000) // (100 * similarity)))
         low = ends[-1] + 1
     return np.asarray(ends)
 
@@ -123,8 +125,9 @@ def enough_segments(n: int, needed: int, least: int, most: int) -> int | None:
                 return segments
         else:
             rest = exp(-mean) * (1 if least == 1 else 1 + mean)
+            spread = rest - (1 + mean) * rest * rest if least == 1 else rest
             # The normal law's tail beyond 5 deviations is under RARE.
-            if segments - segments * rest - 5 * (segments * rest) ** 0.5 >= needed:
+            if segments - segments * rest - 5 * (segments * spread) ** 0.5 >= needed:
                 return segments
         segments = max(segments + 1, int(segments * 1.02))
     return None
@@ -170,7 +173,10 @@ def signatures(h: np.ndarray, similarity: int = SIMILARITY) -> list[tuple[np.nda
     own = band_of(len(h), similarity)
     values = mixed(h + U64(0x632BE59BD9B4E019))
     for band in (own, own - 1):
-        segments, deep, slack = scheme(band, similarity) if band >= 0 else (0, False, 0)
+        # A partner in the band below has the similarity's share of this set's size at least.
+        if band < 0 or (band < own and len(h) * similarity > 100 * int(band_ends(similarity)[band])):
+            continue
+        segments, deep, slack = scheme(band, similarity)
         if not segments:
             continue
         # Sorted hashes fall into rising segments.
@@ -304,10 +310,12 @@ def candidate_buckets(docs: DataFrame, similarity: int, words: int) -> DataFrame
     rows = signature_rows(docs, similarity, words)
     own = F.col("tag").bitwiseAND(1)
     counts = stored(rows.groupBy("sig").agg(F.count("*").alias("cnt"), F.max(own).alias("_own")).where("cnt > 1 and _own = 1").select("sig", "cnt"), "jaccard-counts")
+    released(docs.sparkSession)
     shared = stored(
         rows.join(counts, "sig").select("sig", "doc", "cnt", F.shiftright("tag", 24).alias("n"), F.shiftright("tag", 1).bitwiseAND((1 << 23) - 1).alias("slack"), (own == 1).alias("own")),
         "jaccard-shared",
     )
+    released(docs.sparkSession)
     # Most frequent first, the same order for all documents; only subsets that three or more share are worth leaving out.
     costly = Window.partitionBy("doc", "own").orderBy(F.desc("cnt"), "sig")
     often = shared.where("cnt > 2").withColumn("_rank", F.row_number().over(costly)).where("_rank > slack").drop("_rank")
