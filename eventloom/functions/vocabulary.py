@@ -43,5 +43,30 @@ RULES = {
 }
 DOMAIN = {"fortnite": "Fortnite", "pubg": "PUBG", "nba": "NBA basketball", "csgo": "Counter-Strike", "rocket_league": "Rocket League", "poker": "poker"}
 QUESTION = "Is the sequence of events above consistent with the rules of %s?\nReply with exactly one word: YES or NO."
+# The questions of the diagnostic and of the citation, what a question may be preceded by, and what stands
+# for rules and question where a cell has none.
+DIAGNOSTIC = (
+    "Does the sequence of events above contain any event that violates the rules of %s?\n\n"
+    "Most sequences are valid. Only reply YES if you can identify both (a) which specific listed rule is broken, and (b) which specific event in the sequence breaks it. "
+    "Do not infer violations from unusual, rare, or incomplete patterns. Ignore artifacts in formatting, timing, or score reporting.\n\n"
+    "Reply with exactly one word: YES (a violation is present) or NO."
+)
+CITATION = (
+    "You evaluated this sequence and concluded it contains a rule violation.\n\nFrom the constraint context above, identify:\n"
+    "(a) Which specific rule (quote it directly from the constraint context)\n(b) Which event number(s) (0-indexed) caused the violation\n\n"
+    "Reply in this exact format on two lines:\nRULE: <quoted rule>\nEVENTS: <comma-separated event numbers>"
+)
+IGNORE_TIMES = "Note: ignore timestamps when evaluating rule violations. Focus only on whether any event in the sequence breaks the stated rules.\n\n"
+NO_RULES = (
+    "[CONSTRAINT CONTEXT FOR %s — TO BE DEFINED AT T-DESIGN]\nPer SPEC §6 (T design), the constraint context language is locked during the T-design joint authoring session. "
+    "This default is a placeholder so prompt construction can be tested infrastructure-side."
+)
+NO_QUESTION = "[QUESTION TBD AT T-DESIGN]\nPredict the actor or event-type that follows. Reply with a single token only."
+# The rule that each cell's planted violation breaks, and the streets of a hand in order.
+CLAUSES = {
+    "nba": "A player with 6 fouls is ejected", "pubg": "An eliminated player cannot act", "rocket_league": "A goal resets ball and player positions for a kickoff",
+    "poker": "A folded player cannot act again", "csgo": "Eliminated players don't respawn until next round",
+}
+STREETS = ("preflop", "flop", "turn", "river")
 # Fixed value: answers that abstain.
 ABSTAIN = r"(?i)^\s*(i\s*don'?t\s*know|abstain|n/?a|unknown|cannot\s*determine|insufficient|no\s*answer|skip)\s*\.?\s*$"

@@ -83,9 +83,27 @@ def rendered(members: DataFrame, chain: str = "chain_id") -> DataFrame:
     return per.select(chain, "cell", F.array_join(F.transform("_lines", lambda x: x["_line"]), "\n").alias("text"))
 
 
-def prompts(chains: DataFrame) -> DataFrame:
-    """Adds baseline (chain, question) and intervention (rules, chain, question)."""
-    rules = F.create_map(*[F.lit(x) for pair in V.RULES.items() for x in pair])
-    questions = F.create_map(*[F.lit(x) for c, d in V.DOMAIN.items() for x in (c, V.QUESTION % d)])
-    question = questions[F.col("cell")]
-    return chains.withColumns({"baseline": F.concat_ws("\n\n", "text", question), "intervention": F.concat_ws("\n\n", rules[F.col("cell")], "text", question)})
+def streets_covered(members: DataFrame, street: Column, chain: str = "chain_id") -> DataFrame:
+    """chain, streets: the streets of each chain in the order of play, unknown ones behind them as they first appear."""
+    rank = F.array_position(F.array(*map(F.lit, V.STREETS)), F.col("_street"))
+    first = members.withColumn("_street", street).where("_street <> ''").groupBy(chain, "_street").agg(F.min("slot").alias("_first"))
+    ordered = F.array_sort(F.collect_list(F.struct(F.when(rank > 0, rank).otherwise(99).alias("rank"), "_first", "_street")))
+    return first.groupBy(chain).agg(ordered.alias("_streets")).select(chain, F.transform("_streets", lambda x: x["_street"]).alias("streets"))
+
+
+def question_of(kind: str, ignore_times: bool = False) -> Column:
+    """The question of a prompt by its cell: whether a chain is consistent, whether an event breaks a rule (diagnostic),
+    or which rule and event (citation); a placeholder for cells without a domain."""
+    if kind == "citation":
+        return F.lit(V.CITATION)
+    form = {"consistent": V.QUESTION, "diagnostic": V.DIAGNOSTIC}[kind]
+    known = F.create_map(*[F.lit(x) for c, d in V.DOMAIN.items() for x in (c, (V.IGNORE_TIMES if ignore_times else "") + form % d)])
+    return F.coalesce(known[F.col("cell")], F.lit(V.NO_QUESTION))
+
+
+def prompts(chains: DataFrame, kind: str = "consistent", ignore_times: bool = False) -> DataFrame:
+    """Adds baseline (chain, question) and intervention (rules, chain, question); a placeholder where a cell has no rules."""
+    rules = F.create_map(*[F.lit(x) for pair in V.RULES.items() for x in pair])[F.col("cell")]
+    told = F.coalesce(rules, F.format_string(V.NO_RULES, F.upper("cell")))
+    question = question_of(kind, ignore_times)
+    return chains.withColumns({"baseline": F.concat_ws("\n\n", "text", question), "intervention": F.concat_ws("\n\n", told, "text", question)})

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
+from eventloom.functions import vocabulary as V
 from eventloom.operators.chains import repeating_actor
 
 
@@ -62,6 +63,25 @@ def repeats_after(members: DataFrame, marker: str, event_type: str | None, least
     return _named(placed.withColumns({"event_type": kind, marker: first, f"already_{marker}": later}).drop("_n", "_who", "first_slot"))
 
 
+def folds_then_acts(members: DataFrame, marked: bool = True, action: str = "action", bet: str = "bet", least: int = 3) -> DataFrame:
+    """The first repeating actor folds at their first event, without a bet, and acts later.
+
+    marked: all their later events are decisions and tagged `already_folded`, and those that would be folds or nothing
+    are raises, of 5 if they have no bet. Else only their last event is such a raise, and nothing tells that they folded.
+    """
+    who = repeating_actor(members).select("chain_id", F.col("actor").alias("_who"), "first_slot", "last_slot")
+    placed = members.withColumn("_n", F.count("*").over(chain())).where(F.col("_n") >= least).join(who, "chain_id")
+    own, slot = F.col("actor") == F.col("_who"), F.col("slot")
+    first, later = own & (slot == F.col("first_slot")), own & (slot > F.col("first_slot") if marked else slot == F.col("last_slot"))
+    raises = later & (F.coalesce(F.col(action).isin("f", ""), F.lit(True)) if marked else F.lit(True))
+    made = {
+        "event_type": F.when(first, "disengage_decision").when(later, "engage_decision").otherwise(F.col("event_type")),
+        action: F.when(first, "f").when(raises, "cbr").otherwise(F.col(action)),
+        bet: F.when(first, 0.0).when(raises, F.coalesce(F.col(bet).cast("double"), F.lit(5.0))).otherwise(F.col(bet).cast("double")),
+    }
+    return _named(placed.withColumns({**made, **({"already_folded": later} if marked else {})}).drop("_n", "_who", "first_slot", "last_slot"))
+
+
 def goal_persists(members: DataFrame) -> DataFrame:
     """The event a third into the chain (not the first) is a goal; later ones keep the state before it."""
     placed = members.withColumns({"_n": F.count("*").over(chain()), "_first": F.min("slot").over(chain())}).where("_n >= 3")
@@ -118,10 +138,19 @@ def demolished_acts(members: DataFrame) -> DataFrame:
 #: The violation that each cell is tested with.
 INJECTORS = {
     "nba": foul_out, "pubg": eliminated_acts, "rocket_league": goal_persists,
-    "poker": lambda members: repeats_after(members, "folded", "engage_decision"), "csgo": lambda members: repeats_after(members, "eliminated", None),
+    "poker": lambda members: folds_then_acts(members) if "action" in members.columns else repeats_after(members, "folded", "engage_decision"), "csgo": lambda members: repeats_after(members, "eliminated", None),
 }
 
 
+def violation_clauses(members: DataFrame) -> DataFrame:
+    """cell, clauses (sorted array), n_chains: the rules that the planted violations of each cell break."""
+    made = None
+    for cell in INJECTORS:
+        one = injected(members, cell).select("cell", "chain_id", F.lit(V.CLAUSES[cell]).alias("clause"))
+        made = one if made is None else made.unionByName(one)
+    return made.groupBy("cell").agg(F.sort_array(F.collect_set("clause")).alias("clauses"), F.count_distinct("chain_id").alias("n_chains"))
+
+
 def injected(members: DataFrame, cell: str) -> DataFrame | None:
     """The cell's violation; None for an unknown cell."""
     made = INJECTORS.get(cell)

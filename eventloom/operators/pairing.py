@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 from statistics import NormalDist
 
 import pandas as pd
@@ -28,6 +30,37 @@ def answered(requests: DataFrame, responses: DataFrame) -> DataFrame:
     return requests.join(responses, "custom_id", "left").withColumn("text", F.coalesce("text", F.lit("")))
 
 
+def positional(chains: DataFrame, truths: DataFrame, baseline: DataFrame, intervention: DataFrame) -> DataFrame:
+    """cell, place, chain_id, truth, baseline_raw, intervention_raw from four lists by place.
+
+    `chains` has cell, place, chain_id, `truths` cell, place, text, the answers cell, place, chain_id, text. A place that
+    some list lacks or has twice, or whose answers are another chain's, raises: a batch that came back short or in
+    another order would pair wrong answers.
+    """
+    sides = {"truth": truths, "baseline": baseline, "intervention": intervention}
+    rows = chains.select("cell", "place", "chain_id", F.lit("chain").alias("side"), F.lit(None).cast("string").alias("text"))
+    for name, side in sides.items():
+        id = F.col("chain_id") if "chain_id" in side.columns else F.lit(None).cast("string").alias("chain_id")
+        rows = rows.unionByName(side.select("cell", "place", id, F.lit(name).alias("side"), F.col("text").cast("string")))
+    of = lambda side, what: F.first(F.when(F.col("side") == side, F.col(what)), ignorenulls=True)
+    each = [F.count_if(F.col("side") == s) for s in ("chain", *sides)]
+    whole = reduce(and_, [n == 1 for n in each])
+    per = rows.groupBy("cell", "place").agg(
+        of("chain", "chain_id").alias("chain_id"), of("truth", "text").alias("truth"), of("baseline", "text").alias("baseline_raw"), of("intervention", "text").alias("intervention_raw"),
+        whole.alias("_whole"), F.count_distinct(F.when(F.col("side") != "truth", F.col("chain_id"))).alias("_ids"),
+    )
+    told = lambda what: F.raise_error(F.concat(F.lit(f"{what} in cell "), F.coalesce("cell", F.lit("?")), F.lit(" at place "), F.col("place").cast("string"))).cast("boolean")
+    good = F.when(~F.col("_whole"), told("lists of different length")).when(F.col("_ids") > 1, told("answers of another chain")).otherwise(F.lit(True))
+    return per.where(good).drop("_whole", "_ids")
+
+
+def summary() -> Column:
+    """One line of a tested table (cell, n, b, c, statistic, p, p_corrected, significant, h, lo, hi)."""
+    sign = F.when(F.col("significant"), "SIGNIFICANT").otherwise("not significant")
+    numbers = [F.col(c).cast("double") for c in ("h", "lo", "hi")]
+    return F.format_string("[%s] McNemar n=%d b=%d c=%d χ²=%.4f p=%.4f p_corr=%.4f (%s) h=%.4f 95%%CI=[%.4f,%.4f]", "cell", "n", "b", "c", "statistic", "p", "p_corrected", sign, *numbers)
+
+
 def contingency(pairs: DataFrame, by: list[str]) -> DataFrame:
     """n, a, b, c, d from baseline_ok and intervention_ok; a pair with a null on either side is left out.
 

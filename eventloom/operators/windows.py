@@ -2,7 +2,8 @@
 
 Events have game_id, sequence_idx (dense from 0 in a game), event_type and actor. Windows are first described by narrow
 rows (game_id, start, size); `members` then joins events to them by (game_id, sequence_idx), which spreads a game of any
-length over all tasks. Nothing gathers a whole game in a row.
+length over all tasks. What needs a running order within a game (plays, sliding sums) is a window over that game's narrow
+rows, so one task sorts a game; sizes of games are counted and joined.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ def in_order() -> WindowSpec:
 def trigger_windows(events: DataFrame, triggers: tuple[str, ...], tag: str, before: int = 4, size: int = 8) -> DataFrame:
     """game_id, start, n, trigger_idx, chain_id: a window of `size` events around each trigger, moved inside the game;
     the first trigger per start counts; windows under 2 events are dropped."""
-    placed = events.withColumn("_n", F.count("*").over(game())).where(F.col("event_type").isin(*triggers))
+    placed = events.where(F.col("event_type").isin(*triggers)).join(events.groupBy("game_id").agg(F.count("*").alias("_n")), "game_id")
     start = F.greatest(F.lit(0), F.least(F.greatest(F.lit(0), F.col("sequence_idx") - before), F.col("_n") - size)).cast("long")
     found = placed.groupBy("game_id", start.alias("start")).agg(F.min("sequence_idx").alias("trigger_idx"), F.least(F.lit(size), F.first("_n")).cast("long").alias("n"))
     return found.where("n >= 2").withColumn("chain_id", chain_id(F.col("game_id"), F.concat(F.lit(f"{tag}_"), F.col("start").cast("string"))))
@@ -46,6 +47,24 @@ def tumbling(events: DataFrame, size: int, by: list[str] | None = None) -> DataF
     return numbered.withColumn("_n", F.count("*").over(Window.partitionBy(*keys))).where(full).drop("_row", "_n")
 
 
+def stream_chains(events: DataFrame, size: int, overlap: bool = False) -> DataFrame:
+    """Members of fixed-length chains straight from streams: adds chain_no, slot and chain_id, `game_chain_0007`.
+
+    Chains start every `size` events, or at every event with `overlap`; a tail and games shorter than `size` give none.
+    An event finds its chains by its own place, so only a count per game is joined.
+    """
+    if size < 1:
+        raise ValueError("chains have at least one event")
+    step = 1 if overlap else size
+    place = F.col("sequence_idx")
+    first = F.greatest(F.lit(0), F.ceil((place - size + 1) / step)).cast("long")
+    sized = events.join(events.groupBy("game_id").agg(F.count("*").alias("_n")), "game_id")
+    cut = sized.withColumn("chain_no", F.explode(F.sequence(first, F.floor(place / step).cast("long")))).where(F.col("chain_no") * step + size <= F.col("_n")).drop("_n")
+    number = F.col("chain_no").cast("string")
+    name = F.concat(F.col("game_id").cast("string"), F.lit("_chain_"), F.when(F.length(number) < 4, F.lpad(number, 4, "0")).otherwise(number))
+    return cut.withColumns({"slot": place - F.col("chain_no") * step, "chain_id": name})
+
+
 def rounds(events: DataFrame, number: Column, least: int = 2) -> DataFrame:
     """game_id, round, n: one chain per non-negative round number, of `least` events or more."""
     return events.withColumn("round", number).where("round >= 0").groupBy("game_id", "round").agg(F.count("*").alias("n"), F.min("sequence_idx").alias("first_idx")).where(F.col("n") >= least)

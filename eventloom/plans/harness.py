@@ -19,6 +19,7 @@ from eventloom.functions import vocabulary as V
 from eventloom.operators import chains as C
 from eventloom.operators import pairing as P
 from eventloom.operators import windows as W
+from eventloom.storage import stored
 
 #: Chains of a cell that a full run wants, and the share of one event type from which a pilot warns.
 WANTED, DOMINANT = 1_200, 0.8
@@ -74,6 +75,9 @@ def candidates(events: DataFrame, cells: tuple[str, ...] = V.CELLS, cuts: dict[s
     """The members of all candidates of the given cells: the events' columns, parent, slot. Events of other cells are
     left out; games of one cell only meet their own cell's cut."""
     made = None
+    if len(cells) > 1:
+        # Numbered once, not anew for every cell's cut.
+        events = stored(events.where(F.col("cell").isin(*cells)), "events")
     for cell in cells:
         one = {**CUTS, **(cuts or {})}[cell](events.where(F.col("cell") == cell))
         one = one.select(*events.columns, "parent", "slot")
@@ -105,14 +109,16 @@ def rendered(members: DataFrame) -> DataFrame:
     key = ["game_id", "chain_id"]
     first = members.groupBy(*key, "actor").agg(F.min("slot").alias("_first"))
     named = first.withColumn("player", F.concat(F.lit("Player_"), (F.row_number().over(Window.partitionBy(*key).orderBy("_first")) - 1).cast("string"))).drop("_first")
-    lines = R.with_fields(members.join(named, [*key, "actor"]))
-    names = Window.partitionBy(*key)
-    of = F.map_from_entries(F.array_distinct(F.collect_list(F.struct("actor", "player")).over(names)))
+    names = named.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("actor", "player"))).alias("_names"))
+    lines = stored(R.with_fields(members.join(named, [*key, "actor"]).join(names, key)), "event-lines")
     of_name = lambda k: F.coalesce(F.element_at("_names", R.field(k)), R.field(k))
-    told = F.lit(None).cast("string")
+    told = None
+    # One plan per cell: all cells' lines in one expression are too much code for a generated method.
     for cell in (*V.CELLS, "fortnite"):
-        told = F.when(F.col("cell") == cell, R.line(cell, of_name("eliminates_player"), of_name("already_eliminated_player"))).otherwise(told)
-    per = lines.withColumn("_names", of).withColumn("_line", told).groupBy("cell", *key).agg(F.array_sort(F.collect_list(F.struct("slot", "_line"))).alias("_lines"))
+        line = R.line(cell, of_name("eliminates_player"), of_name("already_eliminated_player"))
+        one = lines.where(F.col("cell") == cell).select("cell", *key, F.struct("slot", line.alias("_line")).alias("_at"))
+        told = one if told is None else told.unionByName(one)
+    per = told.groupBy("cell", *key).agg(F.array_sort(F.collect_list("_at")).alias("_lines"))
     return per.select("game_id", "cell", "chain_id", F.array_join(F.transform("_lines", lambda x: x["_line"]), "\n").alias("text"))
 
 
@@ -182,6 +188,30 @@ def ordered_bounds(tables: DataFrame, iterations: int = 5_000, seed: int = 20260
     return tables.mapInPandas(bounds, f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in tables.schema)}, delta double, lo double, hi double")
 
 
+def proportion_bounds(tables: DataFrame, iterations: int = 10_000, seed: int = 42, level: float = 0.95) -> DataFrame:
+    """Adds lo and hi, bootstrap bounds of the share k / n; 0 without rows. A resample of n yes-or-no values only
+    matters by how many are yes, so it is one binomial draw."""
+
+    def bounds(batches):  # noqa: ANN001, ANN202
+        for part in batches:
+            rows = []
+            for n, k in zip(part["n"], part["k"], strict=True):
+                drawn = np.random.default_rng(seed).binomial(n, k / n, size=iterations) / n if n else np.zeros(1)
+                rows.append(tuple(np.quantile(drawn, [(1 - level) / 2, (1 + level) / 2])))
+            yield part.assign(lo=[r[0] for r in rows], hi=[r[1] for r in rows])
+
+    return tables.mapInPandas(bounds, f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in tables.schema)}, lo double, hi double")
+
+
+def partial_rates(pairs: DataFrame, cells: tuple[str, ...]) -> DataFrame:
+    """cell, n, base_rate, int_rate, b, c of the given cells, those without answers too: what a run that isn't finished
+    can tell. `pairs`: cell, baseline_ok, intervention_ok; a pair with a null on either side is left out."""
+    made = P.contingency(pairs.where(F.col("cell").isin(*cells)), ["cell"])
+    wanted = pairs.sparkSession.createDataFrame([(c,) for c in cells], "cell string")
+    rate = lambda own: F.try_divide(F.col("a") + F.col(own), F.col("n"))
+    return wanted.join(made, "cell", "left").select("cell", F.coalesce("n", F.lit(0)).alias("n"), rate("b").alias("base_rate"), rate("c").alias("int_rate"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("b", "c")])
+
+
 def tested(pairs: DataFrame) -> DataFrame:
     """One row per cell: the table, chi square, p, corrected p, effect, bounds, power, least detectable effect, notes."""
     rows = P.contingency(pairs, ["cell"]).withColumns({"statistic": P.statistic(), "h": P.effect()})
@@ -193,9 +223,13 @@ def tested(pairs: DataFrame) -> DataFrame:
 def consistency_run(events: DataFrame, cells: tuple[str, ...] = V.CELLS, most: int = WANTED, answer: Callable[[DataFrame], DataFrame] = dry_answers) -> DataFrame:
     """Per cell: the tests over real chains (truth yes) and, with them, the effect over shuffled controls (truth no) and
     whether that hints at a leak."""
-    kept = capped(passing(fixed_chains(candidates(events, cells))), most)
-    primary = tested(evaluated(kept, "yes", answer))
-    control = P.contingency(evaluated(shuffled(kept), "no", answer), ["cell"]).where(F.col("n") >= V.MIN_DISCORDANT)
+    kept = stored(capped(passing(fixed_chains(candidates(events, cells))), most), "kept-chains")
+    # Real chains and controls are written and answered in one pass.
+    is_control = F.col("chain_id").endswith("_shuf00")
+    asked = answer(C.prompts(rendered(kept.unionByName(shuffled(kept)))))
+    pairs = stored(scored(asked, F.when(is_control, "no").otherwise("yes")).select("cell", is_control.alias("control"), "baseline_ok", "intervention_ok"), "answers")
+    primary = tested(pairs.where("not control"))
+    control = P.contingency(pairs.where("control"), ["cell"]).where(F.col("n") >= V.MIN_DISCORDANT)
     effects = primary.select("cell", F.col("h").alias("primary")).join(control.select("cell", P.effect().alias("control")), "cell", "left")
     return primary.join(P.leakage(effects), "cell", "left")
 

@@ -226,7 +226,7 @@ def actions_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH RECURSIVE {EVENTS_SQL}, x AS (SELECT game_id AS hand, sequence_idx AS step, CAST(k % 3 AS INTEGER) AS seat, k * 3 % 400 AS amount,
-      CASE event_type WHEN 'player_idle' THEN 'deal' WHEN 'zone_enter' THEN 'fold' WHEN 'resource_spend' THEN 'raise' ELSE 'call' END AS move FROM ev WHERE sequence_idx < 12),
+      CASE event_type WHEN 'player_idle' THEN 'deal' WHEN 'zone_enter' THEN 'fold' WHEN 'resource_spend' THEN 'raise' ELSE 'call' END AS move FROM ev),
     f AS (
       SELECT hand, CAST(-1 AS BIGINT) AS step, 0 AS seat, '' AS move, CAST(0 AS BIGINT) AS added, [1000::BIGINT, 1000, 1000] AS stacks, [0::BIGINT, 0, 0] AS put, 0::BIGINT AS pot, 0::BIGINT AS bet
       FROM (SELECT DISTINCT hand FROM x)
@@ -242,14 +242,14 @@ def actions_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT hand, step, seat, move, stacks[seat + 1] AS stack, pot, bet FROM f WHERE step >= 0"""
 )
 def stack_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first twelve actions of each hand, as the SQL has them; `stack_fold_whole` folds all."""
-    return S.folded_stacks(actions_of(spark, sf_dir).where("step < 12"), 1000, 3)
+    """Every action of every hand."""
+    return S.folded_stacks(actions_of(spark, sf_dir), 1000, 3)
 
 
-@query(ORACLE_SQL["stack_fold"].replace(" WHERE sequence_idx < 12", ""))
+@query(ORACLE_SQL["stack_fold"])
 def stack_fold_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every action of every hand."""
-    return S.folded_stacks(actions_of(spark, sf_dir), 1000, 3)
+    """`stack_fold` under its former name."""
+    return stack_fold(spark, sf_dir)
 
 
 # --- gate and pilot ---------------------------------------------------------------------------------------------------
@@ -354,11 +354,29 @@ def rendered_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.rendered(held)
 
 
-@query()
+def by_cell(values: dict[str, str]) -> str:
+    """A text per cell as SQL."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    return f"CASE cell {' '.join(f'WHEN {quoted(k)} THEN {quoted(v)}' for k, v in values.items())} END"
+
+
+def prompts_sql(question: str) -> str:
+    asked = by_cell({c: question % d for c, d in V.DOMAIN.items()})
+    between = "chr(10) || chr(10)"
+    return f"SELECT *, text || {between} || {asked} AS baseline, {by_cell(V.RULES)} || {between} || text || {between} || {asked} AS intervention FROM ({ORACLE_SQL['rendered_chains']})"
+
+
+@query(prompts_sql(V.QUESTION))
 def chain_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.prompts(rendered_chains(spark, sf_dir))
 
 
+@query(prompts_sql(V.IGNORE_TIMES + V.DIAGNOSTIC))
+def diagnostic_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether any event breaks a rule, times left aside."""
+    return C.prompts(rendered_chains(spark, sf_dir), "diagnostic", ignore_times=True)
+
+
 @query("SELECT conv_id, turn, CASE WHEN length(text) > 32 THEN substr(text, 1, 29) || '...' ELSE text END AS short FROM conversations")
 def short_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", X.short_value(F.col("text")).alias("short"))
@@ -429,40 +447,39 @@ def mock_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answers(spark, sf_dir).select("chain_id", "baseline", "intervention")
 
 
-RAW = "CASE doc_id % 7 WHEN 0 THEN '  yes  ' WHEN 1 THEN 'No.' WHEN 2 THEN 'I don''t know' WHEN 3 THEN '{\"answer\": \"Yes\"}' WHEN 4 THEN '' WHEN 5 THEN 'yes, since' || chr(10) || 'no' ELSE left(text, 20) END"
-
-
-def raw_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("doc_id") % 7
-    raw = F.when(k == 0, "  yes  ").when(k == 1, "No.").when(k == 2, "I don't know").when(k == 3, '{"answer": "Yes"}').when(k == 4, "").when(k == 5, "yes, since\nno").otherwise(F.substring("text", 1, 20))
-    return table(spark, sf_dir, "documents").select("doc_id", raw.alias("raw"))
+#: A document's text without the white space around it, and its first line.
+TRIMMED = "trim(text, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ')"
+FIRST = "lower(trim(regexp_split_to_array(s, '\\r\\n|\\n|\\r')[1], ' '))"
+STRICT = rf"""SELECT doc_id, CASE WHEN text IS NULL OR s = '' OR regexp_matches(s, '(?i)^\s*(i\s*don''?t\s*know|abstain|n/?a|unknown|cannot\s*determine|insufficient|no\s*answer|skip)\s*\.?\s*$') THEN ''
+      WHEN starts_with(s, '{{') AND ends_with(s, '}}') AND json_valid(s) AND coalesce(s ->> '$.answer', s ->> '$.prediction', s ->> '$.response', s ->> '$.value') IS NOT NULL
+        THEN lower(trim(coalesce(s ->> '$.answer', s ->> '$.prediction', s ->> '$.response', s ->> '$.value'), ' '))
+      WHEN regexp_replace({FIRST}, '[.!?,]+$', '') IN ('yes', 'no') THEN regexp_replace({FIRST}, '[.!?,]+$', '') ELSE '' END AS parsed
+    FROM (SELECT doc_id, text, {TRIMMED} AS s FROM documents)"""
+LENIENT = f"SELECT doc_id, CASE WHEN starts_with(f, 'yes') THEN 'yes' WHEN starts_with(f, 'no') THEN 'no' END AS parsed FROM (SELECT doc_id, lower(trim(split_part(s, chr(10), 1), ' ')) AS f FROM (SELECT doc_id, {TRIMMED} AS s FROM documents))"
 
 
-@query(
-    f"""SELECT doc_id, CASE WHEN trim(raw, chr(10) || ' ') = '' OR regexp_matches(trim(raw, chr(10) || ' '), '(?i)^\\s*(i\\s*don''?t\\s*know|abstain|n/?a|unknown|cannot\\s*determine|insufficient|no\\s*answer|skip)\\s*\\.?\\s*$') THEN ''
-      WHEN raw = '{{"answer": "Yes"}}' THEN 'yes'
-      WHEN lower(regexp_replace(trim(split_part(trim(raw, chr(10) || ' '), chr(10), 1)), '[.!?,]+$', '')) IN ('yes', 'no') THEN lower(regexp_replace(trim(split_part(trim(raw, chr(10) || ' '), chr(10), 1)), '[.!?,]+$', '')) ELSE '' END AS parsed
-    FROM (SELECT doc_id, {RAW} AS raw FROM documents)"""
-)
+@query(STRICT)
 def parse_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return raw_answers(spark, sf_dir).select("doc_id", X.parse_strict(F.col("raw"), ("yes", "no")).alias("parsed"))
+    """Every document's whole text as an answer."""
+    return table(spark, sf_dir, "documents").select("doc_id", X.parse_strict(F.col("text"), ("yes", "no")).alias("parsed"))
 
 
-@query(f"SELECT doc_id, CASE WHEN starts_with(lower(trim(raw)), 'yes') THEN 'yes' WHEN starts_with(lower(trim(raw)), 'no') THEN 'no' END AS parsed FROM (SELECT doc_id, {RAW} AS raw FROM documents)")
+@query(LENIENT)
 def parse_lenient(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return raw_answers(spark, sf_dir).select("doc_id", X.parse_lenient(F.col("raw")).alias("parsed"))
+    """Every document's whole text as an answer."""
+    return table(spark, sf_dir, "documents").select("doc_id", X.parse_lenient(F.col("text")).alias("parsed"))
 
 
-@query()
+@query(STRICT)
 def parse_strict_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's whole text as an answer; `parse_strict` has literals and prefixes, as its SQL."""
-    return table(spark, sf_dir, "documents").select("doc_id", X.parse_strict(F.col("text"), ("yes", "no")).alias("parsed"))
+    """`parse_strict` under its former name."""
+    return parse_strict(spark, sf_dir)
 
 
-@query()
+@query(LENIENT)
 def parse_lenient_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's whole text as an answer; `parse_lenient` has literals and prefixes, as its SQL."""
-    return table(spark, sf_dir, "documents").select("doc_id", X.parse_lenient(F.col("text")).alias("parsed"))
+    """`parse_lenient` under its former name."""
+    return parse_lenient(spark, sf_dir)
 
 
 @query(on_chains("""SELECT CAST(chain_no AS BIGINT) AS "index", chain_id AS chain, baseline, intervention FROM ans""", LABELS))
@@ -585,18 +602,24 @@ def labelled_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     m AS (SELECT cell, it, avg(CAST(p.v AS DOUBLE)) AS delta FROM d JOIN p USING (cell, pos) GROUP BY ALL)
     SELECT cell, round(quantile_cont(delta, 0.025), 9) AS lo, round(quantile_cont(delta, 0.975), 9) AS hi FROM m GROUP BY cell"""
 )
-def bootstrap_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """50 resamples, as the SQL has them; `bootstrap_interval_whole` draws 10,000."""
+def keyed_resamples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The interval of 50 resamples drawn by keyed hashes, which SQL can draw too; `bootstrap_interval` draws 10,000."""
     found = P.bootstrap(labelled_pairs(spark, sf_dir), "cell", "doc_id", iterations=50)
     return found.select("cell", F.round("lo", 9).alias("lo"), F.round("hi", 9).alias("hi"))
 
 
 @query()
-def bootstrap_interval_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same interval from 10,000 resamples, drawn by counts."""
+def bootstrap_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The interval of 10,000 resamples, drawn by counts; tested against resamples one by one."""
     return H.resampled(P.contingency(labelled_pairs(spark, sf_dir), ["cell"])).select("cell", "lo", "hi")
 
 
+@query()
+def bootstrap_interval_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`bootstrap_interval` under its former name."""
+    return bootstrap_interval(spark, sf_dir)
+
+
 @query()
 def second_design(spark: SparkSession, sf_dir: str) -> DataFrame:
     """p by the exact test or chi square, as pairs are few or many, and the interval of 5,000 resamples' order statistics."""
@@ -732,10 +755,7 @@ PILOT_GAMES = {"fortnite": 200, "nba": 300, "csgo": 150, "rocket_league": 250}
 @query()
 def synthetic_pilot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Synthetic streams of four cells cut by sliding windows of 5 every 3 events; tests know the counts."""
-    made = None
-    for cell, games in PILOT_GAMES.items():
-        one = synthetic.streams(spark, cell, games)
-        made = one if made is None else made.unionByName(one)
+    made = synthetic.streams_of(spark, PILOT_GAMES)
     cut = W.sliding(made, X.is_actionable(F.col("event_type"), F.col("cell")))
     cell = F.regexp_extract("game_id", "^(.*)_mock_", 1).alias("cell")
     chains = cut.groupBy(cell).agg(F.count("*").alias("n_chains"), F.sum("n_actionable").alias("n_actionable"))
@@ -769,16 +789,19 @@ def noisy_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sliding_windows(spark, sf_dir).groupBy((F.col("chain_no") % 10 < 3).alias("degraded")).agg(F.count("*").alias("n_chains"), F.sum("n_actionable").alias("n_actionable"))
 
 
-@query(r"SELECT conv_id, turn, regexp_extract('so' || chr(10) || ' rule: ' || substr(text, 1, 20), '(?im)^\s*RULE:\s*(.+)$', 1) AS rule FROM conversations")
+CITED = r"SELECT conv_id, turn, regexp_extract(text, '(?im)^\s*RULE:\s*(.+)$', 1) AS rule FROM conversations"
+
+
+@query(CITED)
 def cited_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = F.concat(F.lit("so\n rule: "), F.substring("text", 1, 20))
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", X.cited(raw, "RULE").alias("rule"))
+    """The rule cited in every message's whole text."""
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", X.cited(F.col("text"), "RULE").alias("rule"))
 
 
-@query()
+@query(CITED)
 def cited_rules_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rule cited in every message's whole text; `cited_rules` has prefixes, as its SQL."""
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", X.cited(F.col("text"), "RULE").alias("rule"))
+    """`cited_rules` under its former name."""
+    return cited_rules(spark, sf_dir)
 
 
 @query("SELECT cell, batch, count(*) AS n FROM (SELECT o_orderpriority AS cell, (row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) - 1) // 1000 AS batch FROM orders) GROUP BY ALL")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from comparing import SF_DIR, duck_lines, spark_lines
 
-from eventloom.plans.queries import ORACLE_SQL, QUERIES
+from eventloom.plans.record_queries import ORACLE_SQL, QUERIES
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
