@@ -327,7 +327,8 @@ def candidate_buckets(docs: DataFrame, similarity: int, words: int) -> DataFrame
 def star_pairs(rows: DataFrame, similarity: int) -> DataFrame:
     """Distinct pairs (a, b) of each bucket's pivot, its own-band member of highest score, with its other members.
     `rows` should be stored: it is read twice."""
-    best = rows.where("own").groupBy("sig").agg(F.max(F.struct("score", (-F.col("doc")).alias("minus"), "n")).alias("pivot"))
+    # Written before the join, so that a large bucket is a skewed side that can be split.
+    best = stored(rows.where("own").groupBy("sig").agg(F.max(F.struct("score", (-F.col("doc")).alias("minus"), "n")).alias("pivot")), "jaccard-pivots")
     met = rows.join(best, "sig").where(F.col("doc") != -F.col("pivot.minus")).where(similar_size("n", "pivot.n", similarity))
     a, b = -F.col("pivot.minus"), F.col("doc")
     return met.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
@@ -336,7 +337,8 @@ def star_pairs(rows: DataFrame, similarity: int) -> DataFrame:
 def open_rows(buckets: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of buckets that hold several components so far, with each row's root."""
     several = buckets.where("cnt > 2").join(labels, buckets["doc"] == labels["node"], "left").withColumn("root", F.coalesce("root", "doc")).drop("node")
-    apart = several.groupBy("sig").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).where("_lo < _hi").select("sig")
+    several = stored(several, "jaccard-several")
+    apart = stored(several.groupBy("sig").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).where("_lo < _hi").select("sig"), "jaccard-apart")
     return several.join(apart, "sig", "left_semi")
 
 
