@@ -25,7 +25,7 @@ def records(schema: str) -> Callable[[SparkSession, str], DataFrame]:
 
 SOURCES = {
     "nba": Source(records(nba.RECORD), nba.events), "pubg": Source(records(pubg.RECORD), pubg.events), "csgo": Source(records(shooter.RECORD), shooter.events),
-    "rocket_league": Source(records(carsoccer.RECORD), carsoccer.events), "fortnite": Source(records(builder.RECORD), builder.events), "poker": Source(poker.read_hands, poker.events),
+    "rocket_league": Source(records(carsoccer.RECORD), carsoccer.events), "fortnite": Source(records(builder.RECORD), builder.events), "poker": Source(lambda spark, path: poker.hands(poker.read_files(spark, path)), poker.events),
 }
 
 
