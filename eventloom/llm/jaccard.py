@@ -45,23 +45,12 @@ BLOCK = 512
 SKETCH = 16
 #: Rows of one Arrow batch that a task sends.
 BATCH_ROWS = 50_000
-#: Words whose hashes a worker remembers: hashing one anew is cheap, so this bounds memory first.
-REMEMBERED = 100_000
+#: Bytes of a text whose words are hashed at once, and the longest word that is hashed so.
+PIECE, LONG_WORD = 1 << 16, 128
 U64 = np.uint64
 
 
 # --- shingles --------------------------------------------------------------------------------------------------
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        found = self[word] = xxhash.xxh64_intdigest(word)
-        return found
-
-
-_WORDS = WordHashes()
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit values."""
     x = (x ^ (x >> U64(32))) * U64(0xD6E8FEB86659FD93)
@@ -69,17 +58,57 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(32))
 
 
+def byte_values() -> np.ndarray:
+    """A 64-bit value for each byte; A-Z have those of their small letters."""
+    lowered = np.frombuffer(bytes(range(256)).lower(), np.uint8)
+    return mixed(lowered.astype(U64) + U64(0xD1B54A32D192ED03))
+
+
+VALUES = byte_values()
+#: White space as bytes.split() knows it.
+GAPS = np.isin(np.arange(256), np.frombuffer(b" \t\n\r\x0b\x0c", np.uint8))
+BASE = 0x9E3779B97F4A7C15
+POWERS = np.cumprod(np.r_[U64(1), np.full(PIECE + LONG_WORD, BASE, U64)])
+INVERSES = np.cumprod(np.r_[U64(1), np.full(PIECE + LONG_WORD, pow(BASE, -1, 1 << 64), U64)])
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    """64-bit hashes of a text's words, those of A-Z lower-cased words.
+
+    A word's hash is a polynomial over its bytes' values, a difference of running sums that is shifted back to the
+    word's start, so all words of a piece are hashed at once. Longer words than LONG_WORD, for which equal polynomials
+    could be made up, are hashed by themselves.
+    """
+    data = np.frombuffer(b" " + text + b" ", np.uint8)
+    gap = GAPS[data]
+    edges = np.flatnonzero(gap[1:] != gap[:-1]) + 1
+    starts, ends = edges[::2], edges[1::2]
+    out = np.empty(len(starts), U64)
+    at = 0
+    while at < len(starts):
+        base = starts[at] - 1
+        upto = int(np.searchsorted(starts, base + PIECE))
+        first, last = starts[at:upto] - base, np.minimum(ends[at:upto] - base, PIECE + LONG_WORD)
+        values = VALUES[data[base : base + int(last[-1])]]
+        sums = np.cumsum(values * POWERS[: len(values)])
+        out[at:upto] = mixed((sums[last - 1] - sums[first - 1]) * INVERSES[first])
+        at = upto
+    for k in np.flatnonzero(ends - starts > LONG_WORD):
+        out[k] = xxhash.xxh64_intdigest(data[starts[k] : ends[k]].tobytes().lower())
+    return out
+
+
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     """The sorted distinct 64-bit hashes of a text's word shingles; those of A-Z lower-cased words."""
-    found = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not found:
-        return np.empty(0, U64)
-    w = np.fromiter(map(_WORDS.__getitem__, found), U64, len(found))
+    w = word_hashes((text or "").encode("utf-8", "surrogatepass"))
+    if not len(w):
+        return w
     k = min(words, len(w))
     h = np.full(len(w) - k + 1, k, U64)
     for i in range(k):
-        h = h * U64(0x9E3779B97F4A7C15) + w[i : len(w) - k + 1 + i]
-    return np.unique(mixed(h))
+        h = h * U64(BASE) + w[i : len(w) - k + 1 + i]
+    h = np.sort(mixed(h))
+    return h[np.r_[True, h[1:] != h[:-1]]]
 
 
 # --- schemes ---------------------------------------------------------------------------------------------------
@@ -218,7 +247,7 @@ def digests(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """doc_id, n, two sums over the set's hashes that tell equal sets, and the set's parities."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        remembering("jaccard", _WORDS)
+        remembering("jaccard")
         for part in batches:
             texts = part.column("text").to_pylist()
             rows, bits = np.zeros((3, len(texts)), np.int64), np.zeros((len(texts), SKETCH), np.int64)
@@ -241,7 +270,7 @@ def signature_rows(docs: DataFrame, similarity: int, words: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["sig", "doc", "tag"])
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        remembering("jaccard", _WORDS)
+        remembering("jaccard")
         for part in batches:
             sigs, ids, tags, held = [], [], [], 0
             for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
@@ -264,7 +293,7 @@ def signature_rows(docs: DataFrame, similarity: int, words: int) -> DataFrame:
 
 def sets_of(docs: DataFrame, words: int) -> DataFrame:
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        remembering("jaccard", _WORDS)
+        remembering("jaccard")
         for part in batches:
             sets = [shingles(t, words).tobytes() for t in part.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets, pa.binary())], ["doc", "hashes"])

@@ -106,3 +106,18 @@ def test_components_of_chains(spark):
     for k in range(3):
         part = order[100 * k : 100 * k + 100]
         assert {found[x] for x in part} == {min(part)}
+
+
+def test_word_hashes():
+    """Equal words of A-Z lower-cased texts have equal hashes wherever they stand, other words other ones."""
+    draw = random.Random(7)
+    texts = ["", " ", "\n\t ", "a", " A ", "a\x1cb c", "x" * 128, "X" * 129 + " " + "x" * 129, "y" * 200_000 + " b C", ("w" * 70 + " ") * 3000, "\x00 \x00\x00", "É é"]
+    texts += ["".join(draw.choice("aBc \n\x0b\x0cé漢") for _ in range(draw.randrange(150_000))) for _ in range(3)]
+    seen: dict[bytes, int] = {}
+    for text in texts:
+        found = text.encode().lower().split()
+        hashes = jaccard.word_hashes(text.encode()).tolist()
+        assert len(hashes) == len(found)
+        for word, value in zip(found, hashes, strict=True):
+            assert seen.setdefault(word, value) == value
+    assert len(set(seen.values())) == len(seen)
