@@ -6,6 +6,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows up to which a side of narrow rows is broadcast; larger ones take the shuffle join.
+BROADCAST_ROWS = 100_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,6 +44,11 @@ def stored(df: DataFrame, name: str, compression: str | None = None) -> DataFram
     return spark.read.schema(df.schema).parquet(path)
 
 
+def checked_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Hint a broadcast only after counting: `df` must be cheap to count (stored or aggregated)."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def released(spark: SparkSession) -> None:
     """Lets the driver notice that finished shuffles aren't needed, so that executors drop their files now and not at
     some later collection of its garbage."""
