@@ -12,14 +12,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from eventloom.storage import released, shared_dir, stored
+from eventloom.storage import BROADCAST_ROWS, checked_broadcast, released, shared_dir, stored
 
-__all__ = ["released", "shared_dir", "stored"]
+__all__ = ["BROADCAST_ROWS", "checked_broadcast", "released", "shared_dir", "stored"]
 
 #: Bytes of rows that a Python worker gets, and works on, at a time; and rows of one slice of them.
 BATCH_BYTES, SLICE_ROWS = 4 << 20, 1_000
-#: Rows up to which a key-aggregated side is broadcast; larger ones take the shuffle join.
-BROADCAST_ROWS = 100_000
 
 #: White space and words as the contracts define them.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -78,11 +76,6 @@ def mapped(df: DataFrame, made: Callable[[Iterator[pa.RecordBatch]], Iterator[pa
     return df.mapInArrow(work, schema)
 
 
-def checked_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only after counting: `df` must be cheap to count (stored or aggregated)."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def unit_interval(hexed: Column) -> Column:
     """The first 13 hex digits of a digest as a double in [0, 1), monotone in the digest."""
     return F.conv(F.substring(hexed, 1, 13), 16, 10).cast("double") / F.lit(float(16**13))

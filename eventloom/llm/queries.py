@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from eventloom.llm import ann, chat, jaccard, media, mixing, packing, quality, secrets, tokenfile, wrappers
+from eventloom.llm import ann, chat, jaccard, media, merkle, mixing, packing, quality, secrets, tokenfile, wrappers
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,10 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicate_components(table(spark, sf_dir, "documents"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.document_proofs(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -71,6 +75,7 @@ QUERIES = {
         op8_media_columns,
         op9_secret_scan,
         op10_tool_links,
+        op13_merkle_manifest,
     )
 }
-ORACLE_SQL = {"op3_mix_sources": mixing.SQL, "op10_tool_links": chat.SQL}
+ORACLE_SQL = {"op3_mix_sources": mixing.SQL, "op10_tool_links": chat.SQL, "op13_merkle_manifest": merkle.SQL}
