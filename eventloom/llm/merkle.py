@@ -171,16 +171,16 @@ FIELDS = lambda text: " || ".join(f"coalesce(strlen({v}) || ':' || {v}, '-')" fo
 SQL = f"""WITH RECURSIVE
 lf AS (SELECT doc_id, source, sha256({FIELDS('text')}) AS leaf,
          coalesce(CASE WHEN xor({CRC}, 4294967295) % 2 = 0 THEN sha256({FIELDS("replace(text, chr(10), '')")}) END, sha256({FIELDS('text')})) AS told FROM documents),
-at AS (SELECT *, coalesce('=' || source, '') AS own, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place FROM lf),
+placed AS (SELECT *, coalesce('=' || source, '') AS own, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place FROM lf),
 tree AS (
-  SELECT own, 0 AS level, list(leaf ORDER BY place) AS nodes FROM at GROUP BY own
+  SELECT own, 0 AS level, list(leaf ORDER BY place) AS nodes FROM placed GROUP BY own
   UNION ALL SELECT own, level + 1, list_transform(range(0, len(nodes), 3), lambda i: sha256(array_to_string(nodes[i + 1 : i + 3], ''))) FROM tree WHERE len(nodes) > 1),
 sub AS (SELECT own, nodes[1] AS subroot, row_number() OVER (ORDER BY own) - 1 AS place FROM tree WHERE len(nodes) = 1),
 top AS (
   SELECT 0 AS level, list(subroot ORDER BY place) AS nodes FROM sub
   UNION ALL SELECT level + 1, list_transform(range(0, len(nodes), 3), lambda i: sha256(array_to_string(nodes[i + 1 : i + 3], ''))) FROM top WHERE len(nodes) > 1),
 way AS (
-  SELECT row_number() OVER () AS row, doc_id, own, leaf, told AS digest, '' AS proof, place, 0 AS level FROM at
+  SELECT row_number() OVER () AS row, doc_id, own, leaf, told AS digest, '' AS proof, place, 0 AS level FROM placed
   UNION ALL SELECT row, doc_id, own, leaf, sha256(array_to_string(nodes[place // 3 * 3 + 1 : place], '') || digest || array_to_string(nodes[place + 2 : place // 3 * 3 + 3], '')),
     proof || array_to_string(nodes[place // 3 * 3 + 1 : place], '') || array_to_string(nodes[place + 2 : place // 3 * 3 + 3], ''), place // 3, level + 1
   FROM way JOIN tree USING (own, level) WHERE len(nodes) > 1),

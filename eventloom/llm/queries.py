@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from eventloom.llm import ann, chat, jaccard, media, merkle, mixing, packing, quality, secrets, tokenfile, wrappers
+from eventloom.llm import ann, chat, fim, jaccard, media, merkle, mixing, packing, quality, secrets, tokenfile, vafile, wrappers
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,14 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicate_components(table(spark, sf_dir, "documents"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(table(spark, sf_dir, "documents"))
+
+
+def op12_vector_approximation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vafile.top_k(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 50 == 0)
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.document_proofs(table(spark, sf_dir, "documents"))
 
@@ -75,7 +83,9 @@ QUERIES = {
         op8_media_columns,
         op9_secret_scan,
         op10_tool_links,
+        op11_fill_in_middle,
+        op12_vector_approximation,
         op13_merkle_manifest,
     )
 }
-ORACLE_SQL = {"op3_mix_sources": mixing.SQL, "op10_tool_links": chat.SQL, "op13_merkle_manifest": merkle.SQL}
+ORACLE_SQL = {"op3_mix_sources": mixing.SQL, "op10_tool_links": chat.SQL, "op11_fill_in_middle": fim.SQL, "op12_vector_approximation": vafile.SQL, "op13_merkle_manifest": merkle.SQL}
