@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from eventloom.functions.decimals import fixed
 from eventloom.functions.expressions import short_value, team_slot
 
 #: Fields of a context that a summary shows, and its length.
@@ -47,7 +48,7 @@ def summary(context: str = "context", hidden: tuple[str, ...] = ()) -> Column:
     keys = F.filter(F.coalesce(F.json_object_keys(context), F.array().cast("array<string>")), lambda k: ~k.isin(*hidden) if hidden else F.lit(True))
     values = F.col("fields")
     real = lambda v: v.rlike(r"^-?\d+\.\d+([eE][-+]?\d+)?$")
-    told = lambda v: F.when(real(v), F.format_string("%.2f", v.try_cast("double"))).otherwise(short_value(v))
+    told = lambda v: F.when(real(v), fixed(v.try_cast("double"), 2)).otherwise(short_value(v))
     return F.coalesce(F.substring(F.array_join(F.transform(F.slice(keys, 1, FIELDS), lambda k: F.concat(k, F.lit("="), told(F.coalesce(values[k], F.lit("None"))))), ", "), 1, SUMMARY), F.lit(""))
 
 
@@ -84,7 +85,7 @@ def details(cell: str, player: Column, target: Column, out: Column) -> Column:
     if cell == "rocket_league":
         team = F.coalesce(F.when(field("team_color") != "", field("team_color")), F.when(F.col("actor_team") != "", F.col("actor_team")), F.lit("?"))
         score = F.concat(F.lit("blue:"), F.coalesce(field("score_blue"), F.lit("?")), F.lit("–orange:"), F.coalesce(field("score_orange"), F.lit("?")))
-        lasts = part("match_duration_s=%.0f", field("duration_s").try_cast("double"))
+        lasts = part("match_duration_s=%s", fixed(field("duration_s").try_cast("double")))
         return joined(", ", markers(player, target), part("action=%s", shown("action_label")), part("team=%s", team), part("final_score=%s", score), lasts)
     if cell == "poker":
         names = ("street", "position", "action", "bet_size_bb", "pot_size_bb", "stack_bb")
@@ -96,4 +97,4 @@ def line(cell: str, target: Column | None = None, out: Column | None = None) ->
     """`  3. t=   12.5s | type                   | actor=Player_0     | details`, fields padded but never cut."""
     none = F.lit("?")
     told = details(cell, F.col("player"), none if target is None else target, none if out is None else out)
-    return F.format_string("%3d. t=%7.1fs | %-22s | actor=%-12s | %s", F.col("slot").cast("int"), F.col("timestamp"), F.col("event_type"), F.col("player"), told)
+    return F.format_string("%3d. t=%ss | %-22s | actor=%-12s | %s", F.col("slot").cast("int"), F.coalesce(fixed(F.col("timestamp"), 1, 7), F.lit("   null")), F.col("event_type"), F.col("player"), told)

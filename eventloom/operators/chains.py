@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from eventloom.functions import vocabulary as V
+from eventloom.functions.decimals import fixed
 from eventloom.functions.expressions import hash_number, is_actionable
+from eventloom.operators.ordinals import with_ordinals
 
 
 def gated(members: DataFrame, keys: list[str], floor: float = V.GATE_FLOOR) -> DataFrame:
@@ -31,9 +33,9 @@ def capped(chains: DataFrame, by: str, order: list[str], most: int) -> DataFrame
 
 def evenly(chains: DataFrame, by: str, order: list[str], most: int) -> DataFrame:
     """`most` chains per cell at even distances: places int(i * n / most); all, if there are no more or most <= 0."""
-    placed = chains.withColumns({"_at": F.row_number().over(Window.partitionBy(by).orderBy(*order)) - 1, "_n": F.count("*").over(Window.partitionBy(by))})
     if most <= 0:
-        return placed.drop("_at", "_n")
+        return chains
+    placed = with_ordinals(chains, [by], order, "_at", "_n")
     # A place is taken if the first i with int(i * n / most) >= place hits it.
     i = F.ceil(F.col("_at") * most / F.col("_n"))
     taken = (F.col("_n") <= most) | (F.floor(i * F.col("_n") / most) == F.col("_at")) & (i < most)
@@ -42,10 +44,16 @@ def evenly(chains: DataFrame, by: str, order: list[str], most: int) -> DataFrame
 
 def stratified(rows: DataFrame, stratum: str, order: list[str], each: int, most: int) -> DataFrame:
     """The first `each` of every stratum, and of these the first `most` in order."""
-    some = capped(rows, stratum, order, each)
+    some = with_ordinals(rows, [stratum], order, "_at").where(F.col("_at") < each).drop("_at")
     return some.orderBy(*order).limit(most)
 
 
+def first_share(rows: DataFrame, by: str, order: list[str], share: float) -> DataFrame:
+    """The first int(n * share) rows of each cell, but at least one."""
+    placed = with_ordinals(rows, [by], order, "_at", "_n")
+    return placed.where(F.col("_at") < F.greatest(F.lit(1), F.floor(F.col("_n") * share))).drop("_at", "_n")
+
+
 def shuffled(members: DataFrame, chain: str = "chain_id", seed: int = 42, copies: int = 1) -> DataFrame:
     """Control chains: each chain's events in a keyed pseudo-random order, while every slot keeps its timestamp.
 
@@ -73,7 +81,7 @@ def repeating_actor(members: DataFrame, chain: str = "chain_id") -> DataFrame:
 
 def event_line(player: Column) -> Column:
     """`  3. t= 12.5s | type                   | actor=Player_0     | context`, fields padded but never cut."""
-    return F.format_string("%3d. t=%7.1fs | %-22s | actor=%-12s | %s", F.col("slot").cast("int"), F.col("timestamp"), F.col("event_type"), player, F.coalesce("context", F.lit("")))
+    return F.format_string("%3d. t=%ss | %-22s | actor=%-12s | %s", F.col("slot").cast("int"), F.coalesce(fixed(F.col("timestamp"), 1, 7), F.lit("   null")), F.col("event_type"), player, F.coalesce("context", F.lit("")))
 
 
 def rendered(members: DataFrame, chain: str = "chain_id") -> DataFrame:

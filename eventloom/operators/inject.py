@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
 from eventloom.functions import vocabulary as V
+from eventloom.functions.decimals import rounded
 from eventloom.operators.chains import repeating_actor
 
 
@@ -95,7 +96,7 @@ def overbet(members: DataFrame, stack: str = "stack", bet: str = "bet") -> DataF
     placed = members.withColumns({"_n": F.count("*").over(chain()), "_first": F.min("slot").over(chain())}).where("_n >= 2")
     rich = F.min(F.when(F.col(stack) > 5, F.col("slot"))).over(chain())
     hit = placed.withColumn("_at", F.coalesce(rich, F.col("_first") + F.floor(F.col("_n") / 2)))
-    return _named(hit.withColumn(bet, F.when(F.col("slot") == F.col("_at"), F.round(2 * F.col(stack) + 10, 1)).otherwise(F.col(bet))).drop("_n", "_first", "_at"))
+    return _named(hit.withColumn(bet, F.when(F.col("slot") == F.col("_at"), rounded(2 * F.col(stack) + 10, 1)).otherwise(F.col(bet))).drop("_n", "_first", "_at"))
 
 
 def stack_grows(members: DataFrame, stack: str = "stack") -> DataFrame:

@@ -12,10 +12,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from eventloom.functions import vocabulary as V
 from eventloom.functions.expressions import custom_id_parts
+from eventloom.operators.ordinals import with_ordinals
 
 
 def paired(responses: DataFrame) -> DataFrame:
@@ -168,11 +168,10 @@ def bootstrap(pairs: DataFrame, by: str, index: str, iterations: int = 200, seed
     A resample of n draws with replacement only depends on how often each of the n places is drawn; draws are keyed
     hashes, so all resamples are one distributed aggregation over iterations x pairs with no random state.
     """
-    n = pairs.groupBy(by).agg(F.count("*").alias("n"))
     value = F.col("intervention_ok").cast("int") - F.col("baseline_ok").cast("int")
-    ranked = pairs.select(by, (F.row_number().over(Window.partitionBy(by).orderBy(index)) - 1).cast("long").alias("at"), value.alias("v"))
-    draws = ranked.select(by, "at").join(n, by).select(by, F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("iteration"), "at", "n")
+    ranked = with_ordinals(pairs.select(by, index, value.alias("v")), [by], [index], "at", "n")
+    draws = ranked.select(by, F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("iteration"), "at", "n")
     key = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col("iteration"), F.col(by), F.col("at")).cast("binary")), 1, 12), 16, 10).cast("long")
     taken = draws.select(by, "iteration", (key % F.col("n")).alias("at"), "n").groupBy(by, "iteration", "at").agg(F.count("*").alias("k"), F.first("n").alias("n"))
-    means = taken.join(ranked, [by, "at"]).groupBy(by, "iteration").agg((F.sum(F.col("k") * F.col("v")).cast("double") / F.first("n")).alias("delta"))
+    means = taken.join(ranked.select(by, "at", "v"), [by, "at"]).groupBy(by, "iteration").agg((F.sum(F.col("k") * F.col("v")).cast("double") / F.first("n")).alias("delta"))
     return means.groupBy(by).agg(F.percentile("delta", 0.025).alias("lo"), F.percentile("delta", 0.975).alias("hi"))

@@ -8,37 +8,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window, WindowSpec
 
-
-def game() -> WindowSpec:
-    return Window.partitionBy("game_id")
-
-
-def in_order() -> WindowSpec:
-    return game().orderBy("sequence_idx")
-
-
-def before() -> WindowSpec:
-    return in_order().rowsBetween(Window.unboundedPreceding, -1)
+from eventloom.operators.scans import alternating, previous, running_sum
 
 
 def with_possessions(plays: DataFrame, hard_end: Column, rebound: Column, team: Column) -> DataFrame:
     """Adds ends (the row ends its possession) and possession (from 0).
 
-    A rebound ends one if the row before it in the same possession has another, non-empty team. In a run of rebounds
-    that each change team, ends alternate: the p-th (from 1) ends if p is odd, unless the run follows a hard end, then
-    if p is even. So islands and parity replace the recursion.
+    A rebound ends one if the row before it in the same possession has another, non-empty team: a row whose predecessor
+    ended its possession doesn't end another, so runs of rebounds that each change team alternate.
     """
-    known = (F.coalesce(team, F.lit("")) != "") & (F.coalesce(F.lag(team).over(in_order()), F.lit("")) != "")
-    marked = plays.withColumns({"_hard": F.coalesce(hard_end, F.lit(False)), "_turn": F.coalesce(rebound & known & (team != F.lag(team).over(in_order())), F.lit(False))})
-    runs = marked.withColumn("_run", F.sum(F.when(~F.col("_turn"), 1).otherwise(0)).over(in_order()))
-    in_run = Window.partitionBy("game_id", "_run").orderBy("sequence_idx")
-    # The row before a run is the run number's first row, if that isn't a turn itself.
-    counted = runs.withColumns({"_place": F.sum(F.when(F.col("_turn"), 1).otherwise(0)).over(in_run), "_after_hard": F.first("_hard").over(in_run) & ~F.first("_turn").over(in_run)})
-    ends = F.col("_hard") | (F.col("_turn") & ((F.col("_place") % 2 == 1) != F.col("_after_hard")))
-    ended = counted.withColumn("ends", ends)
-    return ended.withColumn("possession", F.coalesce(F.sum(F.when(F.col("ends"), 1).otherwise(0)).over(before()), F.lit(0)).cast("long")).drop("_hard", "_turn", "_run", "_place", "_after_hard")
+    told = previous(plays.withColumn("_team", team), F.col("_team"), "_before")
+    known = (F.coalesce("_team", F.lit("")) != "") & (F.coalesce("_before", F.lit("")) != "")
+    return alternating(told, hard_end, rebound & known & (F.col("_team") != F.col("_before")), "ends", "possession").drop("_team", "_before")
 
 
 def possession_rows(split: DataFrame) -> DataFrame:
@@ -52,21 +34,19 @@ def possession_rows(split: DataFrame) -> DataFrame:
 
 def running_count(events: DataFrame, what: Column, name: str) -> DataFrame:
     """How many such events the row's actor has had, this one included."""
-    order = Window.partitionBy("game_id", "actor").orderBy("sequence_idx").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return events.withColumn(name, F.sum(F.when(what, 1).otherwise(0)).over(order).cast("long"))
+    return running_sum(events, what.cast("int"), name, ("game_id", "actor"))
 
 
 def shrinks(observed: DataFrame, value: str, least: float = 1.0) -> DataFrame:
     """First observations, and those that are more than `least` below the one before; the one before is any observed
     row, emitted or not. Rows without the value don't count."""
-    last = F.lag(value).over(in_order())
-    return observed.where(F.col(value).isNotNull()).withColumn("before", last).where(F.col("before").isNull() | (F.col(value) < F.col("before") - least))
+    told = previous(observed.where(F.col(value).isNotNull()), F.col(value), "before")
+    return told.where(F.col("before").isNull() | (F.col(value) < F.col("before") - least))
 
 
 def drops_below(observed: DataFrame, value: str, level: float, by: list[str]) -> DataFrame:
     """Rows under the level whose predecessor wasn't."""
-    last = F.lag(value).over(Window.partitionBy(*by).orderBy("sequence_idx"))
-    return observed.withColumn("before", last).where((F.col("before") >= level) & (F.col(value) < level))
+    return previous(observed, F.col(value), "before", tuple(by)).where((F.col("before") >= level) & (F.col(value) < level))
 
 
 def folded_stacks(actions: DataFrame, starting: int, seats: int) -> DataFrame:

@@ -2,25 +2,25 @@
 
 Events have game_id, sequence_idx (dense from 0 in a game), event_type and actor. Windows are first described by narrow
 rows (game_id, start, size); `members` then joins events to them by (game_id, sequence_idx), which spreads a game of any
-length over all tasks. What needs a running order within a game (plays, sliding sums) is a window over that game's narrow
-rows, so one task sorts a game; sizes of games are counted and joined.
+length over all tasks. What needs a running order within a game (plays, places in a period) is a scan over its chunks
+(`scans`); sizes of games are counted and joined.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window, WindowSpec
+from pyspark.sql.window import Window
 
 from eventloom.functions.expressions import chain_id
+from eventloom.operators.scans import running_sum
 
 
-def game() -> WindowSpec:
-    return Window.partitionBy("game_id")
-
-
-def in_order() -> WindowSpec:
-    return game().orderBy("sequence_idx")
+def placed(events: DataFrame, by: list[str]) -> DataFrame:
+    """Adds _row, an event's place from 0 among those of its game and `by`, and _n, their number."""
+    keys = ["game_id", *by]
+    counts = events.groupBy(*keys).agg(F.count("*").alias("_n")).select(F.struct(*keys).alias("_group"), "_n")
+    return running_sum(events, F.lit(1), "_row", tuple(keys), inclusive=False).withColumn("_group", F.struct(*keys)).join(counts, "_group").drop("_group")
 
 
 def trigger_windows(events: DataFrame, triggers: tuple[str, ...], tag: str, before: int = 4, size: int = 8) -> DataFrame:
@@ -41,10 +41,8 @@ def members(events: DataFrame, windows: DataFrame) -> DataFrame:
 def tumbling(events: DataFrame, size: int, by: list[str] | None = None) -> DataFrame:
     """Adds chain_no and slot: consecutive chains of `size` events per game and `by`; the incomplete tail is dropped."""
     keys = ["game_id", *(by or [])]
-    row = F.row_number().over(Window.partitionBy(*keys).orderBy("sequence_idx")) - 1
-    numbered = events.withColumn("_row", row).withColumn("chain_no", F.floor(F.col("_row") / size).cast("long")).withColumn("slot", (F.col("_row") % size).cast("long"))
-    full = F.col("_n") >= (F.col("chain_no") + 1) * size
-    return numbered.withColumn("_n", F.count("*").over(Window.partitionBy(*keys))).where(full).drop("_row", "_n")
+    cut = running_sum(events, F.lit(1), "_row", tuple(keys), inclusive=False).withColumn("chain_no", F.floor(F.col("_row") / size).cast("long")).withColumn("slot", (F.col("_row") % size).cast("long"))
+    return cut.withColumn("_n", F.count("*").over(Window.partitionBy(*keys, "chain_no"))).where(F.col("_n") == size).drop("_row", "_n")
 
 
 def stream_chains(events: DataFrame, size: int, overlap: bool = False) -> DataFrame:
@@ -72,8 +70,7 @@ def rounds(events: DataFrame, number: Column, least: int = 2) -> DataFrame:
 
 def with_plays(events: DataFrame, boundary: str = "objective_capture") -> DataFrame:
     """Adds play: how many boundary events came before; the boundary is the last event of its play."""
-    goals = F.sum(F.when(F.col("event_type") == boundary, 1).otherwise(0)).over(in_order().rowsBetween(Window.unboundedPreceding, -1))
-    return events.withColumn("play", F.coalesce(goals, F.lit(0)).cast("long"))
+    return running_sum(events, (F.col("event_type") == boundary).cast("int"), "play", inclusive=False)
 
 
 def plays(events: DataFrame, boundary: str = "objective_capture", least: int = 2) -> DataFrame:
@@ -93,8 +90,10 @@ def player_plays(events: DataFrame, boundary: str = "objective_capture", least:
 
 
 def first_events(events: DataFrame, most: int = 8, least: int = 3) -> DataFrame:
-    """The first `most` events of each game that has `least` or more."""
-    return events.withColumn("_n", F.count("*").over(game())).where(F.col("_n") >= least).withColumn("slot", F.row_number().over(in_order()) - 1).where(F.col("slot") < most).drop("_n")
+    """The first `most` events of each game that has `least` or more, with slot. Places are dense, so a game is long enough
+    if it has the place `least` - 1."""
+    long_enough = events.where(F.col("sequence_idx") == least - 1).select("game_id")
+    return events.where(F.col("sequence_idx") < most).join(long_enough, "game_id", "left_semi").withColumn("slot", F.col("sequence_idx"))
 
 
 def subwindows(candidates: DataFrame, size: int, step: int | None = None) -> DataFrame:
@@ -110,10 +109,13 @@ def subwindows(candidates: DataFrame, size: int, step: int | None = None) -> Dat
 
 def sliding(events: DataFrame, actionable: Column, size: int = 5, step: int = 3) -> DataFrame:
     """game_id, start, n, n_actionable, chain_no: windows every `step` events; those without an actionable event are
-    left out and not counted; a tail of 2 or more stays. Prefix sums of the flag replace any look at the events."""
-    flags = events.select("game_id", "sequence_idx", F.sum(F.when(actionable, 1).otherwise(0)).over(in_order()).alias("_upto"), F.count("*").over(game()).alias("_n"), actionable.alias("_is"))
-    ahead = F.last("_upto").over(in_order().rowsBetween(0, size - 1))
-    held = flags.withColumn("n_actionable", (ahead - F.col("_upto") + F.when(F.col("_is"), 1).otherwise(0)).cast("long"))
-    starts = held.where(F.col("sequence_idx") % step == 0).withColumn("n", F.least(F.lit(size), F.col("_n") - F.col("sequence_idx")).cast("long"))
-    kept = starts.where("n >= 2 and n_actionable > 0")
-    return kept.select("game_id", F.col("sequence_idx").alias("start"), "n", "n_actionable", (F.row_number().over(in_order()) - 1).cast("long").alias("chain_no"))
+    left out and not counted; a tail of 2 or more stays. An actionable event finds its windows by its own place."""
+    if size < 1 or step < 1:
+        raise ValueError("chains have at least one event, and starts differ")
+    place = F.col("sequence_idx")
+    first, last = F.greatest(F.lit(0), F.ceil((place - size + 1) / step)).cast("long"), F.floor(place / step).cast("long")
+    starts = events.where(actionable).withColumns({"_first": first, "_last": last}).where("_first <= _last").select("game_id", F.explode(F.sequence(F.col("_first") * step, F.col("_last") * step, F.lit(step).cast("long"))).alias("sequence_idx"))
+    held = starts.groupBy("game_id", "sequence_idx").agg(F.count("*").alias("n_actionable"))
+    sized = held.join(events.groupBy("game_id").agg(F.count("*").alias("_n")), "game_id").withColumn("n", F.least(F.lit(size), F.col("_n") - place).cast("long"))
+    kept = running_sum(sized.where("n >= 2"), F.lit(1), "chain_no", inclusive=False)
+    return kept.select("game_id", place.alias("start"), "n", "n_actionable", "chain_no")

@@ -37,9 +37,8 @@ def by_period(events: DataFrame) -> DataFrame:
 
 
 def numbered(events: DataFrame, keys: list[str], tag: Column, least: int = 2) -> DataFrame:
-    group = Window.partitionBy("game_id", *keys)
-    placed = events.withColumn("_n", F.count("*").over(group)).where(F.col("_n") >= least).withColumn("slot", (F.row_number().over(group.orderBy("sequence_idx")) - 1).cast("long"))
-    return placed.withColumn("parent", X.chain_id(F.col("game_id"), tag)).drop("_n")
+    found = W.placed(events, keys).where(F.col("_n") >= least).withColumnRenamed("_row", "slot")
+    return found.withColumn("parent", X.chain_id(F.col("game_id"), tag)).drop("_n")
 
 
 def by_round(events: DataFrame) -> DataFrame:
@@ -58,8 +57,7 @@ def by_goal_and_player(events: DataFrame, boundary: str = "objective_capture") -
 
 
 def by_hand(events: DataFrame) -> DataFrame:
-    found = W.first_events(events).withColumn("slot", F.col("slot").cast("long"))
-    return found.withColumn("parent", X.chain_id(F.col("game_id"), F.lit("hand")))
+    return W.first_events(events).withColumn("parent", X.chain_id(F.col("game_id"), F.lit("hand")))
 
 
 def not_ready(events: DataFrame) -> DataFrame:
@@ -90,8 +88,9 @@ def fixed_chains(members: DataFrame, sizes: dict[str, int] = V.CHAIN_LENGTH) ->
     if min(sizes.values()) < 1:
         raise ValueError("chains have at least one event")
     size = F.create_map(*[F.lit(x) for pair in sizes.items() for x in pair])[F.col("cell")]
-    whole = members.withColumns({"_n": F.count("*").over(Window.partitionBy("game_id", "parent")), "_size": size})
-    cut = whole.withColumn("sub_no", F.floor(F.col("slot") / F.col("_size")).cast("long")).where((F.col("sub_no") + 1) * F.col("_size") <= F.col("_n"))
+    whole = members.withColumn("_size", size).withColumn("sub_no", F.floor(F.col("slot") / F.col("_size")).cast("long"))
+    # Slots are dense, so a chain is whole if it has its size; groups are chains, however long candidates are.
+    cut = whole.withColumn("_n", F.count("*").over(Window.partitionBy("game_id", "parent", "sub_no"))).where(F.col("_n") == F.col("_size"))
     number = F.when(F.col("sub_no") < 1_000, F.lpad(F.col("sub_no").cast("string"), 3, "0")).otherwise(F.col("sub_no").cast("string"))
     return cut.withColumns({"chain_id": F.concat("parent", F.lit("_sub"), number), "slot": F.col("slot") % F.col("_size")}).drop("_n", "_size")
 

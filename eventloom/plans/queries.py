@@ -16,8 +16,9 @@ from eventloom.operators import pairing as P
 from eventloom.operators import state as S
 from eventloom.operators import windows as W
 from eventloom.plans import harness as H
-from eventloom.plans.tables import CHAINS_SQL, EVENTS_SQL, chains, events, table
+from eventloom.plans.tables import CHAINS_SQL, EVENTS_SQL, TYPES, chains, events, table
 from eventloom.sources import files, synthetic
+from eventloom.streaming import timed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -252,6 +253,40 @@ def stack_fold_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stack_fold(spark, sf_dir)
 
 
+# --- streams ----------------------------------------------------------------------------------------------------------
+def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event table as a stream: game_id, ts, place, event_type, actor, value."""
+    held = spark.read.parquet(f"{sf_dir}/events.parquet")
+    # A stream reads a folder: the table's own, or of a table of one file the one around it.
+    alone = held.inputFiles()[0].endswith("/events.parquet")
+    stream = spark.readStream.schema(held.schema).option("pathGlobFilter", "events.parquet" if alone else "*.parquet")
+    raw = stream.parquet(sf_dir if alone else f"{sf_dir}/events.parquet")
+    kinds = F.create_map(*[F.lit(x) for pair in TYPES.items() for x in pair])
+    actor = F.concat(F.lit("player_"), (F.get_json_object("props", "$.k").cast("long") % 7).cast("string"))
+    return raw.select(F.col("user_id").alias("game_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("place"), kinds[F.col("event_type")].alias("event_type"), actor.alias("actor"), "value")
+
+
+#: Seconds without events after which a user's game is over: never.
+NEVER = 10**9
+
+
+@query(
+    on_events("SELECT game_id, event_id AS place, actor, (sum(CASE WHEN event_type = 'player_idle' THEN 1 ELSE 0 END) OVER (PARTITION BY game_id, actor ORDER BY sequence_idx))::BIGINT AS n FROM ev").replace(
+        "value,\n         (row_number()", "value, event_id,\n         (row_number()"
+    )
+)
+def streamed_fouls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`running_fouls` of a stream in event time, with state and timers, until the watermark has passed all events."""
+    return timed.drained(timed.in_event_order(event_stream(spark, sf_dir), timed.RunningCounts("player_idle"), 0, NEVER), "streamed-fouls")
+
+
+@query(on_chains("SELECT game_id, chain_no, string_agg(event_type, ',' ORDER BY slot) AS types, string_agg(actor, ',' ORDER BY slot) AS actors FROM ch GROUP BY ALL"))
+def streamed_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chains of five events of a stream in event time."""
+    found = timed.drained(timed.in_event_order(event_stream(spark, sf_dir), timed.CountWindows(5), 0, NEVER), "streamed-chains")
+    return found.select("game_id", "chain_no", F.array_join("types", ",").alias("types"), F.array_join("actors", ",").alias("actors"))
+
+
 # --- gate and pilot ---------------------------------------------------------------------------------------------------
 GATED = f", g AS (SELECT cell, chain_id, count(*) AS n, count(*) FILTER ({ACTIONABLE}) AS n_actionable FROM ch GROUP BY ALL)"
 
@@ -586,9 +621,7 @@ def mcnemar_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def interim_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = answers(spark, sf_dir)
-    place = Window.partitionBy("cell").orderBy("game_id", "chain_no")
-    half = made.withColumns({"_at": F.row_number().over(place), "_n": F.count("*").over(Window.partitionBy("cell"))}).where("_at <= greatest(1, floor(_n * 0.5))")
+    half = C.first_share(answers(spark, sf_dir), "cell", ["game_id", "chain_no"], 0.5)
     return P.interim(P.contingency(half, ["cell"]))
 
 

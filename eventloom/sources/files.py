@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from eventloom.functions import vocabulary as V
 from eventloom.functions.expressions import strip_phase
+from eventloom.operators.ordinals import with_ordinals
 
 LINE = (
     "_type string, game_id string, cell string, metadata map<string,string>, sequence_idx long, timestamp double, event_type string, actor string, "
@@ -93,8 +94,7 @@ def merged_ids(first: DataFrame, more: DataFrame, id: str = "match_id") -> DataF
 # --- requests and responses -------------------------------------------------------------------------------------
 def request_batches(requests: DataFrame, order: list[str], size: int = BATCH) -> DataFrame:
     """Adds batch: chunks of at most `size` requests, in order, per cell."""
-    row = F.row_number().over(Window.partitionBy("cell").orderBy(*order)) - 1
-    return requests.withColumn("batch", F.floor(row / size).cast("long"))
+    return with_ordinals(requests, ["cell"], order, "batch").withColumn("batch", F.floor(F.col("batch") / size).cast("long"))
 
 
 def read_responses(spark: SparkSession, path: str, succeeded: bool = True) -> DataFrame:
