@@ -87,7 +87,11 @@ def fixed(value: Column, places: int = 0, width: int = 0) -> Column:
         text = F.when(F.isnan(x), "nan").when(size == float("inf"), F.concat(sign, F.lit("inf"))).when(size < WHOLE, F.concat(sign, small(size))).otherwise(F.concat(sign, large))
         return let(text, lambda t: _padded(t, width)) if width else text
 
-    return let(value.cast("double"), lambda x: F.when(x.isNotNull(), told(x)))
+    x = value.cast("double")
+    # Between these sizes the shortest decimal is written plainly, and rounds as the exact value does unless it ends in a 5
+    # just behind the last place: then, and outside, the exact value is looked at.
+    plain = (F.abs(x) >= 1e-3) & (F.abs(x) < 1e7) & ~x.cast("string").rlike(rf"\.\d{{{places}}}50*$")
+    return F.when(plain, F.format_string(f"%{width or ''}.{places}f", x)).otherwise(let(x, lambda v: F.when(v.isNotNull(), told(v))))
 
 
 def rounded(value: Column, places: int = 0) -> Column:

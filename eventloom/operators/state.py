@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from eventloom.operators.scans import alternating, previous, running_sum
+from eventloom.storage import stored
 
 
 def with_possessions(plays: DataFrame, hard_end: Column, rebound: Column, team: Column) -> DataFrame:
@@ -18,7 +19,7 @@ def with_possessions(plays: DataFrame, hard_end: Column, rebound: Column, team:
     A rebound ends one if the row before it in the same possession has another, non-empty team: a row whose predecessor
     ended its possession doesn't end another, so runs of rebounds that each change team alternate.
     """
-    told = previous(plays.withColumn("_team", team), F.col("_team"), "_before")
+    told = stored(previous(plays.withColumn("_team", team), F.col("_team"), "_before"), "plays")
     known = (F.coalesce("_team", F.lit("")) != "") & (F.coalesce("_before", F.lit("")) != "")
     return alternating(told, hard_end, rebound & known & (F.col("_team") != F.col("_before")), "ends", "possession").drop("_team", "_before")
 

@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from eventloom.functions.expressions import chain_id
 from eventloom.operators.scans import running_sum
+from eventloom.storage import stored
 
 
 def placed(events: DataFrame, by: list[str]) -> DataFrame:
@@ -114,8 +115,9 @@ def sliding(events: DataFrame, actionable: Column, size: int = 5, step: int = 3)
         raise ValueError("chains have at least one event, and starts differ")
     place = F.col("sequence_idx")
     first, last = F.greatest(F.lit(0), F.ceil((place - size + 1) / step)).cast("long"), F.floor(place / step).cast("long")
-    starts = events.where(actionable).withColumns({"_first": first, "_last": last}).where("_first <= _last").select("game_id", F.explode(F.sequence(F.col("_first") * step, F.col("_last") * step, F.lit(step).cast("long"))).alias("sequence_idx"))
-    held = starts.groupBy("game_id", "sequence_idx").agg(F.count("*").alias("n_actionable"))
-    sized = held.join(events.groupBy("game_id").agg(F.count("*").alias("_n")), "game_id").withColumn("n", F.least(F.lit(size), F.col("_n") - place).cast("long"))
+    # Events in no window keep a row without a start, so that one pass also tells how long games are.
+    starts = F.when(actionable & (first <= last), F.sequence(first * step, last * step, F.lit(step).cast("long")))
+    per = stored(events.select("game_id", place.alias("_at"), F.explode_outer(starts).alias("sequence_idx")).groupBy("game_id", "sequence_idx").agg(F.count("*").alias("n_actionable"), F.max("_at").alias("_last")), "window-starts")
+    sized = per.where("sequence_idx is not null").drop("_last").join(per.groupBy("game_id").agg(F.max("_last").alias("_last")), "game_id").withColumn("n", F.least(F.lit(size), F.col("_last") + 1 - place).cast("long"))
     kept = running_sum(sized.where("n >= 2"), F.lit(1), "chain_no", inclusive=False)
     return kept.select("game_id", place.alias("start"), "n", "n_actionable", "chain_no")

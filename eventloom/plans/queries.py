@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,14 +11,17 @@ from pyspark.sql.window import Window
 
 from eventloom.functions import expressions as X
 from eventloom.functions import vocabulary as V
+from eventloom.functions.decimals import fixed
 from eventloom.operators import chains as C
 from eventloom.operators import inject as I
 from eventloom.operators import pairing as P
 from eventloom.operators import state as S
 from eventloom.operators import windows as W
 from eventloom.plans import harness as H
+from eventloom.plans import ledger
 from eventloom.plans.tables import CHAINS_SQL, EVENTS_SQL, TYPES, chains, events, table
 from eventloom.sources import files, synthetic
+from eventloom.storage import session_dir
 from eventloom.streaming import timed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -417,6 +421,15 @@ def short_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", X.short_value(F.col("text")).alias("short"))
 
 
+@query("SELECT event_id, printf('%.1f', value) AS one, printf('%.2f', value) AS two, printf('%8.3f', (event_id % 4096) / 16.0::DOUBLE) AS three, printf('%.0f', (event_id % 64) / 2.0::DOUBLE) AS none FROM events")
+def fixed_decimals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers as rendered: exact binary values, ties to even."""
+    id = F.col("event_id")
+    return table(spark, sf_dir, "events").select(
+        "event_id", fixed(F.col("value"), 1).alias("one"), fixed(F.col("value"), 2).alias("two"), fixed((id % 4096) / 16, 3, 8).alias("three"), fixed((id % 64) / 2).alias("none")
+    )
+
+
 # --- planted violations ------------------------------------------------------------------------------------------------------
 @query(
     on_chains(
@@ -524,6 +537,28 @@ def custom_id_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.paired(rows.select(X.custom_id(F.col("chain_no"), F.col("chain_id"), F.col("x.variant")).alias("custom_id"), "x.text"))
 
 
+LEDGER = """, q AS (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY game_id, chain_no) - 1 AS i FROM ans),
+an AS (SELECT cell, i AS "index", chain_id, CASE WHEN i % 11 = 5 THEN '' ELSE baseline END AS baseline_raw, CASE WHEN i % 11 = 5 OR i % 13 = 7 THEN '' ELSE intervention END AS intervention_raw FROM q)"""
+
+
+@query(on_chains("""SELECT cell, "index", chain_id, baseline_raw, intervention_raw, baseline_raw = '' AND intervention_raw = '' AS missing FROM an""", LABELS + LEDGER))
+def ledger_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs from a ledger whose first run ends early, whose second one meets errors, and of which some requests never succeed."""
+    chains_ = answers(spark, sf_dir).select("cell", "game_id", "chain_no", "chain_id", F.lit("b").alias("baseline"), F.lit("i").alias("intervention"))
+    book = ledger.Ledger(spark, f"{session_dir(spark)}/ledger-{uuid.uuid4().hex}")
+    book.register(ledger.requests_of(chains_, ["game_id", "chain_no"], 1_000))
+    parts = X.custom_id_parts(F.col("custom_id"))
+    never = (parts["index"] % 11 == 5) | ((parts["index"] % 13 == 7) & (parts["variant"] == "intervention"))
+
+    def answer(run: int) -> Callable[[DataFrame], DataFrame]:
+        later = never | (F.lit(run < 2) & (parts["index"] % 3 == run))
+        return lambda part: part.where(F.lit(run > 0) | (F.col("batch") < 2)).select("cell", "custom_id", F.when(later, "errored").otherwise("succeeded").alias("type"), X.dry_label(parts["chain"], parts["variant"]).alias("text"))
+
+    for run in range(3):
+        book.run(answer(run), attempts=run + 1)
+    return book.pairs()
+
+
 @query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
 def missing_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     have = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
