@@ -5,6 +5,8 @@ An event log has a header line (game_id, cell, metadata, _type "header") and the
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -12,6 +14,7 @@ from pyspark.sql.window import Window
 from eventloom.functions import vocabulary as V
 from eventloom.functions.expressions import strip_phase
 from eventloom.operators.ordinals import with_ordinals
+from eventloom.sources import quarantine
 
 LINE = (
     "_type string, game_id string, cell string, metadata map<string,string>, sequence_idx long, timestamp double, event_type string, actor string, "
@@ -73,9 +76,12 @@ def read_event_lines(spark: SparkSession, path: str, strict: bool = True) -> Dat
 
 
 def read_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """One raw JSON record per file; unreadable files are left out."""
-    read = spark.read.schema(f"{schema}, _corrupt_record string").option("multiLine", "true").option("recursiveFileLookup", "true").json(path)
-    return read.where("_corrupt_record is null").drop("_corrupt_record")
+    """One raw JSON record per file; others are left out with a warning that counts them. `quarantine.read_records` also
+    gives them with their cause and file."""
+    found = quarantine.read_records(spark, path, schema)
+    if found.counts["read"] > found.counts["good"]:
+        warnings.warn(f"{found.counts['read'] - found.counts['good']} of {found.counts['read']} records below {path} are bad", stacklevel=2)
+    return found.good
 
 
 def checked(events: DataFrame) -> DataFrame:
@@ -130,7 +136,11 @@ def report_json(tables: DataFrame, name: str = "report") -> DataFrame:
     return tables.select(F.to_json(F.struct(*tables.columns)).alias("_row")).agg(F.concat(F.lit("["), F.array_join(F.sort_array(F.collect_list("_row")), ","), F.lit("]")).alias(name))
 
 
-def report_markdown(table: DataFrame) -> str:
-    """A small result table as Markdown; the driver gets its rows, so it is for per-cell reports only."""
-    rows = [[("" if v is None else f"{v:.3f}" if isinstance(v, float) else str(v)) for v in r] for r in table.limit(1_000).collect()]
+def report_markdown(table: DataFrame, most: int = 1_000) -> str:
+    """A small result table as Markdown; the driver gets its rows, so it is for per-cell reports only, and more than `most` rows
+    raise."""
+    found = table.limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"a report of more than {most} rows")
+    rows = [[("" if v is None else f"{v:.3f}" if isinstance(v, float) else str(v)) for v in r] for r in found]
     return "\n".join("| " + " | ".join(r) + " |" for r in [table.columns, ["-"] * len(table.columns), *rows]) + "\n"

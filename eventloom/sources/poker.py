@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from eventloom.operators.ordinals import with_ordinals
 from eventloom.sources.common import enveloped
 
 HAND = "path string, place int, players array<string>, actions array<string>, starting_stacks array<double>, blinds_or_straddles array<double>"
@@ -22,29 +23,38 @@ STREETS = ("preflop", "flop", "turn", "river")
 CODES = {"f": "disengage_decision", "cc": "engage_decision", "cbr": "engage_decision"}
 
 
+def numbers(values: object) -> list[float]:
+    return [float(v) if isinstance(v, int | float) else float("inf") for v in values or []]
+
+
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     """path, place, players, actions, starting_stacks, blinds_or_straddles of every hand below `path`: a `.phh` file
-    holds one, a `.phhs` file a table of them. Files that aren't TOML give none."""
+    holds one, a `.phhs` file a table of them. What isn't TOML gives none.
 
-    def numbers(values: object) -> list[float]:
-        return [float(v) if isinstance(v, int | float) else float("inf") for v in values or []]
+    A file of many hands of any size is read by many tasks: it is cut where a line begins with a table's head, and hands are
+    numbered by their tables' places in the file. A hand that isn't TOML is dropped alone.
+    """
 
     def parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
             rows = []
-            for path_, content in zip(part["path"], part["content"], strict=True):
+            for path_, at, row, text in part.itertuples(index=False):
                 try:
-                    data = tomllib.loads(content.decode("utf-8"))
-                except (tomllib.TOMLDecodeError, UnicodeDecodeError):
+                    data = tomllib.loads(text)
+                except tomllib.TOMLDecodeError:
                     continue
-                hands = list(data.items()) if path_.endswith(".phhs") else [("0", data)]
-                for place, (_, h) in enumerate(hands):
-                    if isinstance(h, dict):
-                        rows.append((path_, place, list(h.get("players") or []), list(h.get("actions") or []), numbers(h.get("starting_stacks")), numbers(h.get("blinds_or_straddles"))))
-            yield pd.DataFrame(rows, columns=["path", "place", "players", "actions", "starting_stacks", "blinds_or_straddles"])
-
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.phh*").load(path)
-    return files.select("path", "content").mapInPandas(parsed, HAND)
+                hands = [h for h in data.values() if isinstance(h, dict)] if path_.endswith(".phhs") else [data]
+                rows += [(path_, at, row, list(h.get("players") or []), list(h.get("actions") or []), numbers(h.get("starting_stacks")), numbers(h.get("blinds_or_straddles"))) for h in hands]
+            yield pd.DataFrame(rows, columns=["path", "_at", "_row", "players", "actions", "starting_stacks", "blinds_or_straddles"])
+
+    some = spark.read.option("recursiveFileLookup", "true")
+    whole = some.format("binaryFile").option("pathGlobFilter", "*.phh").load(path).select("path", F.lit(0).cast("long").alias("_at"), F.lit(0).cast("long").alias("_row"), F.try_validate_utf8("content").alias("_text"))
+    tables = some.option("lineSep", "\n[").option("pathGlobFilter", "*.phhs").text(path)
+    # Only the first table of a file has its own bracket.
+    head = F.when(F.col("value").startswith("["), F.col("value")).otherwise(F.concat(F.lit("["), F.col("value")))
+    cut = tables.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_row"), head.alias("_text"))
+    made = whole.unionByName(cut).where("_text is not null").mapInPandas(parsed, HAND.replace("place int", "_at long, _row long"))
+    return with_ordinals(made, ["path"], ["_at", "_row"], "place").withColumn("place", F.col("place").cast("int")).drop("_at", "_row")
 
 
 def hands(files: DataFrame) -> DataFrame:
