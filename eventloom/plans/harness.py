@@ -19,6 +19,7 @@ from eventloom.functions import vocabulary as V
 from eventloom.operators import chains as C
 from eventloom.operators import pairing as P
 from eventloom.operators import windows as W
+from eventloom.operators.quantiles import exact_quantiles
 from eventloom.storage import stored
 
 #: Chains of a cell that a full run wants, and the share of one event type from which a pilot warns.
@@ -253,17 +254,18 @@ def pilot(events: DataFrame, cells: tuple[str, ...] = V.CELLS, cuts: dict[str, C
     the chains kept, their event types as a map, warnings, passed."""
     members = candidates(events, cells, cuts)
     flag = X.is_actionable(F.col("event_type"), F.col("cell"))
-    per = members.groupBy("cell", "game_id", "parent").agg(F.count("*").alias("n"), (F.count_if(flag) / F.count("*")).alias("share"))
+    per = stored(members.groupBy("cell", "game_id", "parent").agg(F.count("*").alias("n"), (F.count_if(flag) / F.count("*")).alias("share")), "candidate-shares")
     good = F.col("share") >= floor
     keep = lambda f, c: F.coalesce(f(F.when(good, F.col(c))), F.lit(0))
     chains = per.groupBy("cell").agg(
         F.count("*").alias("n_chains_raw"), F.count_if(good).alias("n_chains_post_gate"), keep(F.avg, "n").alias("length_mean"), keep(F.min, "n").alias("length_min"), keep(F.max, "n").alias("length_max"),
-        F.coalesce(F.percentile(F.when(good, F.col("n")), 0.5), F.lit(0.0)).alias("length_median"), keep(F.avg, "share").alias("share_mean"), keep(F.min, "share").alias("share_min"), keep(F.max, "share").alias("share_max"),
+        keep(F.avg, "share").alias("share_mean"), keep(F.min, "share").alias("share_min"), keep(F.max, "share").alias("share_max"),
     )
     kept = members.join(per.where(good).select("cell", "game_id", "parent"), ["cell", "game_id", "parent"], "left_semi")
     types = kept.groupBy("cell", "event_type").agg(F.count("*").alias("k")).groupBy("cell").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("event_type", "k")))).alias("event_types"), (F.max("k") / F.sum("k")).alias("_top"))
     streams = events.where(F.col("cell").isin(*cells)).groupBy("cell").agg(F.countDistinct("game_id").alias("n_streams"), F.count("*").alias("n_events"))
-    every = streams.join(chains, "cell", "left").join(types, "cell", "left").na.fill(0)
+    medians = exact_quantiles(per.where(good), ["cell"], "n", {"length_median": 0.5})
+    every = streams.join(chains, "cell", "left").join(medians, "cell", "left").join(types, "cell", "left").na.fill(0)
     rate = F.coalesce(F.try_divide("n_chains_post_gate", "n_chains_raw"), F.lit(0.0))
     warnings = F.array_compact(F.array(F.when(F.col("n_chains_post_gate") < WANTED, "fewer chains than a full run wants"), F.when(rate < floor, "retention is below the floor"), F.when(F.col("_top") > DOMINANT, "one event type dominates")))
     return every.withColumns({"retention_rate": rate, "passed": rate >= floor, "warnings": warnings}).drop("_top")

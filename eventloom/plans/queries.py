@@ -17,11 +17,12 @@ from eventloom.operators import inject as I
 from eventloom.operators import pairing as P
 from eventloom.operators import state as S
 from eventloom.operators import windows as W
+from eventloom.operators.quantiles import exact_quantiles
 from eventloom.plans import harness as H
-from eventloom.plans import ledger
+from eventloom.plans import ledger, metrics
 from eventloom.plans.tables import CHAINS_SQL, EVENTS_SQL, TYPES, chains, events, table
-from eventloom.sources import files, synthetic
-from eventloom.storage import session_dir
+from eventloom.sources import buckets, files, quarantine, synthetic
+from eventloom.storage import session_dir, stored
 from eventloom.streaming import timed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -319,11 +320,11 @@ def gate2_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 )
 def pilot_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    per = chains(spark, sf_dir).groupBy("cell", "game_id", "chain_id").agg(F.count_if(X.is_actionable(F.col("event_type"), F.col("cell"))).alias("k"))
-    return per.groupBy("cell").agg(
-        F.count("*").alias("n_chains"), F.countDistinct("game_id").alias("n_games"), F.avg("k").alias("mean_actionable"), F.min("k").alias("min_actionable"),
-        F.max("k").alias("max_actionable"), F.percentile("k", 0.5).alias("median_actionable"),
-    )
+    per = stored(chains(spark, sf_dir).groupBy("cell", "game_id", "chain_id").agg(F.count_if(X.is_actionable(F.col("event_type"), F.col("cell"))).alias("k")), "actionable")
+    sums = per.groupBy("cell").agg(
+        F.count("*").alias("n_chains"), F.countDistinct("game_id").alias("n_games"), F.avg("k").alias("mean_actionable"), F.min("k").alias("min_actionable"), F.max("k").alias("max_actionable")
+    )
+    return sums.join(exact_quantiles(per, ["cell"], "k", {"median_actionable": 0.5}), "cell")
 
 
 # --- samples ------------------------------------------------------------------------------------------------------------
@@ -710,7 +711,9 @@ def dominance(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {EVENTS_SQL}{PLAYS} SELECT cell, avg(n) AS mean, min(n) AS least, max(n) AS most, median(n) AS median FROM (SELECT cell, game_id, play, count(*) AS n FROM p GROUP BY ALL HAVING count(*) >= 2) GROUP BY cell")
 def length_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     per = W.with_plays(events(spark, sf_dir), "resource_spend").groupBy("cell", "game_id", "play").agg(F.count("*").alias("n")).where("n >= 2")
-    return per.groupBy("cell").agg(F.avg("n").alias("mean"), F.min("n").alias("least"), F.max("n").alias("most"), F.percentile("n", 0.5).alias("median"))
+    per = stored(per, "lengths")
+    sums = per.groupBy("cell").agg(F.avg("n").alias("mean"), F.min("n").alias("least"), F.max("n").alias("most"))
+    return sums.join(exact_quantiles(per, ["cell"], "n", {"median": 0.5}), "cell")
 
 
 @query(
@@ -830,6 +833,43 @@ def synthetic_pilot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.groupBy("cell").agg(F.countDistinct("game_id").alias("n_streams"), F.count("*").alias("n_events")).join(chains, "cell")
 
 
+# --- files and records ---------------------------------------------------------------------------------------------------------------
+@query(on_events("SELECT CAST(game_id AS VARCHAR) AS game_id, CAST(part AS BIGINT) AS part, count(*) AS lines FROM (SELECT game_id, sequence_idx // 50 AS part FROM ev UNION ALL SELECT DISTINCT game_id, 0 FROM ev) GROUP BY ALL"))
+def bucketed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every game's parts in the manifest of bucketed event lines, counted from the lines that the manifest leads to."""
+    path = f"{session_dir(spark)}/bucketed-{uuid.uuid4().hex}"
+    made = events(spark, sf_dir).select("game_id", "cell", "sequence_idx", "event_type", "actor")
+    manifest = buckets.write_bucketed(made, path, 1 << 20, 50)
+    lines = spark.read.text(f"{path}/lines").groupBy(F.get_json_object("value", "$.game_id").alias("game_id"), F.floor(F.coalesce(F.get_json_object("value", "$.sequence_idx").cast("long"), F.lit(0)) / 50).alias("part")).agg(F.count("*").alias("lines"))
+    return manifest.select("game_id", "part").join(lines, ["game_id", "part"])
+
+
+@query(
+    on_events(
+        """, m AS (SELECT cell = 'poker' AND k % 17 = 3 AS nameless, cell = 'poker' AND k % 13 = 2 AS misplaced FROM ev)
+        SELECT cause, count(*) AS n FROM (SELECT CASE WHEN nameless THEN 'no game id' WHEN misplaced THEN 'bad place' ELSE 'good' END AS cause FROM m) GROUP BY cause"""
+    ).replace("events) ,", "events),")
+)
+def quarantined_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Good events and rejected ones by cause; together they are all that came in."""
+    bad = lambda n, rest: (F.col("cell") == "poker") & (F.col("k") % n == rest)
+    made = events(spark, sf_dir).withColumns({"game_id": F.when(~bad(17, 3), F.col("game_id")), "sequence_idx": F.when(bad(13, 2), F.lit(-1)).otherwise(F.col("sequence_idx"))})
+    found = quarantine.checked_events(made)
+    if sum(n for name, n in found.counts.items() if name != "read") != found.counts["read"]:
+        raise ValueError("the counts of a pass don't add up")
+    return found.good.select(F.lit("good").alias("cause")).unionByName(found.rejected.select("cause")).groupBy("cause").agg(F.count("*").alias("n"))
+
+
+@query(on_events("SELECT cell, stage, rows FROM (SELECT cell, 'events' AS stage, count(*) AS rows FROM ev GROUP BY cell UNION ALL SELECT cell, 'chains', sum(n // 5)::BIGINT FROM (SELECT cell, game_id, count(*) AS n FROM ev GROUP BY ALL) GROUP BY cell UNION ALL SELECT cell, 'events of types', count(*) FILTER (event_type <> 'player_idle') FROM ev GROUP BY cell)"))
+def run_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows per stage and cell as a run's metrics tell them; times and memory, which differ from run to run, are left out here."""
+    run = metrics.Metrics(spark)
+    made = run.measured("events", events(spark, sf_dir))
+    run.measured("chains", W.tumbling(made, 5).where("slot = 0"))
+    run.measured("events of types", made.where("event_type <> 'player_idle'"))
+    return run.table().select("cell", "stage", "rows")
+
+
 # --- further projections -----------------------------------------------------------------------------------------------------------
 @query(on_events("SELECT game_id, string_agg(actor, ',' ORDER BY first_idx) AS actors, count(*) AS n FROM (SELECT game_id, actor, min(sequence_idx) AS first_idx FROM ev GROUP BY ALL) GROUP BY game_id"))
 def ordered_actors(spark: SparkSession, sf_dir: str) -> DataFrame:
