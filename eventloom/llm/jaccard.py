@@ -262,7 +262,8 @@ def digests(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
 
 def signature_rows(docs: DataFrame, similarity: int, words: int) -> DataFrame:
-    """sig, doc, tag for all signatures of all documents. tag: size * 2**24 + slack left * 2 + 1 if in its own band."""
+    """sig, doc, tag for all signatures of all documents (doc_id, text, mixed). tag: size * 2**24 + slack left * 2 + 1 if in its
+    own band; a mixed document, whose texts differ, has no slack, as that of one text isn't that of another."""
 
     def batch(sigs: list, docs_: list, tags: list) -> pa.RecordBatch:
         counts = [len(x) for x in sigs]
@@ -273,14 +274,14 @@ def signature_rows(docs: DataFrame, similarity: int, words: int) -> DataFrame:
         remembering("jaccard")
         for part in batches:
             sigs, ids, tags, held = [], [], [], 0
-            for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
+            for doc, text, mixed_ in zip(*(part.column(c).to_pylist() for c in ("doc_id", "text", "mixed")), strict=True):
                 h = shingles(text, words)
                 if not len(h):
                     continue
                 for found, left, own in signatures(h, similarity):
                     sigs.append(found)
                     ids.append(doc)
-                    tags.append(len(h) << 24 | left << 1 | own)
+                    tags.append(len(h) << 24 | (0 if mixed_ else left) << 1 | own)
                     held += len(found)
                 if held >= BATCH_ROWS:
                     yield batch(sigs, ids, tags)
@@ -288,7 +289,7 @@ def signature_rows(docs: DataFrame, similarity: int, words: int) -> DataFrame:
             if sigs:
                 yield batch(sigs, ids, tags)
 
-    return mapped(docs.select("doc_id", "text"), made, "sig long, doc long, tag long")
+    return mapped(docs.select("doc_id", "text", "mixed"), made, "sig long, doc long, tag long")
 
 
 def sets_of(docs: DataFrame, words: int) -> DataFrame:
@@ -389,9 +390,21 @@ def cross_pairs(rows: DataFrame, similarity: int, block: int = BLOCK) -> DataFra
     on = key & ((F.col("_block1") < F.col("_block2")) | (F.col("doc1") < F.col("doc2"))) & (F.col("root1") != F.col("root2"))
     useful = (F.col("own1") | F.col("own2")) & similar_size("n1", "n2", similarity)
     differ = sum((F.bit_count(F.col("bits1")[i].bitwiseXOR(F.col("bits2")[i])) for i in range(SKETCH)), F.lit(0))
+    # A mixed document has no parities.
     close = differ * (100 + similarity) <= (F.col("n1") + F.col("n2")) * (100 - similarity)
     a, b = F.least("doc1", "doc2"), F.greatest("doc1", "doc2")
-    return one.join(two, on & useful & close).select(a.alias("a"), b.alias("b")).distinct()
+    return one.join(two, on & useful & F.coalesce(close, F.lit(True))).select(a.alias("a"), b.alias("b")).distinct()
+
+
+def links_of_mixed(every: DataFrame, named: DataFrame, mixed_ids: DataFrame) -> DataFrame:
+    """Links (a, b) of mixed documents with others of an equal set, through the least of them and the class's least: signatures are
+    made for sets that differ, classes for documents of one set."""
+    held = every.join(mixed_ids, "doc_id", "left_semi")
+    sets = held.select("set").distinct()
+    plain = named.select("doc_id", F.struct("n", "d1", "d2").alias("set")).join(sets, "set", "left_semi").groupBy("set").agg(F.min("doc_id").alias("doc_id"))
+    nodes = stored(held.select("set", "doc_id").unionByName(plain).distinct(), "jaccard-mixed-nodes")
+    least = nodes.groupBy("set").agg(F.min("doc_id").alias("a"))
+    return nodes.join(least, "set").where("a <> doc_id").select("a", F.col("doc_id").alias("b")).distinct()
 
 
 def near_duplicate_components(docs: DataFrame, similarity: int = SIMILARITY, words: int = WORDS) -> DataFrame:
@@ -400,24 +413,31 @@ def near_duplicate_components(docs: DataFrame, similarity: int = SIMILARITY, wor
     Equal sets become one class, its least doc_id for all. Each bucket of a signature first verifies its members
     against a pivot; then all pairs in different components so far are verified, which completes the join as far as
     components can tell; links within a component aren't listed. A text without words has size 0 and is alone; a null
-    doc_id keeps its size with a null component; rows of one doc_id are one document; an empty table gives an empty
-    result; texts of any length are read whole; further columns are left out, whatever their names.
+    doc_id keeps its size with a null component; rows of one doc_id are one document, linked by any of its texts; an empty table
+    gives an empty result; texts of any length are read whole; further columns are left out, whatever their names.
     """
     sizes = stored(digests(docs, words), "jaccard-digests")
-    named = sizes.where("doc_id is not null and n > 0")
+    every = sizes.where("doc_id is not null and n > 0").select("doc_id", F.struct("n", "d1", "d2").alias("set"))
+    # Ids of several different sets take part with all of them; they are in no class, as a class stands for whole documents.
+    several = stored(every.groupBy("doc_id").agg(F.min("set").alias("least"), F.max("set").alias("most")).where("least <> most").select("doc_id"), "jaccard-mixed")
+    mixed_ids = checked_broadcast(several)
+    named = every.join(mixed_ids, "doc_id", "left_anti").select("doc_id", "set.*")
     classes = named.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows"))
     # Written before the join, so that a large class is a skewed join side, which can be split, and not also a group.
     repeated = stored(classes.where("rows > 1").select("n", "d1", "d2", "rep"), "jaccard-repeated")
     copies = stored(named.join(checked_broadcast(repeated), ["n", "d1", "d2"]).where("doc_id <> rep").select("doc_id", "rep"), "jaccard-copies")
     bare = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    single = bare.join(checked_broadcast(copies.select("doc_id").distinct()), "doc_id", "left_anti")
+    marked = bare.join(mixed_ids.select("doc_id", F.lit(True).alias("_mixed")), "doc_id", "left").select("doc_id", "text", F.col("_mixed").isNotNull().alias("mixed"))
+    single = marked.join(checked_broadcast(copies.select("doc_id").distinct()), "doc_id", "left_anti")
 
     buckets = stored(candidate_buckets(single, similarity, words), "jaccard-buckets")
     stars = stored(star_pairs(buckets, similarity), "jaccard-stars")
     links = stored(verified_from(single, stars, similarity, words), "jaccard-links")
+    if not several.isEmpty():
+        links = stored(links.unionByName(links_of_mixed(every, named, mixed_ids)), "jaccard-links")
     labels = components(links)
-    parities_of = sizes.select(F.col("doc_id").alias("doc"), "bits").dropDuplicates(["doc"])
-    rest = stored(cross_pairs(stored(open_rows(buckets, labels).join(parities_of, "doc"), "jaccard-open"), similarity), "jaccard-rest")
+    parities_of = sizes.join(mixed_ids, "doc_id", "left_anti").select(F.col("doc_id").alias("doc"), "n", "bits").dropDuplicates(["doc", "n"])
+    rest = stored(cross_pairs(stored(open_rows(buckets, labels).join(parities_of, ["doc", "n"], "left"), "jaccard-open"), similarity), "jaccard-rest")
     found = stored(verified_from(single, rest, similarity, words), "jaccard-links")
     if not found.isEmpty():
         labels = components(links.unionByName(found))

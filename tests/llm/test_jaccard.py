@@ -121,3 +121,46 @@ def test_word_hashes():
         for word, value in zip(found, hashes, strict=True):
             assert seen.setdefault(word, value) == value
     assert len(set(seen.values())) == len(seen)
+
+
+def brute_of_rows(rows):
+    """(doc_id, size) per row -> component, where a document is linked by any of its texts."""
+    sets = [(i, shingle_set(t)) for i, t in rows]
+    root = {i: i for i, _ in rows}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for n, (a, x) in enumerate(sets):
+        for b, y in sets[n + 1 :]:
+            if x and y and 100 * len(x & y) >= 80 * len(x | y):
+                p, q = find(a), find(b)
+                root[max(p, q)] = min(p, q)
+    return sorted((i, len(s), find(i)) for i, s in sets)
+
+
+def rows_result(spark, rows):
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    return sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicate_components(docs).collect())
+
+
+def test_ids_with_several_texts(spark):
+    """Every text of an id links it: none is taken for the id's only one."""
+    rng = random.Random(12)
+    t1, t2 = (" ".join(rng.choices([f"w{i}" for i in range(500)], k=60)) for _ in range(2))
+    first = [(3, t1), (5, t1), (5, t2), (9, t2 + " more")]
+    second = [(3, t1), (5, t1), (5, t2), (9, t2)]
+    for rows in (first, second):
+        assert rows_result(spark, rows) == brute_of_rows(rows)
+        assert {c for _, _, c in rows_result(spark, rows)} == {3}
+    vocabulary = [f"v{i}" for i in range(800)]
+    rows = []
+    for _ in range(40):
+        words = rng.choices(vocabulary, k=rng.choice([3, 8, 30, 100]))
+        for _ in range(rng.randint(1, 6)):
+            rows.append((rng.randrange(120), " ".join(words)))
+            words = near_copies(rng, words, rng.choice([0, 0, 1, 2]))
+    rows += [(7, ""), (7, None), (8, "")]
+    assert rows_result(spark, rows) == brute_of_rows(rows)
