@@ -21,6 +21,19 @@ def cost(chains: int, cells: int, calls: int = 2, tokens: tuple[int, int] = TOKE
     return chains * cells * calls * sum(t * p for t, p in zip(tokens, prices, strict=True)) / 1e6
 
 
+def cost_report(chains: int, cells: int, calls: int = 2, tokens: tuple[int, int] = TOKENS, prices: tuple[float, float] = PRICES) -> str:
+    """What a run would take: calls, tokens and dollars, in all and per cell."""
+    total = chains * cells * calls
+    spent = [total * t * p / 1e6 for t, p in zip(tokens, prices, strict=True)]
+    lines = [
+        ("Cells", f"{cells}"), ("Chains per cell", f"{chains:,}"), ("Calls per chain", f"{calls}"), ("Tokens per call", f"{tokens[0]} in, {tokens[1]} out"),
+        ("Calls", f"{total:,}"), ("Tokens in", f"{total * tokens[0]:,}"), ("Tokens out", f"{total * tokens[1]:,}"),
+        ("Cost in", f"{spent[0]:.4f} USD"), ("Cost out", f"{spent[1]:.4f} USD"), ("Cost", f"{sum(spent):.4f} USD"),
+        ("Per cell", f"{chains * calls:,} calls, {sum(spent) / cells if cells else 0:.4f} USD"),
+    ]
+    return "\n".join(f"{name + ':':<17}{value}" for name, value in lines)
+
+
 def gathered(spark: SparkSession, given: argparse.Namespace) -> DataFrame:
     """The events of all wanted cells: records below `records`/cell, or synthetic ones."""
     known, made = config.cells(given.cells_file), None
@@ -42,6 +55,7 @@ def main(argv: list[str] | None = None) -> int:
     given = parser.parse_args(argv)
     if given.command == "cost":
         print(f"{cost(given.chains, len(given.cells)):.2f} USD for {given.chains * len(given.cells) * 2} calls")
+        print(cost_report(given.chains, len(given.cells)))
         return 0
     if given.command == "config":
         missing = config.missing_credentials({k: v for k, v in config.cells(given.cells_file).items() if k in given.cells}, dict(os.environ))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from eventloom.functions import vocabulary as V
+from eventloom.functions.decimals import fixed
 from eventloom.functions.expressions import custom_id_parts
 from eventloom.operators.ordinals import with_ordinals
 
@@ -57,8 +58,26 @@ def positional(chains: DataFrame, truths: DataFrame, baseline: DataFrame, interv
 def summary() -> Column:
     """One line of a tested table (cell, n, b, c, statistic, p, p_corrected, significant, h, lo, hi)."""
     sign = F.when(F.col("significant"), "SIGNIFICANT").otherwise("not significant")
-    numbers = [F.col(c).cast("double") for c in ("h", "lo", "hi")]
-    return F.format_string("[%s] McNemar n=%d b=%d c=%d χ²=%.4f p=%.4f p_corr=%.4f (%s) h=%.4f 95%%CI=[%.4f,%.4f]", "cell", "n", "b", "c", "statistic", "p", "p_corrected", sign, *numbers)
+    numbers = [F.coalesce(fixed(F.col(c), 4), F.lit("?")) for c in ("statistic", "p", "p_corrected", "h", "lo", "hi")]
+    return F.format_string("[%s] McNemar n=%d b=%d c=%d χ²=%s p=%s p_corr=%s (%s) h=%s 95%%CI=[%s,%s]", "cell", "n", "b", "c", *numbers[:3], sign, *numbers[3:])
+
+
+def aggregate(tables: DataFrame) -> DataFrame:
+    """One row over the tested tables of all cells: n_cells, n_cells_significant, total_chains, total_discordant, pooled_chi2 and
+    pooled_p of the discordant pairs of all cells together, cell_summaries, a line per cell in the order of cells.
+
+    Without tables all counts are 0 and p is 1.
+    """
+    line = F.struct("cell", summary().alias("line"))
+    sums = tables.agg(
+        F.count("*").alias("n_cells"), F.count_if("significant").alias("n_cells_significant"), F.coalesce(F.sum("n"), F.lit(0)).alias("total_chains"),
+        F.coalesce(F.sum("b"), F.lit(0)).alias("b"), F.coalesce(F.sum("c"), F.lit(0)).alias("c"), F.array_sort(F.collect_list(line)).alias("_lines"),
+    )
+    tested = with_p(sums.withColumn("statistic", statistic()))
+    return tested.select(
+        "n_cells", "n_cells_significant", "total_chains", (F.col("b") + F.col("c")).alias("total_discordant"), F.col("statistic").alias("pooled_chi2"), F.col("p").alias("pooled_p"),
+        F.transform("_lines", lambda x: x["line"]).alias("cell_summaries"),
+    )
 
 
 def contingency(pairs: DataFrame, by: list[str]) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 from eventloom.functions import expressions as X
 from eventloom.functions import rendering as R
 from eventloom.functions import vocabulary as V
+from eventloom.functions.decimals import fixed
 from eventloom.operators import chains as C
 from eventloom.operators import pairing as P
 from eventloom.operators import windows as W
@@ -84,6 +85,38 @@ def candidates(events: DataFrame, cells: tuple[str, ...] = V.CELLS, cuts: dict[s
     return made
 
 
+def run_cells(events: DataFrame, cuts: dict[str, Callable[[DataFrame], DataFrame] | None]) -> tuple[DataFrame, DataFrame]:
+    """The candidates' members of all cells whose cut works, and a report of all cells that are registered in `cuts`, streamed in
+    `events`, or both: cell, registered, n_streams, n_events, n_candidates, errors.
+
+    A cell whose cut raises, or that has none, is told in the report and doesn't end the run of the others: each cell's
+    members are stored by themselves. A streamed null cell is a cell without a cut.
+    """
+    spark, errors, made = events.sparkSession, {}, None
+    events = stored(events, "events")
+    for cell, cut in sorted(cuts.items()):
+        try:
+            if cut is None:
+                raise NotImplementedError
+            one = stored(cut(events.where(F.col("cell") == cell)).select(*events.columns, "parent", "slot"), "cell-members")
+        except NotImplementedError:
+            errors[cell] = "its cut isn't there yet"
+        except Exception as e:  # any fault of a cell's cut is that cell's
+            errors[cell] = f"its cut raised {type(e).__name__}: {str(e).strip().splitlines()[0] if str(e).strip() else ''}"
+        else:
+            made = one if made is None else made.unionByName(one)
+    if made is None:
+        made = events.limit(0).withColumns({"parent": F.lit(None).cast("string"), "slot": F.lit(None).cast("long")})
+    told = spark.createDataFrame([(c, errors.get(c)) for c in cuts], "cell string, error string").withColumn("registered", F.lit(True))
+    streams = events.groupBy(F.col("cell").alias("_cell")).agg(F.countDistinct("game_id").alias("n_streams"), F.count("*").alias("n_events"))
+    counts = made.where("slot = 0").groupBy(F.col("cell").alias("_of")).agg(F.count("*").alias("n_candidates"))
+    both = told.join(streams, F.col("cell").eqNullSafe(F.col("_cell")), "full").withColumn("cell", F.coalesce("cell", "_cell")).join(counts, F.col("cell") == F.col("_of"), "left")
+    known, none = F.coalesce("registered", F.lit(False)), F.coalesce("n_streams", F.lit(0)) == 0
+    faults = F.array_compact(F.array(F.when(~known, "no cut is registered"), F.when(none, "no streams"), F.col("error")))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return made, both.select("cell", known.alias("registered"), zero("n_streams"), zero("n_events"), zero("n_candidates"), faults.alias("errors"))
+
+
 def fixed_chains(members: DataFrame, sizes: dict[str, int] = V.CHAIN_LENGTH) -> DataFrame:
     """Consecutive chains of each cell's length; tails and short candidates are dropped. Adds sub_no and chain_id."""
     if min(sizes.values()) < 1:
@@ -262,13 +295,16 @@ def pilot(events: DataFrame, cells: tuple[str, ...] = V.CELLS, cuts: dict[str, C
         keep(F.avg, "share").alias("share_mean"), keep(F.min, "share").alias("share_min"), keep(F.max, "share").alias("share_max"),
     )
     kept = members.join(per.where(good).select("cell", "game_id", "parent"), ["cell", "game_id", "parent"], "left_semi")
-    types = kept.groupBy("cell", "event_type").agg(F.count("*").alias("k")).groupBy("cell").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("event_type", "k")))).alias("event_types"), (F.max("k") / F.sum("k")).alias("_top"))
+    types = kept.groupBy("cell", "event_type").agg(F.count("*").alias("k")).groupBy("cell").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("event_type", "k")))).alias("event_types"), (F.max("k") / F.sum("k")).alias("_top"), F.max_by("event_type", F.struct("k", "event_type")).alias("_most"))
     streams = events.where(F.col("cell").isin(*cells)).groupBy("cell").agg(F.countDistinct("game_id").alias("n_streams"), F.count("*").alias("n_events"))
     medians = exact_quantiles(per.where(good), ["cell"], "n", {"length_median": 0.5})
     every = streams.join(chains, "cell", "left").join(medians, "cell", "left").join(types, "cell", "left").na.fill(0)
     rate = F.coalesce(F.try_divide("n_chains_post_gate", "n_chains_raw"), F.lit(0.0))
-    warnings = F.array_compact(F.array(F.when(F.col("n_chains_post_gate") < WANTED, "fewer chains than a full run wants"), F.when(rate < floor, "retention is below the floor"), F.when(F.col("_top") > DOMINANT, "one event type dominates")))
-    return every.withColumns({"retention_rate": rate, "passed": rate >= floor, "warnings": warnings}).drop("_top")
+    few = F.format_string(f"%d chains behind the gate, a full run wants {WANTED:,}", "n_chains_post_gate")
+    low = F.format_string(f"%s%% of the chains stay, the floor is {floor:.0%}", fixed(rate * 100, 1))
+    top = F.format_string("%s is %s%% of the events", "_most", fixed(F.col("_top") * 100, 1))
+    warnings = F.array_compact(F.array(F.when(F.col("n_chains_post_gate") < WANTED, few), F.when(rate < floor, low), F.when(F.col("_top") > DOMINANT, top)))
+    return every.withColumns({"retention_rate": rate, "passed": rate >= floor, "warnings": warnings}).drop("_top", "_most")
 
 
 def readiness(cells: DataFrame) -> DataFrame:

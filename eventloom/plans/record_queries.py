@@ -12,10 +12,11 @@ from eventloom.operators import chains as C
 from eventloom.operators import inject as I
 from eventloom.operators import pairing as P
 from eventloom.operators import windows as W
+from eventloom.operators.ordinals import with_ordinals
 from eventloom.plans import harness as H
-from eventloom.plans.queries import LABELS, ORACLE_SQL, QUERIES, REPEATS, answers, labelled_pairs, on_chains, on_events, query, tables_of
+from eventloom.plans.queries import LABELS, ORACLE_SQL, QUERIES, REPEATS, actions_of, answers, labelled_pairs, on_chains, on_events, query, tables_of
 from eventloom.plans.tables import chains, events, table
-from eventloom.sources import carsoccer, nba, pubg
+from eventloom.sources import builder, carsoccer, nba, poker, pubg
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
@@ -34,10 +35,10 @@ def overlapping_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.stream_chains(events(spark, sf_dir), 5, overlap=True).select("game_id", "sequence_idx", "chain_no", "slot", "chain_id")
 
 
-@query(on_chains("SELECT cell, game_id * 1000000 + chain_no AS place, chain_id, CASE WHEN chain_no % 2 = 0 THEN 'yes' ELSE 'no' END AS truth, baseline AS baseline_raw, intervention AS intervention_raw FROM ans", LABELS))
+@query(on_chains("SELECT cell, row_number() OVER (PARTITION BY cell ORDER BY game_id, chain_no) - 1 AS place, chain_id, CASE WHEN chain_no % 2 = 0 THEN 'yes' ELSE 'no' END AS truth, baseline AS baseline_raw, intervention AS intervention_raw FROM ans", LABELS))
 def positional_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chains, truths and both answers as lists by place; lists that don't fit raise."""
-    made = answers(spark, sf_dir).withColumn("place", F.col("game_id") * 1_000_000 + F.col("chain_no"))
+    made = with_ordinals(answers(spark, sf_dir), ["cell"], ["game_id", "chain_no"], "place")
     told = lambda text: made.select("cell", "place", "chain_id", text.alias("text"))
     truths = made.select("cell", "place", F.when(F.col("chain_no") % 2 == 0, "yes").otherwise("no").alias("text"))
     return P.positional(made.select("cell", "place", "chain_id"), truths, told(F.col("baseline")), told(F.col("intervention")))
@@ -178,3 +179,56 @@ def play_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = F.to_json(F.struct(F.struct(F.col("user_id").cast("string").alias("gameId"), F.transform("x", lambda y: y["p"]).alias("actions")).alias("game")))
     records = per.select(F.from_json(told, nba.RECORD).alias("r")).select("r.*")
     return nba.plays(records).select("game_id", "sequence_idx", "event_type", "timestamp", "actor")
+
+
+@query(
+    """WITH e AS (SELECT user_id, event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos,
+          (epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY user_id)) // 1000 AS ms FROM events)
+    SELECT 'fnc_' || user_id AS game_id, row_number() OVER (PARTITION BY user_id ORDER BY ms, pos) - 1 AS sequence_idx, ms / 1000.0::DOUBLE AS timestamp,
+      CASE event_type WHEN 'view' THEN 'zone_enter' WHEN 'purchase' THEN 'position_commit' ELSE CASE k % 4 WHEN 0 THEN 'risk_accept' WHEN 1 THEN 'zone_exit' ELSE 'engage_decision' END END AS event_type,
+      CASE event_type WHEN 'view' THEN 'storm' ELSE 'p' || k % 5 END AS actor, CASE event_type WHEN 'view' THEN 'storm_phase_' || k % 10 END AS phase
+    FROM e WHERE event_type IN ('click', 'view') OR (event_type = 'purchase' AND k % 7 <> 0)"""
+)
+def chunk_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event chunks of a building game: fights, falls and storms, phases of the storm, other groups with and without an actor."""
+    raw = table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("long"))
+    k, kind = F.col("k"), F.col("event_type")
+    who = F.concat(F.lit("p"), (k % 5).cast("string"))
+    weapon = F.when(k % 4 == 0, "fall").when(k % 4 == 1, "Storm").otherwise("rifle")
+    meta = (
+        F.when(kind == "click", F.create_map(F.lit("eliminator"), who, F.lit("weapon"), weapon))
+        .when(kind == "view", F.create_map(F.lit("phase"), (k % 10).cast("string")))
+        .when(kind == "purchase", F.create_map(F.lit("playerId"), F.when(k % 7 == 0, "unknown").otherwise(who)))
+        .otherwise(F.create_map().cast("map<string,string>"))
+    )
+    group = F.when(kind == "click", "playerElim").when(kind == "view", "PhaseChange").when(kind == "purchase", "Loot").when(kind == "signup", "PlayerLogin").otherwise("Other")
+    first = raw.groupBy("user_id").agg(F.min("ts").alias("_first"))
+    ms = F.floor(F.expr("timestampdiff(MICROSECOND, _first, ts)") / 1000)
+    chunk = F.struct(F.col("event_id").cast("string").alias("id"), group.alias("group"), meta.alias("metadata"), ms.alias("time1_ms"), ms.alias("time2_ms"))
+    # Maps can't be sorted: chunks are gathered by their place.
+    placed = raw.join(first, "user_id").select("user_id", F.struct("ts", "event_id").alias("_at"), F.to_json(chunk).alias("_c"))
+    per = placed.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("_at", "_c"))).alias("x"))
+    told = F.concat(F.lit('{"match_id":"'), F.col("user_id").cast("string"), F.lit('","events":['), F.array_join(F.transform("x", lambda y: y["_c"]), ","), F.lit("]}"))
+    records = per.select(F.from_json(told, builder.RECORD).alias("r")).select("r.*")
+    return builder.events(records).select("game_id", "sequence_idx", "timestamp", "event_type", "actor", "phase")
+
+
+HANDS = ORACLE_SQL["stack_fold"].replace("[1000::BIGINT, 1000, 1000] AS stacks, [0::BIGINT, 0, 0] AS put, 0::BIGINT AS pot, 0::BIGINT AS bet", "[999::BIGINT, 998, 1000] AS stacks, [1::BIGINT, 2, 0] AS put, 3::BIGINT AS pot, 2::BIGINT AS bet")
+
+
+@query(
+    f"""SELECT 'pk_' || hand AS game_id, acted AS sequence_idx, acted * 3.0::DOUBLE + deals * 2.0::DOUBLE AS timestamp, CASE move WHEN 'fold' THEN 'disengage_decision' ELSE 'engage_decision' END AS event_type,
+      'a' || seat AS actor, (['preflop', 'flop', 'turn', 'river'])[least(deals, 3) + 1] AS phase, stack / 2.0::DOUBLE AS stack_bb, pot / 2.0::DOUBLE AS pot_bb
+    FROM (SELECT *, CAST(count(*) FILTER (move = 'deal') OVER w AS INTEGER) AS deals, count(*) FILTER (move <> 'deal') OVER w - 1 AS acted FROM ({HANDS}) WINDOW w AS (PARTITION BY hand ORDER BY step)) WHERE move <> 'deal'"""
+)
+def hand_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Poker hands in the words of hand histories: a user's events are the actions of a hand of three with blinds."""
+    word = lambda *parts: F.concat_ws(" ", F.concat(F.lit("p"), F.col("seat").cast("string")), *parts)
+    text = F.when(F.col("move") == "deal", "d db ????").when(F.col("move") == "fold", word(F.lit("f"))).when(F.col("move") == "raise", word(F.lit("cbr"), F.col("amount").cast("string"))).otherwise(word(F.lit("cc")))
+    per = actions_of(spark, sf_dir).groupBy("hand").agg(F.array_sort(F.collect_list(F.struct("step", text.alias("text")))).alias("x"))
+    hands = per.select(
+        F.concat(F.lit("pk_"), F.col("hand").cast("string")).alias("game_id"), F.array(*map(F.lit, ("a0", "a1", "a2"))).alias("players"), F.lit(3).alias("n_players"), F.lit(2).cast("long").alias("big_blind"),
+        F.array(*[F.lit(1_000).cast("long")] * 3).alias("starting_stacks"), F.array(*[F.lit(b).cast("long") for b in (1, 2, 0)]).alias("blinds"), F.transform("x", lambda y: y["text"]).alias("actions"),
+    )
+    number = lambda name: F.get_json_object("context", f"$.{name}").cast("double")
+    return poker.events(hands).select("game_id", "sequence_idx", "timestamp", "event_type", "actor", "phase", number("stack_bb").alias("stack_bb"), number("pot_size_bb").alias("pot_bb"))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from eventloom.functions.decimals import rounded
 from eventloom.operators.ordinals import with_ordinals
 from eventloom.sources.common import enveloped
 
@@ -148,7 +149,7 @@ def events(found: DataFrame) -> DataFrame:
 
     folded = found.where(n > 0).withColumn("_acts", acts).withColumn("_out", F.aggregate("_acts", zero, step)["out"])
     rows = folded.select("game_id", "players", n.alias("n_players"), big.alias("_big"), F.posexplode("_out").alias("sequence_idx", "x"))
-    in_blinds = lambda c: F.round(F.col(c) / F.col("_big"), 1)
+    in_blinds = lambda c: rounded(F.col(c) / F.col("_big"), 1)
     street = F.get(F.array(*map(F.lit, STREETS)), F.least(F.col("x.deals"), F.lit(3)))
     kinds = F.create_map(*[F.lit(v) for pair in CODES.items() for v in pair])
     context = F.struct(

@@ -220,9 +220,19 @@ def in_event_order(stream: DataFrame, fold: Fold, late_seconds: int = 600, idle_
     return told.groupBy("game_id").transformWithState(InEventOrder(fold, schema.names, idle_seconds * 1000), schema, "Append", "EventTime")
 
 
-def drained(made: DataFrame, name: str) -> DataFrame:
-    """All rows that a stream gives for what its source holds now, appended to a table in the shared folder and read back."""
-    path = f"{session_dir(made.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    query = made.writeStream.outputMode("append").format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return made.sparkSession.read.schema(made.schema).parquet(f"{path}/rows")
+def drained(made: DataFrame, name: str, stores: int | None = None) -> DataFrame:
+    """All rows that a stream gives for what its source holds now, appended to a table in the shared folder and read back.
+
+    `stores` is the number of its state stores, else the session's shuffle partitions; small sources need few.
+    """
+    spark = made.sparkSession
+    path, setting = f"{session_dir(spark)}/{name}-{uuid.uuid4().hex}", "spark.sql.shuffle.partitions"
+    keep = spark.conf.get(setting)
+    if stores:
+        spark.conf.set(setting, str(min(int(keep), stores)))
+    try:
+        query = made.writeStream.outputMode("append").format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        spark.conf.set(setting, keep)
+    return spark.read.schema(made.schema).parquet(f"{path}/rows")
