@@ -38,20 +38,24 @@ def canonical_text(json: str) -> Column:
 
 def tool_messages(messages: DataFrame) -> DataFrame:
     """Explicit calls and results: an assistant text that is JSON with `tool_calls` gives one row per call, a tool text
-    that is JSON with `tool_call_id` a result; all other messages keep a null call_id. Adds kind, call_id, name,
-    arguments (canonical JSON text), depends_on, content."""
-    calls = F.from_json("text", f"tool_calls array<{CALL}>")["tool_calls"]
+    that is JSON with `tool_call_id` a result; all other messages keep a null call_id. What an assistant says beside its
+    calls, a `content` that isn't empty, is a message of its own. Adds kind, call_id, name, arguments (canonical JSON
+    text), depends_on, content."""
+    asked = F.from_json("text", f"content string, tool_calls array<{CALL}>")
+    calls, said = asked["tool_calls"], asked["content"]
     result = F.from_json("text", RESULT)
     none = F.lit(None).cast(CALL)
     looks = F.col("text").startswith("{")
-    each = F.explode(F.when((F.col("role") == "assistant") & looks & (F.size(F.coalesce(calls, F.array())) > 0), calls).otherwise(F.array(none))).alias("call")
-    opened = messages.select("*", each, F.when((F.col("role") == "tool") & looks, result).alias("result"))
+    calling = (F.col("role") == "assistant") & looks & (F.size(F.coalesce(calls, F.array())) > 0)
+    beside = F.when(F.coalesce(said != "", F.lit(False)), F.array(none)).otherwise(F.array().cast(f"array<{CALL}>"))
+    each = F.explode(F.when(calling, F.concat(beside, F.filter(calls, lambda c: c.isNotNull()))).otherwise(F.array(none))).alias("call")
+    opened = messages.select("*", F.when(calling, said).alias("said"), each, F.when((F.col("role") == "tool") & looks, result).alias("result"))
     return opened.select(
         *messages.columns,
         F.when(F.col("call.id").isNotNull(), "call").when(F.col("result.tool_call_id").isNotNull(), "result").otherwise("message").alias("kind"),
         F.coalesce("call.id", "result.tool_call_id").alias("call_id"), F.col("call.name").alias("name"), canonical_text("call.arguments").alias("arguments"),
         F.coalesce("call.depends_on", F.array().cast("array<string>")).alias("depends_on"),
-        F.when(F.col("result.tool_call_id").isNotNull(), F.col("result.content")).otherwise(F.when(F.col("call.id").isNull(), F.col("text"))).alias("content"),
+        F.when(F.col("result.tool_call_id").isNotNull(), F.col("result.content")).otherwise(F.when(F.col("call").isNull(), F.coalesce("said", "text")).when(F.col("call.id").isNull(), F.col("text"))).alias("content"),
     )
 
 

@@ -29,6 +29,22 @@ def test_links_order_and_errors(spark):
     assert list(done) == sorted(done) and json.loads(done["arguments"]) == {"a": 1, "b": 2.5}
 
 
+def test_words_beside_calls(spark):
+    """What is said beside calls stays, once, also when the calls are several or hold nulls."""
+    text = lambda said, *calls: json.dumps({"content": said, "tool_calls": list(calls)})
+    one, two = call("x", "add", {"a": 1, "b": 1}), call("y", "add", {"a": 1, "b": 1})
+    messages = [(1, 1, "assistant", text("thinking", one, two), ""), (2, 1, "assistant", text("", one), ""), (3, 1, "assistant", text(None, one), ""), (4, 1, "assistant", text("only words"), ""), (5, 1, "assistant", text("with null", None, one), "")]
+    rows = rows_of(spark, messages)
+    kinds = {}
+    for r in rows:
+        kinds.setdefault(r["conv_id"], []).append((r["kind"], r["call_id"]))
+    assert {k: sorted(v, key=str) for k, v in kinds.items()} == {
+        1: [("call", "x"), ("call", "y"), ("message", None)], 2: [("call", "x")], 3: [("call", "x")], 4: [("message", None)], 5: [("call", "x"), ("message", None)],
+    }
+    said = {r["conv_id"]: json.loads(r["json"])["content"] for r in rows if r["kind"] == "message"}
+    assert said[1] == "thinking" and said[5] == "with null" and json.loads(said[4])["content"] == "only words"
+
+
 def test_awkward_rows(spark):
     messages = [(1, 1, "user", None, ""), (1, 1, "user", None, ""), (None, 1, "user", "x", ""), (2, None, "assistant", "", ""), (3, 1, None, "{broken", ""), (4, 1, "assistant", "{}", "")]
     rows = rows_of(spark, messages, plain=True)
