@@ -17,7 +17,7 @@ import regex
 from eventloom.llm.common import remembering
 
 #: Units remembered by a worker before it starts anew: bounds its memory. The frequent ones are soon known again.
-REMEMBERED = 200_000
+REMEMBERED = 500_000
 
 #: The pre-token patterns of the two vocabularies, as their files state them (fixed values).
 SPACED = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -33,6 +33,9 @@ def byte_signs() -> dict[int, int]:
 
 
 BYTE_SIGNS = byte_signs()
+SPACE_SIGN = chr(BYTE_SIGNS[0x20])
+#: Signs that are a pre-token of their own behind letters and before nothing, in both patterns.
+SIGNS = frozenset("!\"#$%&()*+,-./:;<=>?@[]^_`{|}~")
 
 
 def plain(text: str) -> bool:
@@ -56,6 +59,7 @@ class Encoder:
         self.added = [] if splits_added else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         #: Whether a space belongs to the token behind it (byte-level vocabulary) or is dropped.
         self.keeps_space = keeps_space
+        self.tokenize = self.tokenizer.model.tokenize
         self.split = regex.compile(SPACED if keeps_space else UNSPACED).findall
         self.known: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
@@ -83,12 +87,12 @@ class Encoder:
             if self.keeps_space:
                 # The first unit has no space before it.
                 first, units = units[0], units[1:]
-            try:
-                ids = b"".join(map(self.known.__getitem__, units))
-            except KeyError:
-                self.learn(units)
-                ids = b"".join(map(self.known.__getitem__, units))
-            out[i] = (self.raw([first])[0] if first else b"") + ids
+            found = list(map(self.known.get, units))
+            if None in found:
+                # Most texts have some new units: only these are looked up again.
+                self.learn([u for u, ids in zip(units, found, strict=True) if ids is None])
+                found = [self.known[u] if ids is None else ids for u, ids in zip(units, found, strict=True)]
+            out[i] = (self.raw([first])[0] if first else b"") + b"".join(found)
         return out
 
     def learn(self, units: list[str]) -> None:
@@ -96,20 +100,33 @@ class Encoder:
             self.known, self.pieces = {}, {}
         new = [u for u in dict.fromkeys(units) if u and u not in self.known]
         shown = [u if u[:1] == "\n" or not self.keeps_space else " " + u for u in new]
-        strange = [i for i, u in enumerate(new) if max(u) >= LATIN_END or not u.lstrip("\n").isprintable()]
+        strange = [i for i, u in enumerate(new) if not (u.isascii() or max(u) < LATIN_END) or not u.lstrip("\n").isprintable()]
         for i, ids in zip(strange, self.raw([shown[i] for i in strange]), strict=True):
             self.known[new[i]] = ids
         for u, text in zip(new, shown, strict=True):
             if u not in self.known:
-                self.known[u] = b"".join(map(self.piece, self.split(text if self.keeps_space else text.lower())))
+                self.known[u] = b"".join(map(self.piece, self.parted(text if self.keeps_space else text.lower())))
         self.known.setdefault("", b"")
 
+    def parted(self, text: str) -> list[str]:
+        """The pre-tokens of a unit; of words, also with one sign behind them, without the pattern. `text` is printable and
+        below LATIN_END."""
+        word = text[1:] if text[:1] == " " else text
+        if word.isalpha():
+            return [text]
+        if word[:-1].isalpha() and word[-1] in SIGNS:
+            return [text[:-1], text[-1]]
+        return self.split(text)
+
     def piece(self, piece: str) -> bytes:
         """The ids of one pre-token, by the tokenizer's own merges."""
         ids = self.pieces.get(piece)
         if ids is None:
-            shown = piece.encode().decode("latin-1").translate(BYTE_SIGNS)
-            ids = self.pieces[piece] = struct.pack(f"<{len(found := self.tokenizer.model.tokenize(shown))}I", *[t.id for t in found])
+            # Letters of ASCII show as themselves.
+            spaced = piece[:1] == " "
+            word = piece[1:] if spaced else piece
+            shown = (SPACE_SIGN if spaced else "") + word if word.isascii() and word.isalpha() else piece.encode().decode("latin-1").translate(BYTE_SIGNS)
+            ids = self.pieces[piece] = struct.pack(f"<{len(found := self.tokenize(shown))}I", *[t.id for t in found])
         return ids
 
 

@@ -51,3 +51,18 @@ def test_queries_keep_added_tokens(spark):
     crc = lambda name: zlib.crc32(np.asarray([*Tokenizer.from_file(tokenizer_path(name)).encode("end. <|endoftext|> next", add_special_tokens=False).ids, 0], "<u4").tobytes())
     assert (read[0]["n_tokens"], read[1]["start"], read[0]["ids_crc32"]) == (6, 6, crc("byte_bpe_50k.json"))
     assert (packed[0]["length"], packed[0]["ids_crc32"]) == (5, crc("word_bpe_49k.json"))
+
+
+@pytest.mark.parametrize(("name", "keeps"), [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_known_units_are_not_learned_again(name, keeps, monkeypatch):
+    """A text with one new unit learns that one only, and words with a sign behind them equal the tokenizer's own ids."""
+    asked, made = [], Encoder(tokenizer_path(name), keeps)
+    learn = made.learn
+    monkeypatch.setattr(made, "learn", lambda units: (asked.extend(units), learn(units)))
+    made.encode(["x one two three"])
+    texts = ["x one two three four", "x Über, naïve. s' don't. a_ ab! é; ªb: ab\u0307 a1, ab@ ab' 're. \u0130a,"]
+    found = made.encode(texts)
+    assert asked[:8].count("two") == 1 and asked.count("four") == 1
+    plain = Tokenizer.from_file(tokenizer_path(name))
+    for text, got in zip(texts, found, strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
