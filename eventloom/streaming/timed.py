@@ -8,10 +8,14 @@ holds what may still be overtaken, plus one small value per game that goes on.
 from __future__ import annotations
 
 import json
+import pickle
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
-from typing import Protocol
+from functools import lru_cache
+from itertools import islice
+from operator import itemgetter
+from typing import NamedTuple, Protocol
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -22,11 +26,11 @@ from eventloom.storage import session_dir
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-WAITING = "us long, place long, event_type string, actor string, value double"
+#: Events wait in pieces of at most so many, each a pickled list: a state row per event would cost more than its fold.
+WAITING, PIECE = "events binary", 4_096
 
 
-@dataclass(frozen=True)
-class Event:
+class Event(NamedTuple):
     us: int
     place: int | None
     event_type: str | None
@@ -34,6 +38,10 @@ class Event:
     value: float | None
 
 
+#: An actor, or none, as a key that JSON can hold.
+key_of = lru_cache(1 << 16)(json.dumps)
+
+
 # --- folds ---------------------------------------------------------------------------------------------------------
 class Fold(Protocol):
     """What runs along a game: `schema` of its rows, a first state that JSON can hold, a step and an end."""
@@ -100,7 +108,7 @@ class RunningCounts:
         return {}
 
     def step(self, state: dict, event: Event) -> Iterator[tuple]:
-        key = json.dumps(event.actor)
+        key = key_of(event.actor)
         state[key] = state.get(key, 0) + (event.event_type == self.event_type)
         yield event.place, event.actor, state[key]
 
@@ -139,7 +147,7 @@ class DropsBelow:
         return {}
 
     def step(self, state: dict, event: Event) -> Iterator[tuple]:
-        key = json.dumps(event.actor)
+        key = key_of(event.actor)
         before = state.get(key)
         if before is not None and event.value is not None and before >= self.level > event.value:
             yield event.place, event.actor, event.value
@@ -162,26 +170,32 @@ class InEventOrder(StatefulProcessor):
         self.running = handle.getValueState("running", "state string, last long")
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
-        new = [(r["us"], r["place"], r["event_type"], r["actor"], r["value"]) for r in rows]
-        self.waiting.appendList(new)
-        self.handle.registerTimer(min(r[0] for r in new) // 1000)
+        least = None
+        while some := list(islice(rows, PIECE)):
+            fields = itemgetter(*map(some[0].__fields__.index, Event._fields))
+            piece = list(map(fields, some))
+            self.waiting.appendValue((pickle.dumps(piece),))
+            first = min(piece, key=itemgetter(0))[0]
+            least = first if least is None else min(least, first)
+        if least is not None:
+            self.handle.registerTimer(least // 1000)
         yield from ()
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
         passed = timerValues.getCurrentWatermarkInMs()
-        held = [Event(*r) for r in self.waiting.get()] if self.waiting.exists() else []
+        held = [Event(*e) for (piece,) in self.waiting.get() for e in pickle.loads(piece)]
         ready = sorted((e for e in held if e.us // 1000 <= passed), key=lambda e: (e.us, e.place is not None, e.place))
-        late = [e for e in held if e.us // 1000 > passed]
-        state, last = self.running.get() if self.running.exists() else (json.dumps(self.fold.start()), None)
-        state = json.loads(state)
+        late = [tuple(e) for e in held if e.us // 1000 > passed]
+        state, last = self.running.get() or (None, None)
+        state = self.fold.start() if state is None else json.loads(state)
         for event in ready:
             last = event.us
             for out in self.fold.step(state, event):
                 yield self.row(*key, *out)
         if late:
-            self.waiting.put([(e.us, e.place, e.event_type, e.actor, e.value) for e in late])
-            self.handle.registerTimer(min(e.us for e in late) // 1000)
-        else:
+            self.waiting.put([(pickle.dumps(late[at : at + PIECE]),) for at in range(0, len(late), PIECE)])
+            self.handle.registerTimer(min(late, key=itemgetter(0))[0] // 1000)
+        elif held:
             self.waiting.clear()
         if last is None:
             return

@@ -6,6 +6,7 @@ import datetime as dt
 import random
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from eventloom.operators import state as B
@@ -101,3 +102,79 @@ def test_drops(streamed, events):
     found, _ = streamed(S.DropsBelow(25.0))
     want = B.drops_below(events, "value", 25.0, ["game_id", "actor"]).withColumnRenamed("sequence_idx", "place")
     assert lines(found, ["game_id", "place", "actor", "value"]) == lines(want, ["game_id", "place", "actor", "value"])
+
+
+class Counted:
+    """State of one game that counts what is written."""
+
+    def __init__(self):
+        self.rows, self.value, self.timers, self.writes = [], None, [], 0
+
+    def getListState(self, name, schema):
+        return self
+
+    def getValueState(self, name, schema):
+        return Value(self)
+
+    def appendValue(self, row):
+        self.writes += 1
+        self.rows.append(row)
+
+    def appendList(self, rows):
+        self.put([*self.rows, *rows])
+
+    def put(self, rows):
+        self.writes += len(rows)
+        self.rows = list(rows)
+
+    def exists(self):
+        return bool(self.rows)
+
+    def get(self):
+        return iter(self.rows)
+
+    def clear(self):
+        self.rows = []
+
+    def registerTimer(self, ms):
+        self.timers.append(ms)
+
+    def getCurrentWatermarkInMs(self):
+        return self.passed
+
+
+class Value:
+    def __init__(self, kept):
+        self.kept = kept
+
+    def exists(self):
+        return self.kept.value is not None
+
+    def get(self):
+        return self.kept.value
+
+    def update(self, row):
+        self.kept.value = row
+
+    def clear(self):
+        self.kept.value = None
+
+
+def test_waiting_events_share_state_rows():
+    """10,000 events of a game wait in few rows of state, and those the watermark hasn't passed wait on in few."""
+    kept, processor = Counted(), S.InEventOrder(S.RunningCounts("x"), ["game_id", "place", "actor", "n"], 10**12)
+    processor.init(kept)
+    columns = Row("game_id", "ts", "us", "place", "event_type", "actor", "value")
+    made = [columns(1, None, 1_000 * (i * 7_919 % 10_000), i if i % 3 else None, "x", "a" if i % 2 else None, float("nan")) for i in range(10_000)]
+    assert list(processor.handleInputRows((1,), iter(made), kept)) == []
+    assert kept.writes <= 3 and kept.timers == [0]
+    kept.passed = 3_999
+    first = list(processor.handleExpiredTimer((1,), kept, None))
+    assert len(first) == 4_000 and kept.writes <= 5 and kept.timers[1] == 4_000
+    kept.passed = 10_000
+    found = first + list(processor.handleExpiredTimer((1,), kept, None))
+    in_order, seen, want = sorted(made, key=lambda r: r["us"]), {}, []
+    for r in in_order:
+        seen[r["actor"]] = seen.get(r["actor"], 0) + 1
+        want.append((1, r["place"], r["actor"], seen[r["actor"]]))
+    assert [tuple(r) for r in found] == want and not kept.rows
