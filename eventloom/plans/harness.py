@@ -140,10 +140,15 @@ def passing(members: DataFrame, floor: float = V.GATE_FLOOR) -> DataFrame:
 def rendered(members: DataFrame) -> DataFrame:
     """game_id, cell, chain_id, text: every event in its cell's own line."""
     key = ["game_id", "chain_id"]
-    first = members.groupBy(*key, "actor").agg(F.min("slot").alias("_first"))
-    named = first.withColumn("player", F.concat(F.lit("Player_"), (F.row_number().over(Window.partitionBy(*key).orderBy("_first")) - 1).cast("string"))).drop("_first")
-    names = named.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("actor", "player"))).alias("_names"))
-    lines = stored(R.with_fields(members.join(named, [*key, "actor"]).join(names, key)), "event-lines")
+    # A chain's few actors in the order of their first events, by one window that needs no second pass over the members.
+    chain = F.array_sort(F.collect_list(F.struct("slot", "actor")).over(Window.partitionBy(*key)))
+    listed = members.withColumn("_actors", F.array_distinct(F.transform(chain, lambda x: x["actor"])))
+    name = lambda place: F.concat(F.lit("Player_"), place.cast("string"))
+    named = listed.withColumns({
+        "player": name(F.array_position("_actors", F.col("actor")) - 1),
+        "_names": F.map_from_entries(F.transform("_actors", lambda x, i: F.struct(x.alias("actor"), name(i).alias("player")))),
+    })
+    lines = stored(R.with_fields(named.select("cell", *key, "slot", "timestamp", "event_type", "actor_team", "context", "player", "_names")), "event-lines")
     of_name = lambda k: F.coalesce(F.element_at("_names", R.field(k)), R.field(k))
     told = None
     # One plan per cell: all cells' lines in one expression are too much code for a generated method.

@@ -98,3 +98,14 @@ def test_synthetic_pilot(spark):
     """The published sizes of a pilot over as many games."""
     rows = {r["cell"]: (r["n_streams"], r["n_events"], r["n_chains"]) for r in synthetic_pilot(spark, "").collect()}
     assert rows == {"fortnite": (200, 24_000, 8_000), "nba": (300, 55_200, 18_420), "csgo": (150, 45_000, 15_000), "rocket_league": (250, 50_000, 16_750)}
+
+
+def test_lines_name_actors_in_one_pass(spark, monkeypatch):
+    """Actors are named without a join of the members with themselves, in the order of their first events."""
+    rows = [("poker", 1, "c", i, float(i), "zone_enter", a, None, "{}") for i, a in enumerate("bab")]
+    members = spark.createDataFrame(rows, "cell string, game_id long, chain_id string, slot long, timestamp double, event_type string, actor string, actor_team string, context string")
+    held, plans = H.stored, []
+    monkeypatch.setattr(H, "stored", lambda df, name: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), held(df, name))[1])
+    text = H.rendered(members).first()["text"].split("\n")
+    assert [line.split("actor=")[1].split()[0] for line in text] == ["Player_0", "Player_1", "Player_0"]
+    assert plans and "Join" not in plans[0]
