@@ -1,16 +1,22 @@
 """Token ids in checksummed blocks, coded by an adaptive context-mixing range coder.
 
-A frame of up to FRAME ids is coded on its own: all model state starts anew, and a CRC-32 of its ids is kept. Each id
-is first told by which order it is predicted: the id that followed the last two ids before (order 2), that followed the
-last one (order 1), or by adaptive frequencies over the frame's own ids (order 0). The probabilities of these decisions
-mix two adaptive estimates, one by the predictors' confidence and one by the last decisions, with a weight that follows
-whichever estimated better. All arithmetic is in integers, so files decode alike everywhere. Frames are coded side by
-side as lanes of numpy arrays, one id of every lane per step.
+A frame of up to FRAME ids is coded on its own: all model state starts anew, and a CRC-32 of its ids is kept. What
+followed the last two ids before (order 2), what followed the last one (order 1) and the frame's own frequencies (order 0)
+share one distribution: its weights are the mean of two adaptive estimates, one by the predictors' confidence and one by
+the last decisions. An id is coded as the first order that names it, in one step of three, and behind order 0 as a
+dictionary number by its frequency; the orders and the numbers have code words of their own, so that every step has work
+for all lanes. All arithmetic is exact, so files decode alike everywhere.
+
+A frame is cut into strips of up to STRIP ids, which are coded side by side as lanes of numpy arrays, one id of every lane
+per step. The strips of a frame share what it learns of contexts; of two that learn of one context in the same step, the
+later lane's word stands.
 
 Segment, a row of the file: magic, number of documents, how many of them, the first ones, have a null id, number of ids
 before it in its part, bytes of the index, the index (varints of the documents' id differences, zigzag, and of their
-lengths), then the frames. Frame: number of ids, number of distinct ids, bytes of
-the dictionary and of the code, CRC-32, dictionary (varint differences of the sorted ids), 16-bit code words.
+lengths), then the frames. Frame: number of ids, of distinct ids, bytes of the dictionary and of the strips' counts,
+CRC-32, dictionary (varint differences of the sorted ids), a half byte of frequency for each distinct id, counts (varints:
+each strip's ids of order 0, each strip's code words of the orders, each strip's of the numbers), 16-bit code words of the
+orders, and of the numbers, strip by strip.
 """
 
 from __future__ import annotations
@@ -21,27 +27,34 @@ from dataclasses import dataclass
 
 import numpy as np
 
-FRAME = 8_192
+FRAME, STRIP = 8_192, 1_024
 #: Frames coded side by side at most; bounds memory.
-LANES = 1_024
+LANES = 512
 #: Ids after which a segment is closed, behind the document that passes them.
 SEGMENT = 8 * FRAME
-MAGIC = b"CMR1"
+MAGIC = b"CMR2"
 HEAD = struct.Struct("<4sIIQI")
 FRAME_HEAD = struct.Struct("<IIIII")
 
-HI, LO, GAIN = 128, 64, 4
 SLOTS1, SLOTS2 = 2_048, 4_096
-#: Probabilities have 16 bits; the two estimates' weights add up to 16.
-BITS, WEIGHTS = 16, 16
+#: Bits of the shares of orders and of dictionary numbers.
+BITS, NUMBER_SHARE = 16, 14
+#: Frequencies that a half byte tells. Up to FRAME ids of them add up to less than all shares.
+LEVELS = np.array([1, 2, 3, 4, 5, 6, 8, 11, 16, 23, 32, 64, 128, 512, 2_048, 8_192])
+BETWEEN = (LEVELS[1:] + LEVELS[:-1]) / 2
 U64, U16 = np.uint64, np.uint16
 NUMBER_BITS = U16(13)
 NUMBER = U16((1 << 13) - 1)
-#: How sure a predictor is next, shifted to its place: after it was wrong at 0 to 3, then after it was right.
-NEXT_SURE = np.array([1, 1, 1, 2, 1, 2, 3, 3], U16) << NUMBER_BITS
-TOP, BOTTOM = U64(1 << 48), U64(1 << 32)
-STEPS_HI = ((np.arange(HI + 1) > np.arange(HI)[:, None]) * GAIN).astype(U16)
-STEPS_LO = ((np.arange(LO + 1) > np.arange(LO)[:, None]) * GAIN).astype(U16)
+#: A predictor's confidence, 0 to 3, stands above its guess: one step of it, its top, and from where a guess is kept once it was wrong.
+SURER, SUREST, SURE = U16(1 << 13), U16(3 << 13), U16(2 << 13)
+#: Two shares side by side: of order 2, and of orders 1 and 2 together. They move by a 32nd towards what was seen; the
+#: ends they move to leave room for each order.
+RATE, HALF = 5, 32
+RATE_MASK = (1 << 27) - 1 << HALF | (1 << 27) - 1
+TOWARDS = np.array([4 | 8 << HALF, 4 | 2_036 << HALF, 2_030 | 2_036 << HALF])
+START = 1 << 13 | 1 << 14 + HALF
+#: Bounds have 48 bits; a range below 32 shifts a word out.
+FULL, BOTTOM, WORD = (1 << 48) - 1, 1 << 32, 16
 
 
 # --- varints ---------------------------------------------------------------------------------------------------
@@ -72,207 +85,236 @@ def from_varints(data: np.ndarray, count: int) -> tuple[np.ndarray, int]:
 
 
 # --- the model and the coder, for lanes -------------------------------------------------------------------------
-class Flag:
-    """Adaptive probabilities of one yes-or-no decision per lane: by the predictors' confidence and by the last
-    decisions, mixed with a weight that follows the better one."""
-
-    def __init__(self, lanes: int) -> None:
-        self.by_trust = np.full(lanes * 16, 1 << 13, np.int64)
-        self.by_past = np.full(lanes * 16, 1 << 13, np.int64)
-        self.weight, self.past = np.full(lanes, WEIGHTS // 2), np.zeros(lanes, np.int64)
-
-    def chance(self, lanes: np.ndarray, trust: np.ndarray) -> np.ndarray:
-        self.before, place = self.past[lanes], lanes << 4
-        self.at, self.behind = place + trust, place + self.before
-        self.a, self.b, self.w = self.by_trust[self.at], self.by_past[self.behind], self.weight[lanes]
-        mean = (self.a * self.w + self.b * (WEIGHTS - self.w)) >> 4
-        # Neither answer is impossible.
-        return mean - (mean >> 10) + 32
-
-    def learn(self, lanes: np.ndarray, yes: np.ndarray) -> None:
-        a, b, to = self.a, self.b, yes.astype(np.int64) << BITS
-        self.by_trust[self.at] = a + ((to - a) >> 5)
-        self.by_past[self.behind] = b + ((to - b) >> 4)
-        better = ((a >= b) == yes).astype(np.int64)
-        self.weight[lanes] = np.minimum(np.maximum(self.w + (better << 1) - 1, 1), WEIGHTS - 1)
-        self.past[lanes] = (self.before << 1 & 15) | yes
-
-
-class Lanes:
-    """Model and coder state of frames side by side, longest first; the first `n` of them are still running."""
-
-    def __init__(self, sizes: np.ndarray, distinct: np.ndarray) -> None:
-        n = len(sizes)
-        groups = -(-distinct // LO)
-        self.hi = np.minimum(np.arange(HI + 1), groups[:, None]).astype(U16)
-        per = np.clip(distinct[:, None] - np.arange(HI) * LO, 0, LO)
-        self.lo = np.minimum(np.arange(LO + 1), per[:, :, None]).astype(U16).reshape(n * HI, LO + 1)
+class Strips:
+    """The strips of frames: of frame k those from `begin[k]` on. Lanes are strips by falling length, in `order`; `lane`
+    tells each strip's."""
+
+    def __init__(self, sizes: np.ndarray) -> None:
+        per = -(-sizes // STRIP)
+        self.begin = np.cumsum(per) - per
+        self.frame = np.repeat(np.arange(len(sizes)), per)
+        self.n = len(self.frame)
+        self.sizes = np.minimum(sizes[self.frame] - (np.arange(self.n) - self.begin[self.frame]) * STRIP, STRIP)
+        self.order, self.lane, self.running = lanes_of(self.sizes)
+
+
+def lanes_of(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """The order of sizes by falling size, each one's place in it, and how many are left in each step."""
+    order = np.argsort(-sizes, kind="stable")
+    lane = np.empty_like(order)
+    lane[order] = np.arange(len(order))
+    return order, lane, np.searchsorted(-sizes[order], -np.arange(int(sizes.max())), side="left").tolist()
+
+
+class Orders:
+    """What orders 1 and 2 guess in lanes, and the shares of the orders; the first `n` lanes are still running."""
+
+    def __init__(self, frame: np.ndarray) -> None:
+        lanes, frames = len(frame), int(frame.max()) + 1
         # What followed a context: a dictionary number of 13 bits and how sure it is, 0 to 3.
-        self.after1, self.after2 = np.zeros(n * SLOTS1, U16), np.zeros(n * SLOTS2, U16)
-        self.flag2, self.flag1 = Flag(n), Flag(n)
-        self.one, self.two = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        self.low, self.range = np.zeros(n, U64), np.full(n, (1 << 64) - 1, U64)
-        self.every = np.arange(n)
-
-    def guesses(self, n: int) -> None:
-        """What orders 1 and 2 predict for the next id of the first `n` lanes, and how sure they are."""
-        one, two, rows = self.one[:n], self.two[:n], self.every[:n]
-        self.slot1 = rows * SLOTS1 + (one & (SLOTS1 - 1))
-        self.slot2 = rows * SLOTS2 + ((two * 5741 + one * 31) & (SLOTS2 - 1))
+        self.after1, self.after2 = np.zeros(frames * SLOTS1, U16), np.zeros(frames * SLOTS2, U16)
+        self.by_trust, self.by_past = np.full(lanes * 16, START), np.full(lanes * 16, START)
+        self.first1, self.first2, self.first = frame * SLOTS1, frame * SLOTS2, np.arange(lanes) * 16
+        self.one, self.two, self.past = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64), np.zeros(lanes, np.uint8)
+
+    def guesses(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """The share of order 2, and of orders 1 and 2 together, for the next id of the first `n` lanes."""
+        one, first = self.one[:n], self.first[:n]
+        self.slot1 = (one & (SLOTS1 - 1)) + self.first1[:n]
+        self.slot2 = ((self.two[:n] + one * 31) & (SLOTS2 - 1)) + self.first2[:n]
         self.v1, self.v2 = self.after1[self.slot1], self.after2[self.slot2]
         self.guess1, self.guess2 = self.v1 & NUMBER, self.v2 & NUMBER
-        self.s1, self.s2 = self.v1 >> NUMBER_BITS, self.v2 >> NUMBER_BITS
-        self.trust = ((self.s2 << U16(2)) | self.s1).astype(np.int64)
-
-    def learned(self, n: int, ids: np.ndarray, short: np.ndarray) -> None:
-        for after, slot, guess, s in ((self.after1, self.slot1, self.guess1, self.s1), (self.after2, self.slot2, self.guess2, self.s2)):
-            right = guess == short
-            after[slot] = np.where(right | (s > 1), guess, short) | NEXT_SURE[s + (right.view(np.uint8) << 2)]
-        self.two[:n] = self.one[:n]
+        self.at_trust = first + ((self.v2 >> NUMBER_BITS << U16(2)) | (self.v1 >> NUMBER_BITS))
+        self.at_past = first + self.past[:n]
+        self.a, self.b = self.by_trust[self.at_trust], self.by_past[self.at_past]
+        both = (self.a + self.b) >> 1
+        return both & 0xFFFF, both >> HALF
+
+    def learned(self, n: int, second: np.ndarray, named: np.ndarray, ids: np.ndarray) -> None:
+        """The next ids, whether order 2, and whether any of orders 1 and 2, was told to name them."""
+        order = second.view(np.uint8) + named.view(np.uint8)
+        to = TOWARDS[order]
+        self.by_trust[self.at_trust] = self.a - (self.a >> RATE & RATE_MASK) + to
+        self.by_past[self.at_past] = self.b - (self.b >> RATE & RATE_MASK) + to
+        self.past[:n] = (self.past[:n] << 2 & 15) | order
+        new = ids | SURER
+        for after, slot, v, guess in ((self.after1, self.slot1, self.v1, self.guess1), (self.after2, self.slot2, self.v2, self.guess2)):
+            right = np.minimum(v + SURER, v | SUREST)
+            wrong = np.where(v >= SURE, v - SURER, new)
+            after[slot] = np.where(guess == ids, right, wrong)
+        np.multiply(self.one[:n], 5_741, out=self.two[:n])
         self.one[:n] = ids
 
-    def narrowed(self, lanes: np.ndarray, low: np.ndarray, rng: np.ndarray) -> None:
-        """Stores new bounds; lanes whose top 16 bits are settled, or whose range got too small, shift them out."""
-        self.low[lanes], self.range[lanes] = low, rng
-        while True:
-            same = (low ^ (low + rng)) < TOP
-            go = np.flatnonzero(same | (rng < BOTTOM))
-            if not len(go):
-                return
-            lanes, low, rng, same = lanes[go], low[go], rng[go], same[go]
-            if not same.all():
-                cut = np.flatnonzero(~same)
-                rng[cut] = (U64(0) - low[cut]) & (BOTTOM - U64(1))
-            self.shift(lanes, low)
-            low, rng = low << U64(16), rng << U64(16)
-            self.low[lanes], self.range[lanes] = low, rng
-
-
-class Writer(Lanes):
-    def __init__(self, sizes: np.ndarray, distinct: np.ndarray) -> None:
-        super().__init__(sizes, distinct)
-        self.width = 3 * int(sizes.max()) + 8
-        self.at = self.every * self.width
-        self.out = np.zeros(len(sizes) * self.width, U16)
-
-    def shift(self, lanes: np.ndarray, low: np.ndarray) -> None:
-        at = self.at[lanes]
-        self.out[at] = low >> U64(48)
-        self.at[lanes] = at + 1
-
-    def decide(self, lanes: np.ndarray, chance: np.ndarray, yes: np.ndarray) -> None:
-        low, rng = self.low[lanes], self.range[lanes]
-        bound = (rng >> U64(BITS)) * chance.view(U64)
-        self.narrowed(lanes, np.where(yes, low, low + bound), np.where(yes, bound, rng - bound))
-
-    def put(self, lanes: np.ndarray, row: np.ndarray, symbol: np.ndarray) -> None:
-        """A symbol by its row of cumulative frequencies."""
-        at = np.arange(len(lanes))
-        first = row[at, symbol].astype(U64)
-        share = self.range[lanes] // row[:, -1].astype(U64)
-        self.narrowed(lanes, self.low[lanes] + first * share, (row[at, symbol + 1].astype(U64) - first) * share)
-
-
-class Reader(Lanes):
-    def __init__(self, sizes: np.ndarray, distinct: np.ndarray, words: np.ndarray) -> None:
-        super().__init__(sizes, distinct)
-        self.words = words.ravel()
-        self.at = self.every * words.shape[1] + 4
-        self.code = np.zeros(len(sizes), U64)
-        for k in range(4):
-            self.code = self.code << U64(16) | words[:, k].astype(U64)
-
-    def shift(self, lanes: np.ndarray, low: np.ndarray) -> None:
-        at = self.at[lanes]
-        self.code[lanes] = self.code[lanes] << U64(16) | self.words[at].astype(U64)
-        self.at[lanes] = at + 1
-
-    def decide(self, lanes: np.ndarray, chance: np.ndarray) -> np.ndarray:
-        low, rng = self.low[lanes], self.range[lanes]
-        bound = (rng >> U64(BITS)) * chance.view(U64)
-        yes = self.code[lanes] - low < bound
-        self.narrowed(lanes, np.where(yes, low, low + bound), np.where(yes, bound, rng - bound))
-        return yes
-
-    def take(self, lanes: np.ndarray, row: np.ndarray) -> np.ndarray:
-        low, share = self.low[lanes], self.range[lanes] // row[:, -1].astype(U64)
-        target = np.minimum((self.code[lanes] - low) // share, row[:, -1] - U64(1)).astype(U16)
-        symbol = (row[:, 1:] <= target[:, None]).view(np.uint8).sum(1, dtype=np.uint8).astype(np.int64)
-        at = np.arange(len(lanes))
-        first = row[at, symbol].astype(U64)
-        self.narrowed(lanes, low + first * share, (row[at, symbol + 1].astype(U64) - first) * share)
-        return symbol
-
-
-def coded(symbols: list[np.ndarray], distinct: np.ndarray) -> list[bytes]:
-    """The code words of frames of dictionary numbers, sorted by falling length."""
-    sizes = np.array([len(s) for s in symbols])
-    grid = np.zeros((int(sizes.max()), len(symbols)), U16)
-    for k, s in enumerate(symbols):
-        grid[: len(s), k] = s
-    w = Writer(sizes, distinct)
-    running = np.searchsorted(-sizes, -np.arange(len(grid)), side="left")
-    for step in range(len(grid)):
-        n = int(running[step])
-        short, lanes = grid[step, :n], w.every[:n]
-        ids = short.astype(np.int64)
-        w.guesses(n)
-        yes = w.guess2 == short
-        w.decide(lanes, w.flag2.chance(lanes, w.trust), yes)
-        w.flag2.learn(lanes, yes)
-        left = np.flatnonzero(~yes)
-        if len(left):
-            yes = w.guess1[left] == short[left]
-            w.decide(left, w.flag1.chance(left, w.trust[left]), yes)
-            w.flag1.learn(left, yes)
-            left = left[~yes]
-        if len(left):
-            hi, lo = ids[left] // LO, ids[left] % LO
-            row = w.hi[left]
-            w.put(left, row, hi)
-            w.hi[left] = row + STEPS_HI[hi]
-            row = w.lo[at := left * HI + hi]
-            w.put(left, row, lo)
-            w.lo[at] = row + STEPS_LO[lo]
-        w.learned(n, ids, short)
-    words = []
-    for k in range(len(symbols)):
-        last = [int(w.low[k]) >> shift & 0xFFFF for shift in (48, 32, 16, 0)]
-        words.append(w.out[k * w.width : w.at[k]].astype("<u2").tobytes() + np.array(last, "<u2").tobytes())
-    return words
-
-
-def decoded(words: list[bytes], sizes: np.ndarray, distinct: np.ndarray) -> list[np.ndarray]:
+
+class Writer:
+    """Range coders side by side. A word that a later carry changes is mended at the end."""
+
+    def __init__(self, lanes: int, steps: int) -> None:
+        self.first = np.arange(lanes) * (steps + 4)
+        self.at, self.out = self.first.copy(), np.zeros(lanes * (steps + 4), np.uint32)
+        self.low, self.range = np.zeros(lanes, np.int64), np.full(lanes, FULL)
+
+    def put(self, n: int, above: np.ndarray, size: np.ndarray) -> None:
+        """Narrows the first `n` lanes to `size`, beginning `above` their lower bounds."""
+        low = self.low[:n] + above
+        go = size < BOTTOM
+        # Written in each lane; where no word is settled yet, the next one overwrites it.
+        self.out[self.at[:n]] = low >> 32
+        self.at[:n] += go
+        self.low[:n] = np.where(go, (low & (BOTTOM - 1)) << WORD, low)
+        self.range[:n] = np.where(go, size << WORD, size)
+
+    def words(self, lane: np.ndarray) -> tuple[np.ndarray, bytes]:
+        """How many code words each lane has, and all of them, both in the order of `lane`."""
+        for shift in (32, 16, 0):
+            word = self.low >> shift
+            self.out[self.at] = word if shift == 32 else word & 0xFFFF
+            self.at += 1
+        over = np.flatnonzero(self.out > 0xFFFF)
+        while len(over):
+            self.out[over] -= 1 << WORD
+            over -= 1
+            self.out[over] += 1
+            over = over[self.out[over] > 0xFFFF]
+        short = self.out.astype("<u2")
+        ends = zip(self.first[lane].tolist(), self.at[lane].tolist(), strict=True)
+        return (self.at - self.first)[lane], b"".join([short[a:b].tobytes() for a, b in ends])
+
+
+class Reader:
+    """The inverse of `Writer`, from all words, in the order of strips, and how many each has: `above` is how far the code
+    lies above the lower bound."""
+
+    def __init__(self, words: bytes, counts: np.ndarray, order: np.ndarray) -> None:
+        self.code = np.frombuffer(words, "<u2")
+        self.at = (np.cumsum(counts) - counts)[order]
+        self.above, self.range = np.zeros(len(order), np.int64), np.full(len(order), FULL)
+        for _ in range(3):
+            self.above = self.above << WORD | self.code.take(self.at, mode="clip")
+            self.at += 1
+
+    def taken(self, n: int, above: np.ndarray, size: np.ndarray) -> None:
+        """Narrows the first `n` lanes as `Writer.put` did; `above` is measured from the new lower bounds."""
+        go = size < BOTTOM
+        # A broken code may run beyond the words; its sum tells.
+        word = self.code.take(self.at[:n], mode="clip")
+        self.at[:n] += go
+        self.above[:n] = np.where(go, above << WORD | word, above)
+        self.range[:n] = np.where(go, size << WORD, size)
+
+
+def shares(levels: np.ndarray, distinct: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For the dictionary numbers of all frames in a row: the sum of the shares before each in its frame, and its share.
+    The shares of a frame add up to 1 << NUMBER_SHARE, and none is 0."""
+    sums = np.concatenate([[0], np.cumsum(LEVELS[levels])])
+    ends = np.cumsum(distinct)
+    start = sums[ends - distinct]
+    start, total = np.repeat(start, distinct), np.repeat(sums[ends] - start, distinct)
+    before = (sums[:-1] - start << NUMBER_SHARE) // total
+    return before, (sums[1:] - start << NUMBER_SHARE) // total - before
+
+
+@dataclass
+class Code:
+    """Frames side by side: frequencies of all their dictionary numbers, and of each strip the ids of order 0, the code words
+    of orders and those of numbers."""
+
+    levels: np.ndarray
+    rest: np.ndarray
+    n_orders: np.ndarray
+    n_numbers: np.ndarray
+    orders: bytes
+    numbers: bytes
+
+
+def coded(symbols: list[np.ndarray], distinct: np.ndarray) -> Code:
+    """Frames of dictionary numbers."""
+    s = Strips(np.array([len(x) for x in symbols]))
+    flat = np.zeros(s.n * STRIP, U16)
+    for at, x in zip((s.begin * STRIP).tolist(), symbols, strict=True):
+        flat[at : at + len(x)] = x
+    grid = flat.reshape(s.n, STRIP)[s.order, : len(s.running)].T.copy()
+    rest = np.zeros(grid.shape, bool)
+    orders, w = Orders(s.frame[s.order]), Writer(s.n, len(grid))
+    for step, n in enumerate(s.running):
+        ids = grid[step, :n]
+        two, both = orders.guesses(n)
+        second = orders.guess2 == ids
+        named = second | (orders.guess1 == ids)
+        share = w.range[:n] >> BITS
+        two *= share
+        both *= share
+        above = np.where(named, two, both) * ~second
+        w.put(n, above, np.where(named, np.where(second, two, both), w.range[:n]) - above)
+        orders.learned(n, second, named, ids)
+        np.logical_not(named, out=rest[step, :n])
+    left = rest.T[s.lane]
+    counts, numbers = left.sum(1), flat.reshape(s.n, STRIP)[:, : len(grid)][left]
+    # Dictionary numbers from here on run through all frames.
+    numbers = numbers + np.repeat((np.cumsum(distinct) - distinct)[s.frame], counts)
+    levels = np.searchsorted(BETWEEN, np.bincount(numbers, minlength=int(distinct.sum()))).astype(np.uint8)
+    return Code(levels, counts, *alternately(w.words(s.lane), numbers_coded(numbers, counts, *shares(levels, distinct))))
+
+
+def alternately(orders: tuple[np.ndarray, bytes], numbers: tuple[np.ndarray, bytes]) -> tuple[np.ndarray, np.ndarray, bytes, bytes]:
+    return orders[0], numbers[0], orders[1], numbers[1]
+
+
+def numbers_coded(numbers: np.ndarray, counts: np.ndarray, before: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, bytes]:
+    _, lane, running = lanes_of(counts)
+    grid = np.zeros((len(running), len(counts)), np.int32)
+    place = np.arange(len(numbers)) - np.repeat(np.cumsum(counts) - counts, counts)
+    grid[place, np.repeat(lane, counts)] = numbers
+    w = Writer(len(counts), len(grid))
+    both = before << 15 | size
+    for step, n in enumerate(running):
+        share, x = w.range[:n] >> NUMBER_SHARE, both[grid[step, :n]]
+        w.put(n, (x >> 15) * share, (x & 0x7FFF) * share)
+    return w.words(lane)
+
+
+def numbers_decoded(code: Code, distinct: np.ndarray, frame: np.ndarray) -> np.ndarray:
+    """The dictionary numbers of order 0 of all strips in a row."""
+    order, lane, running = lanes_of(code.rest)
+    before, size = shares(code.levels, distinct)
+    first = np.cumsum(distinct) - distinct
+    number = np.repeat((np.arange(len(size)) - np.repeat(first, distinct)).astype(U16), size)
+    both, first, base = before << 15 | size, first[frame[order]], frame[order] << NUMBER_SHARE
+    r, found = Reader(code.numbers, code.n_numbers, order), np.zeros((len(running), len(order)), U16)
+    for step, n in enumerate(running):
+        above, share = r.above[:n], r.range[:n] >> NUMBER_SHARE
+        # Both have at most 48 bits, so the double's whole part is exact.
+        at = np.minimum((above / share).astype(np.int64), (1 << NUMBER_SHARE) - 1)
+        found[step, :n] = x = number[at + base[:n]]
+        x = both[x + first[:n]]
+        r.taken(n, above - (x >> 15) * share, (x & 0x7FFF) * share)
+    return found.T[lane][np.arange(len(running)) < code.rest[:, None]]
+
+
+def decoded(code: Code, sizes: np.ndarray, distinct: np.ndarray) -> list[np.ndarray]:
     """The inverse of `coded`."""
-    code = np.zeros((len(words), max(len(x) for x in words) // 2 + 4), U16)
-    for k, x in enumerate(words):
-        code[k, : len(x) // 2] = np.frombuffer(x, "<u2")
-    r = Reader(sizes, distinct, code)
-    grid = np.zeros((int(sizes.max()), len(words)), U16)
-    running = np.searchsorted(-sizes, -np.arange(len(grid)), side="left")
-    for step in range(len(grid)):
-        n = int(running[step])
-        lanes = r.every[:n]
-        r.guesses(n)
-        yes = r.decide(lanes, r.flag2.chance(lanes, r.trust))
-        r.flag2.learn(lanes, yes)
-        ids = np.where(yes, r.guess2, r.guess1).astype(np.int64)
-        left = np.flatnonzero(~yes)
-        if len(left):
-            yes = r.decide(left, r.flag1.chance(left, r.trust[left]))
-            r.flag1.learn(left, yes)
-            left = left[~yes]
-        if len(left):
-            row = r.hi[left]
-            hi = r.take(left, row)
-            r.hi[left] = row + STEPS_HI[hi]
-            row = r.lo[at := left * HI + hi]
-            lo = r.take(left, row)
-            r.lo[at] = row + STEPS_LO[lo]
-            ids[left] = hi * LO + lo
+    s = Strips(sizes)
+    # One more behind them, so that the next one can be looked at in every step.
+    numbers = np.append(numbers_decoded(code, distinct, s.frame), U16(0))
+    at = (np.cumsum(code.rest) - code.rest)[s.order]
+    orders, r = Orders(s.frame[s.order]), Reader(code.orders, code.n_orders, s.order)
+    grid = np.zeros((len(s.running), s.n), U16)
+    for step, n in enumerate(s.running):
+        two, both = orders.guesses(n)
+        share, above = r.range[:n] >> BITS, r.above[:n]
+        two *= share
+        both *= share
+        second, named = above < two, above < both
+        ids = np.where(named, np.where(second, orders.guess2, orders.guess1), numbers.take(at[:n], mode="clip"))
+        at[:n] += ~named
+        start = np.where(named, two, both) * ~second
+        r.taken(n, above - start, np.where(named, np.where(second, two, both), r.range[:n]) - start)
+        orders.learned(n, second, named, ids)
         grid[step, :n] = ids
-        r.learned(n, ids, grid[step, :n])
-    return [grid[: sizes[k], k] for k in range(len(words))]
+    flat = np.zeros((s.n, STRIP), U16)
+    flat[:, : len(grid)] = grid.T[s.lane]
+    flat = flat.ravel()
+    return [flat[a : a + n] for a, n in zip((s.begin * STRIP).tolist(), sizes.tolist(), strict=True)]
 
 
 # --- frames and segments -----------------------------------------------------------------------------------------
@@ -286,21 +328,48 @@ class Segment:
     nulls: int = 0
 
 
+def named(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ids in order and each id's number among them."""
+    top = int(ids.max()) + 1
+    if top > 1 << 20:
+        return np.unique(ids, return_inverse=True)
+    seen, number = np.zeros(top, bool), np.empty(top, U16)
+    seen[ids] = True
+    found = np.flatnonzero(seen)
+    number[found] = np.arange(len(found))
+    return found, number[ids]
+
+
 def frames_of(chunks: list[np.ndarray]) -> list[bytes]:
-    """Each chunk of at most FRAME ids as a frame; LANES of like length at a time."""
-    out: list[bytes] = [b""] * len(chunks)
-    order = sorted(range(len(chunks)), key=lambda i: -len(chunks[i]))
-    for start in range(0, len(order), LANES):
-        group = order[start : start + LANES]
-        dictionaries, symbols = zip(*(np.unique(chunks[i], return_inverse=True) for i in group), strict=True)
-        distinct = np.array([len(d) for d in dictionaries])
-        for i, d, words in zip(group, dictionaries, coded(list(symbols), distinct), strict=True):
-            names = varints(np.diff(d.astype(np.int64), prepend=0))
-            crc = zlib.crc32(chunks[i].astype("<u4").tobytes())
-            out[i] = FRAME_HEAD.pack(len(chunks[i]), len(d), len(names), len(words), crc) + names + words
+    """Each chunk of at most FRAME ids as a frame; LANES at a time."""
+    out = []
+    for at in range(0, len(chunks), LANES):
+        group = chunks[at : at + LANES]
+        dictionaries, symbols = zip(*map(named, group), strict=True)
+        code = coded(list(symbols), np.array([len(d) for d in dictionaries]))
+        dictionary = strip = orders = numbers = 0
+        for ids, d in zip(group, dictionaries, strict=True):
+            its = slice(strip, strip := strip + -(-len(ids) // STRIP))
+            counts = varints(np.concatenate([code.rest[its], code.n_orders[its], code.n_numbers[its]]))
+            told = code.orders[orders : (orders := orders + 2 * int(code.n_orders[its].sum()))]
+            rest = code.numbers[numbers : (numbers := numbers + 2 * int(code.n_numbers[its].sum()))]
+            levels = halves(code.levels[dictionary : (dictionary := dictionary + len(d))])
+            names, crc = varints(np.diff(d.astype(np.int64), prepend=0)), zlib.crc32(ids.astype("<u4").tobytes())
+            out.append(b"".join([FRAME_HEAD.pack(len(ids), len(d), len(names), len(counts), crc), names, levels, counts, told, rest]))
     return out
 
 
+def halves(levels: np.ndarray) -> bytes:
+    """Values below 16, two in a byte, the first one low."""
+    even = np.zeros(len(levels) + 1 & ~1, np.uint8)
+    even[: len(levels)] = levels
+    return (even[::2] | even[1::2] << 4).tobytes()
+
+
+def from_halves(data: np.ndarray, count: int) -> np.ndarray:
+    return np.stack([data & 15, data >> 4], 1).ravel()[:count]
+
+
 def packed_segments(segments: list[Segment]) -> list[bytes]:
     cuts = [range(0, len(s.ids), FRAME) for s in segments]
     frames = iter(frames_of([s.ids[a : a + FRAME] for s, c in zip(segments, cuts, strict=True) for a in c]))
@@ -327,20 +396,26 @@ def unpacked_segments(rows: list[bytes]) -> list[Segment]:
         heads.append((np.cumsum(steps), lengths.astype(np.int64), before, nulls))
         at = HEAD.size + index
         while at < len(row):
-            n, distinct, names, words, crc = FRAME_HEAD.unpack_from(row, at)
+            n, distinct, names, counts, crc = FRAME_HEAD.unpack_from(row, at)
             at += FRAME_HEAD.size
-            gaps, _ = from_varints(data[at : at + names], distinct)
-            parts.append((k, n, np.cumsum(gaps.astype(np.int64)), row[at + names : at + names + words], crc))
-            at += names + words
-    ids: list[np.ndarray] = [np.empty(0)] * len(parts)
-    order = sorted(range(len(parts)), key=lambda i: -parts[i][1])
-    for start in range(0, len(order), LANES):
-        group = order[start : start + LANES]
-        found = decoded([parts[i][3] for i in group], np.array([parts[i][1] for i in group]), np.array([len(parts[i][2]) for i in group]))
-        for i, symbols in zip(group, found, strict=True):
-            if symbols.max() >= len(parts[i][2]) or zlib.crc32((x := parts[i][2][symbols].astype("<u4")).tobytes()) != parts[i][4]:
+            ends = np.cumsum([at, names, (distinct + 1) // 2, counts]).tolist()
+            gaps, _ = from_varints(data[at : ends[1]], distinct)
+            levels, strips = from_halves(data[ends[1] : ends[2]], distinct), -(-n // STRIP)
+            of = from_varints(data[ends[2] : ends[3]], 3 * strips)[0].astype(np.int64).reshape(3, strips)
+            middle = ends[3] + 2 * int(of[1].sum())
+            at = middle + 2 * int(of[2].sum())
+            if at > len(row):
+                raise ValueError("a frame runs beyond its segment")
+            parts.append((k, n, np.cumsum(gaps.astype(np.int64)), crc, Code(levels, *of, row[ends[3] : middle], row[middle:at])))
+    ids: list[np.ndarray] = []
+    for start in range(0, len(parts), LANES):
+        _, sizes, names, crcs, codes = zip(*parts[start : start + LANES], strict=True)
+        joined = [np.concatenate([getattr(c, x) for c in codes]) for x in ("levels", "rest", "n_orders", "n_numbers")]
+        code = Code(*joined, b"".join([c.orders for c in codes]), b"".join([c.numbers for c in codes]))
+        for symbols, name, crc in zip(decoded(code, np.array(sizes), np.array([len(x) for x in names])), names, crcs, strict=True):
+            if symbols.max() >= len(name) or zlib.crc32((x := name[symbols].astype("<u4")).tobytes()) != crc:
                 raise ValueError("a frame's sum doesn't match")
-            ids[i] = x
+            ids.append(x)
     whole: list[list[np.ndarray]] = [[] for _ in rows]
     for (k, *_), x in zip(parts, ids, strict=True):
         whole[k].append(x)
