@@ -184,13 +184,15 @@ def leakage(effects: DataFrame) -> DataFrame:
 def bootstrap(pairs: DataFrame, by: str, index: str, iterations: int = 200, seed: int = 42) -> DataFrame:
     """Per cell: lo and hi, 2.5 and 97.5 percentiles of the difference of accuracies over resamples.
 
-    A resample of n draws with replacement only depends on how often each of the n places is drawn; draws are keyed
-    hashes, so all resamples are one distributed aggregation over iterations x pairs with no random state.
+    Draws are keyed hashes, so all resamples are one distributed join of iterations x pairs places with the pairs at them,
+    with no random state. Draws stream past the pairs of their share of places and are summed at once: no task holds or
+    sorts them.
     """
     value = F.col("intervention_ok").cast("int") - F.col("baseline_ok").cast("int")
     ranked = with_ordinals(pairs.select(by, index, value.alias("v")), [by], [index], "at", "n")
     draws = ranked.select(by, F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("iteration"), "at", "n")
     key = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col("iteration"), F.col(by), F.col("at")).cast("binary")), 1, 12), 16, 10).cast("long")
-    taken = draws.select(by, "iteration", (key % F.col("n")).alias("at"), "n").groupBy(by, "iteration", "at").agg(F.count("*").alias("k"), F.first("n").alias("n"))
-    means = taken.join(ranked.select(by, "at", "v"), [by, "at"]).groupBy(by, "iteration").agg((F.sum(F.col("k") * F.col("v")).cast("double") / F.first("n")).alias("delta"))
+    taken = draws.select(by, "iteration", (key % F.col("n")).alias("at"))
+    drawn = taken.join(ranked.select(by, "at", "v", "n").hint("shuffle_hash"), [by, "at"])
+    means = drawn.groupBy(by, "iteration").agg((F.sum("v").cast("double") / F.first("n")).alias("delta"))
     return means.groupBy(by).agg(F.percentile("delta", 0.025).alias("lo"), F.percentile("delta", 0.975).alias("hi"))
