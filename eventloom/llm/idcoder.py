@@ -29,7 +29,7 @@ import numpy as np
 
 FRAME, STRIP = 8_192, 1_024
 #: Frames coded side by side at most; bounds memory.
-LANES = 512
+LANES = 1_024
 #: Ids after which a segment is closed, behind the document that passes them.
 SEGMENT = 8 * FRAME
 MAGIC = b"CMR2"
@@ -49,10 +49,11 @@ NUMBER = U16((1 << 13) - 1)
 SURER, SUREST, SURE = U16(1 << 13), U16(3 << 13), U16(2 << 13)
 #: Two shares side by side: of order 2, and of orders 1 and 2 together. They move by a 32nd towards what was seen; the
 #: ends they move to leave room for each order.
-RATE, HALF = 5, 32
-RATE_MASK = (1 << 27) - 1 << HALF | (1 << 27) - 1
-TOWARDS = np.array([4 | 8 << HALF, 4 | 2_036 << HALF, 2_030 | 2_036 << HALF])
+U32, HALF = np.uint32, 16
+RATE, RATE_MASK = U32(5), U32((1 << 11) - 1 << HALF | (1 << 11) - 1)
+TOWARDS = np.array([4 | 8 << HALF, 4 | 2_036 << HALF, 2_030 | 2_036 << HALF], U32)
 START = 1 << 13 | 1 << 14 + HALF
+LOW, HALVES = U32((1 << HALF) - 1), U32((1 << 15) - 1 << HALF | (1 << 15) - 1)
 #: Bounds have 48 bits; a range below 32 shifts a word out.
 FULL, BOTTOM, WORD = (1 << 48) - 1, 1 << 32, 16
 
@@ -60,17 +61,28 @@ FULL, BOTTOM, WORD = (1 << 48) - 1, 1 << 32, 16
 # --- varints ---------------------------------------------------------------------------------------------------
 def varints(values: np.ndarray) -> bytes:
     """Unsigned 64-bit values, 7 bits a byte, low bits first, the high bit set on all but a value's last byte."""
+    return varint_rows(values, np.array([len(values)]))[0]
+
+
+def varint_rows(values: np.ndarray, counts: np.ndarray) -> list[bytes]:
+    """So many values for each row."""
     v = np.asarray(values, U64)
     if not len(v):
-        return b""
+        return [b""] * len(counts)
     size = np.ones(len(v), np.int64)
+    top = int(v.max())
     for k in range(1, 10):
+        if top < 1 << 7 * k:
+            break
         size += v >= U64(1 << 7 * k)
     ends = np.cumsum(size)
     inside = np.arange(ends[-1]) - np.repeat(ends - size, size)
     out = (np.repeat(v, size) >> (inside * 7).astype(U64)) & U64(127)
-    out |= (inside < np.repeat(size, size) - 1).astype(U64) << U64(7)
-    return out.astype(np.uint8).tobytes()
+    more = np.ones(len(out), bool)
+    more[ends - 1] = False
+    out |= more.astype(U64) << U64(7)
+    data, cuts = out.astype(np.uint8).tobytes(), np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])].tolist()
+    return [data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
 def from_varints(data: np.ndarray, count: int) -> tuple[np.ndarray, int]:
@@ -78,7 +90,7 @@ def from_varints(data: np.ndarray, count: int) -> tuple[np.ndarray, int]:
     if not count:
         return np.empty(0, U64), 0
     last = np.flatnonzero(data < 128)[:count]
-    first = np.r_[0, last[:-1] + 1]
+    first = np.concatenate([[0], last[:-1] + 1])
     end = int(last[-1]) + 1
     inside = np.arange(end) - np.repeat(first, last - first + 1)
     return np.add.reduceat((data[:end].astype(U64) & U64(127)) << (inside * 7).astype(U64), first), end
@@ -107,43 +119,93 @@ def lanes_of(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[int]]:
 
 
 class Orders:
-    """What orders 1 and 2 guess in lanes, and the shares of the orders; the first `n` lanes are still running."""
+    """What orders 1 and 2 guess in lanes, and the shares of the orders; the first `n` lanes are still running.
+
+    Arrays of a step are written again in each."""
 
     def __init__(self, frame: np.ndarray) -> None:
         lanes, frames = len(frame), int(frame.max()) + 1
         # What followed a context: a dictionary number of 13 bits and how sure it is, 0 to 3.
         self.after1, self.after2 = np.zeros(frames * SLOTS1, U16), np.zeros(frames * SLOTS2, U16)
-        self.by_trust, self.by_past = np.full(lanes * 16, START), np.full(lanes * 16, START)
-        self.first1, self.first2, self.first = frame * SLOTS1, frame * SLOTS2, np.arange(lanes) * 16
-        self.one, self.two, self.past = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64), np.zeros(lanes, np.uint8)
+        self.by_trust, self.by_past = np.full(lanes * 16, START, U32), np.full(lanes * 16, START, U32)
+        long = [frame * SLOTS1, frame * SLOTS2, np.arange(lanes) * 16, *np.zeros((8, lanes), np.int64)]
+        self.whole = [*long, *np.zeros((4, lanes), U32), *np.zeros((8, lanes), U16), *np.zeros((2, lanes), np.uint8)]
+        self.n = -1
+
+    def running(self, n: int) -> None:
+        self.n = n
+        (
+            self.first1, self.first2, self.first, self.one, self.two, self.slot1, self.slot2, self.at_trust, self.at_past, self.share2, self.share,
+            self.a, self.b, self.x, self.y, self.v1, self.v2, self.guess1, self.guess2, self.t, self.u, self.w, self.ids, self.past, self.order,
+        ) = (x[:n] for x in self.whole)
 
     def guesses(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """The share of order 2, and of orders 1 and 2 together, for the next id of the first `n` lanes."""
-        one, first = self.one[:n], self.first[:n]
-        self.slot1 = (one & (SLOTS1 - 1)) + self.first1[:n]
-        self.slot2 = ((self.two[:n] + one * 31) & (SLOTS2 - 1)) + self.first2[:n]
-        self.v1, self.v2 = self.after1[self.slot1], self.after2[self.slot2]
-        self.guess1, self.guess2 = self.v1 & NUMBER, self.v2 & NUMBER
-        self.at_trust = first + ((self.v2 >> NUMBER_BITS << U16(2)) | (self.v1 >> NUMBER_BITS))
-        self.at_past = first + self.past[:n]
-        self.a, self.b = self.by_trust[self.at_trust], self.by_past[self.at_past]
-        both = (self.a + self.b) >> 1
-        return both & 0xFFFF, both >> HALF
+        if n != self.n:
+            self.running(n)
+        one, slot1, slot2, x, y, t, u = self.one, self.slot1, self.slot2, self.x, self.y, self.t, self.u
+        np.bitwise_and(one, SLOTS1 - 1, out=slot1)
+        slot1 += self.first1
+        np.multiply(one, 31, out=slot2)
+        slot2 += self.two
+        slot2 &= SLOTS2 - 1
+        slot2 += self.first2
+        self.after1.take(slot1, out=self.v1, mode="clip")
+        self.after2.take(slot2, out=self.v2, mode="clip")
+        np.bitwise_and(self.v1, NUMBER, out=self.guess1)
+        np.bitwise_and(self.v2, NUMBER, out=self.guess2)
+        np.right_shift(self.v2, NUMBER_BITS - U16(2), out=t)
+        t &= U16(12)
+        np.right_shift(self.v1, NUMBER_BITS, out=u)
+        t |= u
+        np.add(self.first, t, out=self.at_trust)
+        np.add(self.first, self.past, out=self.at_past)
+        self.by_trust.take(self.at_trust, out=self.a, mode="clip")
+        self.by_past.take(self.at_past, out=self.b, mode="clip")
+        # Their mean, rounded down on both sides.
+        np.bitwise_xor(self.a, self.b, out=x)
+        x >>= U32(1)
+        x &= HALVES
+        np.bitwise_and(self.a, self.b, out=y)
+        x += y
+        np.bitwise_and(x, LOW, out=self.share2)
+        np.right_shift(x, U32(HALF), out=self.share)
+        return self.share2, self.share
 
     def learned(self, n: int, second: np.ndarray, named: np.ndarray, ids: np.ndarray) -> None:
         """The next ids, whether order 2, and whether any of orders 1 and 2, was told to name them."""
-        order = second.view(np.uint8) + named.view(np.uint8)
-        to = TOWARDS[order]
-        self.by_trust[self.at_trust] = self.a - (self.a >> RATE & RATE_MASK) + to
-        self.by_past[self.at_past] = self.b - (self.b >> RATE & RATE_MASK) + to
-        self.past[:n] = (self.past[:n] << 2 & 15) | order
-        new = ids | SURER
+        order, x, y, t, u, w = self.order, self.x, self.y, self.t, self.u, self.w
+        np.add(second.view(np.uint8), named.view(np.uint8), out=order)
+        TOWARDS.take(order, out=y, mode="clip")
+        for table, at, share in ((self.by_trust, self.at_trust, self.a), (self.by_past, self.at_past, self.b)):
+            np.right_shift(share, RATE, out=x)
+            x &= RATE_MASK
+            share -= x
+            share += y
+            table[at] = share
+        self.past <<= 2
+        self.past &= 15
+        self.past |= order
+        np.bitwise_or(ids, SURER, out=self.ids)
         for after, slot, v, guess in ((self.after1, self.slot1, self.v1, self.guess1), (self.after2, self.slot2, self.v2, self.guess2)):
-            right = np.minimum(v + SURER, v | SUREST)
-            wrong = np.where(v >= SURE, v - SURER, new)
-            after[slot] = np.where(guess == ids, right, wrong)
-        np.multiply(self.one[:n], 5_741, out=self.two[:n])
-        self.one[:n] = ids
+            # Wrong: less sure, or, if it wasn't sure, the new one. Right: surer.
+            np.subtract(v, SURER, out=t)
+            chosen(v >= SURE, t, self.ids, w, u)
+            np.add(v, SURER, out=t)
+            v |= SUREST
+            np.minimum(t, v, out=t)
+            chosen(guess == ids, t, w, w, u)
+            after[slot] = w
+        np.multiply(self.one, 5_741, out=self.two)
+        self.one[:] = ids
+
+
+def chosen(test: np.ndarray, yes: np.ndarray, no: np.ndarray, out: np.ndarray, mask: np.ndarray) -> None:
+    """`yes` where the test holds, else `no`, of 16-bit values; `yes` is changed."""
+    np.multiply(test, U16(0xFFFF), out=mask)
+    yes ^= no
+    yes &= mask
+    np.bitwise_xor(yes, no, out=out)
 
 
 class Writer:
@@ -152,17 +214,24 @@ class Writer:
     def __init__(self, lanes: int, steps: int) -> None:
         self.first = np.arange(lanes) * (steps + 4)
         self.at, self.out = self.first.copy(), np.zeros(lanes * (steps + 4), np.uint32)
-        self.low, self.range = np.zeros(lanes, np.int64), np.full(lanes, FULL)
+        self.low, self.range, self.rest = np.zeros(lanes, np.int64), np.full(lanes, FULL), np.zeros(lanes, np.int64)
 
     def put(self, n: int, above: np.ndarray, size: np.ndarray) -> None:
         """Narrows the first `n` lanes to `size`, beginning `above` their lower bounds."""
-        low = self.low[:n] + above
+        low, at, rest = self.low[:n], self.at[:n], self.rest[:n]
+        low += above
         go = size < BOTTOM
         # Written in each lane; where no word is settled yet, the next one overwrites it.
-        self.out[self.at[:n]] = low >> 32
-        self.at[:n] += go
-        self.low[:n] = np.where(go, (low & (BOTTOM - 1)) << WORD, low)
-        self.range[:n] = np.where(go, size << WORD, size)
+        np.right_shift(low, 32, out=rest)
+        self.out[at] = rest
+        at += go
+        # What is settled leaves the lower bound.
+        rest <<= 32
+        rest *= go
+        low -= rest
+        np.multiply(go, WORD, out=rest)
+        low <<= rest
+        np.left_shift(size, rest, out=self.range[:n])
 
     def words(self, lane: np.ndarray) -> tuple[np.ndarray, bytes]:
         """How many code words each lane has, and all of them, both in the order of `lane`."""
@@ -198,9 +267,23 @@ class Reader:
         go = size < BOTTOM
         # A broken code may run beyond the words; its sum tells.
         word = self.code.take(self.at[:n], mode="clip")
+        word *= go
         self.at[:n] += go
-        self.above[:n] = np.where(go, above << WORD | word, above)
-        self.range[:n] = np.where(go, size << WORD, size)
+        shift = np.multiply(go, WORD, dtype=np.int64)
+        np.left_shift(above, shift, out=self.above[:n])
+        self.above[:n] |= word
+        np.left_shift(size, shift, out=self.range[:n])
+
+
+def bounds(second: np.ndarray, named: np.ndarray, two: np.ndarray, both: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the part of order 2, of order 1 or of order 0 begins, and its size. `two` and `both` are changed."""
+    size = np.where(second, two, np.where(named, both, whole))
+    # What lies below: nothing, order 2, or both.
+    two *= named & ~second
+    both *= ~named
+    both += two
+    size -= both
+    return both, size
 
 
 def shares(levels: np.ndarray, distinct: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -244,8 +327,8 @@ def coded(symbols: list[np.ndarray], distinct: np.ndarray) -> Code:
         share = w.range[:n] >> BITS
         two *= share
         both *= share
-        above = np.where(named, two, both) * ~second
-        w.put(n, above, np.where(named, np.where(second, two, both), w.range[:n]) - above)
+        above, size = bounds(second, named, two, both, w.range[:n])
+        w.put(n, above, size)
         orders.learned(n, second, named, ids)
         np.logical_not(named, out=rest[step, :n])
     left = rest.T[s.lane]
@@ -261,10 +344,10 @@ def alternately(orders: tuple[np.ndarray, bytes], numbers: tuple[np.ndarray, byt
 
 
 def numbers_coded(numbers: np.ndarray, counts: np.ndarray, before: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, bytes]:
-    _, lane, running = lanes_of(counts)
-    grid = np.zeros((len(running), len(counts)), np.int32)
-    place = np.arange(len(numbers)) - np.repeat(np.cumsum(counts) - counts, counts)
-    grid[place, np.repeat(lane, counts)] = numbers
+    order, lane, running = lanes_of(counts)
+    rows = np.zeros((len(counts), len(running)), np.int32)
+    rows[np.arange(len(running)) < counts[:, None]] = numbers
+    grid = rows[order].T.copy()
     w = Writer(len(counts), len(grid))
     both = before << 15 | size
     for step, n in enumerate(running):
@@ -307,8 +390,8 @@ def decoded(code: Code, sizes: np.ndarray, distinct: np.ndarray) -> list[np.ndar
         second, named = above < two, above < both
         ids = np.where(named, np.where(second, orders.guess2, orders.guess1), numbers.take(at[:n], mode="clip"))
         at[:n] += ~named
-        start = np.where(named, two, both) * ~second
-        r.taken(n, above - start, np.where(named, np.where(second, two, both), r.range[:n]) - start)
+        start, size = bounds(second, named, two, both, r.range[:n])
+        r.taken(n, above - start, size)
         orders.learned(n, second, named, ids)
         grid[step, :n] = ids
     flat = np.zeros((s.n, STRIP), U16)
@@ -346,15 +429,18 @@ def frames_of(chunks: list[np.ndarray]) -> list[bytes]:
     for at in range(0, len(chunks), LANES):
         group = chunks[at : at + LANES]
         dictionaries, symbols = zip(*map(named, group), strict=True)
-        code = coded(list(symbols), np.array([len(d) for d in dictionaries]))
+        distinct = np.array([len(d) for d in dictionaries])
+        code = coded(list(symbols), distinct)
+        gaps = np.diff(np.concatenate(dictionaries).astype(np.int64), prepend=0)
+        gaps[np.cumsum(distinct) - distinct] = [d[0] for d in dictionaries]
         dictionary = strip = orders = numbers = 0
-        for ids, d in zip(group, dictionaries, strict=True):
+        for ids, d, names in zip(group, dictionaries, varint_rows(gaps, distinct), strict=True):
             its = slice(strip, strip := strip + -(-len(ids) // STRIP))
             counts = varints(np.concatenate([code.rest[its], code.n_orders[its], code.n_numbers[its]]))
             told = code.orders[orders : (orders := orders + 2 * int(code.n_orders[its].sum()))]
             rest = code.numbers[numbers : (numbers := numbers + 2 * int(code.n_numbers[its].sum()))]
             levels = halves(code.levels[dictionary : (dictionary := dictionary + len(d))])
-            names, crc = varints(np.diff(d.astype(np.int64), prepend=0)), zlib.crc32(ids.astype("<u4").tobytes())
+            crc = zlib.crc32(ids.astype("<u4", copy=False).tobytes())
             out.append(b"".join([FRAME_HEAD.pack(len(ids), len(d), len(names), len(counts), crc), names, levels, counts, told, rest]))
     return out
 
@@ -390,8 +476,8 @@ def unpacked_segments(rows: list[bytes]) -> list[Segment]:
         if magic != MAGIC:
             raise ValueError("not a segment")
         data = np.frombuffer(row, np.uint8)
-        zigzag, used = from_varints(data[HEAD.size :], docs)
-        lengths, _ = from_varints(data[HEAD.size + used :], docs)
+        told, _ = from_varints(data[HEAD.size : HEAD.size + index], 2 * docs)
+        zigzag, lengths = told[:docs], told[docs:]
         steps = (zigzag >> U64(1)).astype(np.int64) ^ -(zigzag & U64(1)).astype(np.int64)
         heads.append((np.cumsum(steps), lengths.astype(np.int64), before, nulls))
         at = HEAD.size + index
@@ -399,20 +485,23 @@ def unpacked_segments(rows: list[bytes]) -> list[Segment]:
             n, distinct, names, counts, crc = FRAME_HEAD.unpack_from(row, at)
             at += FRAME_HEAD.size
             ends = np.cumsum([at, names, (distinct + 1) // 2, counts]).tolist()
-            gaps, _ = from_varints(data[at : ends[1]], distinct)
             levels, strips = from_halves(data[ends[1] : ends[2]], distinct), -(-n // STRIP)
             of = from_varints(data[ends[2] : ends[3]], 3 * strips)[0].astype(np.int64).reshape(3, strips)
             middle = ends[3] + 2 * int(of[1].sum())
             at = middle + 2 * int(of[2].sum())
             if at > len(row):
                 raise ValueError("a frame runs beyond its segment")
-            parts.append((k, n, np.cumsum(gaps.astype(np.int64)), crc, Code(levels, *of, row[ends[3] : middle], row[middle:at])))
+            parts.append((k, n, distinct, row[ends[0] : ends[1]], crc, Code(levels, *of, row[ends[3] : middle], row[middle:at])))
     ids: list[np.ndarray] = []
     for start in range(0, len(parts), LANES):
-        _, sizes, names, crcs, codes = zip(*parts[start : start + LANES], strict=True)
+        _, sizes, distinct, names, crcs, codes = zip(*parts[start : start + LANES], strict=True)
+        gaps, _ = from_varints(np.frombuffer(b"".join(names), np.uint8), sum(distinct))
+        # Sums of the gaps of all frames: each frame's begin at 0.
+        known, cuts = np.concatenate([[0], np.cumsum(gaps.astype(np.int64))]), np.cumsum(distinct)[:-1]
+        names = [x - base for x, base in zip(np.split(known[1:], cuts), known[np.concatenate([[0], cuts])].tolist(), strict=True)]
         joined = [np.concatenate([getattr(c, x) for c in codes]) for x in ("levels", "rest", "n_orders", "n_numbers")]
         code = Code(*joined, b"".join([c.orders for c in codes]), b"".join([c.numbers for c in codes]))
-        for symbols, name, crc in zip(decoded(code, np.array(sizes), np.array([len(x) for x in names])), names, crcs, strict=True):
+        for symbols, name, crc in zip(decoded(code, np.array(sizes), np.array(distinct)), names, crcs, strict=True):
             if symbols.max() >= len(name) or zlib.crc32((x := name[symbols].astype("<u4")).tobytes()) != crc:
                 raise ValueError("a frame's sum doesn't match")
             ids.append(x)

@@ -9,14 +9,18 @@ that token's id as in the library's plain encode.
 from __future__ import annotations
 
 import os
-import struct
+from collections.abc import Iterable
+from operator import attrgetter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 from eventloom.llm.common import remembering
 
-#: Units remembered by a worker before it starts anew: bounds its memory. The frequent ones are soon known again.
+#: Units remembered by a worker, in two halves: bounds its memory. When one is full, the units of the other that weren't met
+#: meanwhile are forgotten.
 REMEMBERED = 500_000
 
 #: The pre-token patterns of the two vocabularies, as their files state them (fixed values).
@@ -32,10 +36,13 @@ def byte_signs() -> dict[int, int]:
     return {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in plain)}
 
 
-BYTE_SIGNS = byte_signs()
-SPACE_SIGN = chr(BYTE_SIGNS[0x20])
-#: Signs that are a pre-token of their own behind letters and before nothing, in both patterns.
-SIGNS = frozenset("!\"#$%&()*+,-./:;<=>?@[]^_`{|}~")
+#: Each byte's sign as a 16-bit code point; null stays, as it parts pieces.
+SIGN_OF = np.array([b and byte_signs().get(b, b) for b in range(256)], "<u2")
+#: Signs that are a pre-token of their own, as many as there are, behind letters and before nothing, in both patterns.
+SIGNS = "!\"#$%&()*+,-./:;<=>?@[]^_`{|}~"
+#: Words of letters below LATIN_END, but for the one that isn't a letter any more in lower case.
+WORD = "^[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+$"
+ID = attrgetter("id")
 
 
 def plain(text: str) -> bool:
@@ -62,72 +69,120 @@ class Encoder:
         self.tokenize = self.tokenizer.model.tokenize
         self.split = regex.compile(SPACED if keeps_space else UNSPACED).findall
         self.known: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def raw(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def units(self, text: str) -> list[str]:
-        """Units as they are remembered: with the space or line end before them if the vocabulary keeps it."""
-        if not self.keeps_space:
-            return text.replace("\n", " ").split(" ")
-        return text.replace("\n", " \n").split(" ")
-
     def encode(self, texts: list[str]) -> list[bytes]:
         whole = [i for i, t in enumerate(texts) if t and ((self.keeps_space and not plain(t)) or any(a in t for a in self.added))]
         out: list[bytes] = [b""] * len(texts)
         for i, ids in zip(whole, self.raw([texts[i] for i in whole]), strict=True):
             out[i] = ids
         odd = set(whole)
-        for i, text in enumerate(texts):
-            if i in odd or not text:
-                continue
-            units = self.units(text)
-            first = None
-            if self.keeps_space:
-                # The first unit has no space before it.
-                first, units = units[0], units[1:]
-            found = list(map(self.known.get, units))
-            if None in found:
-                # Most texts have some new units: only these are looked up again.
-                self.learn([u for u, ids in zip(units, found, strict=True) if ids is None])
-                found = [self.known[u] if ids is None else ids for u, ids in zip(units, found, strict=True)]
-            out[i] = (self.raw([first])[0] if first else b"") + b"".join(found)
+        cut = [i for i, t in enumerate(texts) if t and i not in odd]
+        # Units are remembered with the space or line end before them if the vocabulary keeps it; the first unit of a text
+        # has no space before it.
+        firsts = [b""] * len(cut)
+        if self.keeps_space:
+            parts = [texts[i].replace("\n", " \n").partition(" ") for i in cut]
+            firsts, rest = self.raw([p[0] for p in parts]), [p[2] for p in parts]
+        else:
+            rest = [texts[i].replace("\n", " ") for i in cut]
+        for i, first, ids in zip(cut, firsts, self.joined(rest), strict=True):
+            out[i] = first + ids
         return out
 
+    def joined(self, texts: list[str]) -> list[bytes]:
+        """The ids of texts of units with a space between them. All texts look up each distinct unit once, and words without
+        the signs behind them, which are pre-tokens of their own."""
+        split = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        coded = split.flatten().dictionary_encode()
+        word = pc.ascii_rtrim(coded.dictionary, SIGNS)
+        word = pc.if_else(pc.match_substring_regex(word, WORD), word, coded.dictionary)
+        words = word.dictionary_encode()
+        behind = (pc.binary_length(coded.dictionary).to_numpy() - pc.binary_length(word).to_numpy()).astype(np.int64)
+        signed = np.flatnonzero(behind)
+        signs = [u[-n:] for u, n in zip(strings(coded.dictionary.take(pa.array(signed))), behind[signed].tolist(), strict=True)]
+        names = strings(words.dictionary)
+        found = self.known_ids(names)
+        # Behind the words, in the same row of ids, come the distinct signs.
+        kinds = {x: k for k, x in enumerate(dict.fromkeys(signs), len(found))}
+        found += self.known_signs(list(kinds))
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        start = np.cumsum(size) - size
+        # A unit is a word, or a word and signs: its ids are put together before those of the texts.
+        of = np.stack([words.indices.to_numpy().astype(np.int64), np.full(len(word), -1)], 1)
+        of[signed, 1] = np.fromiter((kinds[x] for x in signs), np.int64, len(signs))
+        pairs = of.ravel()[of.ravel() >= 0]
+        ids = np.frombuffer(b"".join(found), "<u4")[spread(start[pairs], size[pairs])]
+        each = size[of[:, 0]]
+        each[signed] += size[of[signed, 1]]
+        codes = coded.indices.to_numpy()
+        sizes = each[codes]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        data = ids[spread((np.cumsum(each) - each)[codes], sizes)].tobytes()
+        cuts = (4 * ends[split.offsets.to_numpy()]).tolist()
+        return [data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+    def known_ids(self, units: list[str]) -> list[bytes]:
+        if len(self.known) > REMEMBERED // 2:
+            self.older, self.known = self.known, {}
+        found = list(map(self.known.get, units))
+        if None in found:
+            # Most texts have some new units: only these are looked up again.
+            missing = [u for u, ids in zip(units, found, strict=True) if ids is None]
+            older = list(map(self.older.get, missing))
+            self.known.update((u, ids) for u, ids in zip(missing, older, strict=True) if ids is not None)
+            self.learn([u for u, ids in zip(missing, older, strict=True) if ids is None])
+            found = [self.known[u] if ids is None else ids for u, ids in zip(units, found, strict=True)]
+        return found
+
+    def known_signs(self, signs: list[str]) -> list[bytes]:
+        """The ids of signs behind a word; there are few distinct ones."""
+        return self.merged(signs, range(1, len(signs) + 1))
+
     def learn(self, units: list[str]) -> None:
-        if len(self.known) > REMEMBERED:
-            self.known, self.pieces = {}, {}
-        new = [u for u in dict.fromkeys(units) if u and u not in self.known]
-        shown = [u if u[:1] == "\n" or not self.keeps_space else " " + u for u in new]
-        strange = [i for i, u in enumerate(new) if not (u.isascii() or max(u) < LATIN_END) or not u.lstrip("\n").isprintable()]
-        for i, ids in zip(strange, self.raw([shown[i] for i in strange]), strict=True):
-            self.known[new[i]] = ids
-        for u, text in zip(new, shown, strict=True):
-            if u not in self.known:
-                self.known[u] = b"".join(map(self.piece, self.parted(text if self.keeps_space else text.lower())))
-        self.known.setdefault("", b"")
-
-    def parted(self, text: str) -> list[str]:
-        """The pre-tokens of a unit; of words, also with one sign behind them, without the pattern. `text` is printable and
-        below LATIN_END."""
-        word = text[1:] if text[:1] == " " else text
-        if word.isalpha():
-            return [text]
-        if word[:-1].isalpha() and word[-1] in SIGNS:
-            return [text[:-1], text[-1]]
-        return self.split(text)
-
-    def piece(self, piece: str) -> bytes:
-        """The ids of one pre-token, by the tokenizer's own merges."""
-        ids = self.pieces.get(piece)
-        if ids is None:
-            # Letters of ASCII show as themselves.
-            spaced = piece[:1] == " "
-            word = piece[1:] if spaced else piece
-            shown = (SPACE_SIGN if spaced else "") + word if word.isascii() and word.isalpha() else piece.encode().decode("latin-1").translate(BYTE_SIGNS)
-            ids = self.pieces[piece] = struct.pack(f"<{len(found := self.tokenize(shown))}I", *[t.id for t in found])
-        return ids
+        pieces, ends, common, strange = [], [], [], []
+        for u in units:
+            if not (u.isascii() or max(u) < LATIN_END) or not (u.isalpha() or u.lstrip("\n").isprintable()):
+                strange.append(u)
+                continue
+            shown = u.lower() if not self.keeps_space else u if u[:1] == "\n" or not u else " " + u
+            if u.isalpha() and (self.keeps_space or shown.isalpha()):
+                pieces.append(shown)
+            else:
+                pieces += self.split(shown)
+            common.append(u)
+            ends.append(len(pieces))
+        self.known.update(zip(common, self.merged(pieces, ends), strict=True))
+        self.known.update(zip(strange, self.raw([" " + u if self.keeps_space and u[0] != "\n" else u for u in strange]), strict=True))
+
+    def merged(self, pieces: list[str], ends: Iterable[int]) -> list[bytes]:
+        """The ids of pre-tokens in a row, by the tokenizer's own merges, cut behind so many of them. No piece holds a null sign."""
+        if not pieces:
+            return [b"" for _ in ends]
+        # All pieces get the vocabulary's signs at once.
+        shown = SIGN_OF[np.frombuffer("\0".join(pieces).encode(), np.uint8)].tobytes().decode("utf-16-le").split("\0")
+        ids: list[int] = []
+        counts = [0]
+        for piece in shown:
+            ids += map(ID, self.tokenize(piece))
+            counts.append(4 * len(ids))
+        packed, cuts = np.array(ids, "<u4").tobytes(), [0, *(counts[k] for k in ends)]
+        return [packed[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
+def strings(column: pa.Array) -> list[str]:
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
+def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of runs that begin at `starts`, one run after the other."""
+    ends = np.cumsum(sizes)
+    at = np.repeat(starts - (ends - sizes), sizes)
+    at += np.arange(len(at))
+    return at
 
 
 _ENCODERS: dict[tuple[str, bool], Encoder] = {}

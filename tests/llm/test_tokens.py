@@ -66,3 +66,18 @@ def test_known_units_are_not_learned_again(name, keeps, monkeypatch):
     plain = Tokenizer.from_file(tokenizer_path(name))
     for text, got in zip(texts, found, strict=True):
         assert np.frombuffer(got, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize(("name", "keeps"), [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_words_are_learned_once(name, keeps, monkeypatch):
+    """Signs behind a word don't make it a new unit, and units met again outlive those that are forgotten."""
+    asked, made = [], Encoder(tokenizer_path(name), keeps)
+    learn = made.learn
+    monkeypatch.setattr(made, "learn", lambda units: (asked.extend(units), learn(units)))
+    monkeypatch.setattr("eventloom.llm.tokens.REMEMBERED", 20)
+    texts = ["x often, often. often! often*** often"] + [f"x often {chr(97 + k)}one {chr(97 + k)}two {chr(97 + k)}three" for k in range(20)]
+    plain = Tokenizer.from_file(tokenizer_path(name))
+    for text in texts:
+        assert np.frombuffer(made.encode([text])[0], "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+    assert [u for u in asked if u.startswith("often")] == ["often"]
+    assert len(made.known) + len(made.older) < 40
